@@ -47,6 +47,20 @@ CONTEXT_MESSAGE = "bucket int, block long, keys binary, contexts binary, counts
 WIDE_MESSAGE = "bucket int, block long, keys binary, more binary, counts binary"
 
 
+def cover_positions(n: int) -> np.ndarray:
+    """The cover-sample positions below n, ascending."""
+    return (np.arange(n // PERIOD + 1)[:, None] * PERIOD + np.array(COVER)).reshape(-1)
+
+
+def covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of n positions lie in any of the half-open intervals."""
+    if not len(lo):
+        return np.zeros(n, bool)
+    change = np.bincount(lo, minlength=n + 1).astype(np.int32)
+    change -= np.bincount(hi, minlength=n + 1).astype(np.int32)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
 class _Samples:
     """Cover-sample positions of a block, with their bucket keys."""
 
@@ -54,13 +68,10 @@ class _Samples:
         self.table = unpack(blob)
         self.t = t = Texts(self.table)
         self.roll = Roller(t.bytes, seed)
-        in_cover = np.zeros(PERIOD, bool)
-        in_cover[list(COVER)] = True
-        own = np.repeat(np.arange(len(t.lens)), t.lens)
-        at = np.arange(len(t.bytes)) - t.starts[own]
-        ok = in_cover[at % PERIOD] & (at + GRAM <= t.lens[own]) & (t.lens[own] >= WINDOW)
-        self.pos = np.flatnonzero(ok)
-        self.own = own[self.pos]
+        cover = cover_positions(int(t.lens.max()) if len(t.lens) else 0)
+        many = np.where(t.lens >= WINDOW, np.searchsorted(cover, t.lens - GRAM, side="right"), 0)
+        self.own = np.repeat(np.arange(len(t.lens)), many)
+        self.pos = np.repeat(t.starts, many) + cover[np.arange(len(self.own)) - np.repeat(np.cumsum(many) - many, many)]
         self.begin = t.starts[self.own]
         self.end = self.begin + t.lens[self.own]
         self.distinct = Distinct(bucket_key(self.roll.of(self.pos, self.pos + GRAM), n_buckets))
@@ -84,11 +95,8 @@ class _Samples:
     def windows(self, sample: np.ndarray) -> np.ndarray:
         """Starts of the windows that the given samples stand for, distinct and sorted."""
         lo, hi = np.maximum(self.begin, self.pos - PERIOD + 1)[sample], np.minimum(self.pos, self.end - WINDOW)[sample]
-        mark = np.zeros(len(self.t.bytes) + 1, np.int32)
         some = lo <= hi
-        np.add.at(mark, lo[some], 1)
-        np.add.at(mark, hi[some] + 1, -1)
-        return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        return np.flatnonzero(covered(lo[some], hi[some] + 1, len(self.t.bytes)))
 
 
 def _ask_ranks(n_buckets: int):
@@ -198,7 +206,7 @@ def _finish(n_buckets: int, names: list[str], out_text: bool):
             for blob, r1, r2, r3 in zip(cols["part"], cols["replies"], cols["contexts"], cols["windows"]):
                 s = _Samples(blob, n_buckets)
                 t = s.t
-                mark = np.zeros(len(t.bytes) + 1, np.int32)
+                gone = np.zeros(len(t.bytes), bool)
                 if r2 is not None:
                     s.keep(s.distinct.answers(r1, n_buckets))
                     codes = _codes(r2)
@@ -207,16 +215,12 @@ def _finish(n_buckets: int, names: list[str], out_text: bool):
                     bits = _bits(r3)
                     if len(bits):
                         repeated.append(w.starts[bits[w.cls] > 0])
-                    starts = np.unique(np.concatenate(repeated))
-                    np.add.at(mark, starts, 1)
-                    np.add.at(mark, starts + WINDOW, -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                own = np.repeat(np.arange(len(t.lens)), t.lens)
-                removed = np.bincount(own, weights=gone, minlength=len(t.lens)).astype(np.int64)
+                    starts = np.concatenate(repeated)
+                    gone = covered(starts, starts + WINDOW, len(gone))
                 first_byte = np.zeros(len(t.bytes), bool)
                 first_byte[t.starts[t.lens > 0]] = True
                 opens = gone & (first_byte | ~np.concatenate(([False], gone[:-1])))
-                spans = np.bincount(own, weights=opens, minlength=len(t.lens)).astype(np.int64)
+                removed, spans = (c[t.starts + t.lens] - c[t.starts] for c in (np.concatenate(([0], np.cumsum(x))) for x in (gone, opens)))
                 shas, texts = [], []
                 for a, n, r in zip(t.starts.tolist(), t.lens.tolist(), removed.tolist()):
                     piece = t.bytes[a : a + n]
