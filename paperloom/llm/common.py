@@ -270,3 +270,38 @@ def attach(blocks: DataFrame, replies: DataFrame) -> DataFrame:
 
 def exchange_counts(messages: DataFrame) -> DataFrame:
     return by_block(messages.groupBy("bucket").applyInPandas(_count_bucket, REPLY))
+
+
+# ---------------------------------------------------------------- columns
+def extended(schema, fields):
+    """A schema with fields added at the end; they replace fields of the same name (in any case)."""
+    from pyspark.sql.types import StructType
+
+    new = {f.name.lower() for f in fields}
+    return StructType([f for f in schema.fields if f.name.lower() not in new] + list(fields))
+
+
+def put_columns(batch: pa.RecordBatch, new: dict) -> pa.RecordBatch:
+    """The same for a batch."""
+    low = {n.lower() for n in new}
+    kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n.lower() not in low]
+    names, arrays = zip(*kept, *new.items())
+    return pa.RecordBatch.from_arrays(list(arrays), names=list(names))
+
+
+# ---------------------------------------------------------------- code on executors
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per application, so that they need no shared installation."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_paperloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = f"{tempfile.mkdtemp(prefix='paperloom-')}/paperloom.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, f"paperloom/{p.relative_to(top)}")
+    sc.addPyFile(name)
+    sc._paperloom_shipped = True
