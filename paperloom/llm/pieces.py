@@ -30,7 +30,7 @@ from paperloom.llm.common import U64, extended, put_columns, ranges
 MARK = "▁"
 WORD = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 DEEP = 16
-NEW_CHARS, CACHE_WORDS = 1 << 19, 400_000
+NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 19, 1_000_000, 21
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -69,7 +69,7 @@ class Pieces:
         self.length = np.zeros(len(model) + 1, np.int64)
         self.length[self.piece_id] = self.piece_len
         self.length[-1] = 1  # id -1: a character without a piece
-        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.words: dict[str, bytes] = {}
 
     @staticmethod
@@ -95,22 +95,18 @@ class Pieces:
     def neighbours(self, left: np.ndarray, right: np.ndarray, names: list[str]) -> np.ndarray:
         """Whether right may stand after left (ids, -1 for a character without a piece)."""
         keys = left * (1 << 20) + right
-        free = (left < 0) | (right < 0)
-        at = np.searchsorted(self.pair_keys, keys)
-        have = (at < len(self.pair_keys)) & (self.pair_keys[np.minimum(at, max(len(self.pair_keys) - 1, 0))] == keys) if len(self.pair_keys) else np.zeros(len(keys), bool)
-        new = np.unique(keys[~have & ~free])
-        if len(new):
-            ok = []
-            for key in new.tolist():
-                a, b = names[key >> 20], names[key & 0xFFFFF]
-                ok.append(self.merged(a + b) == [a, b])
-            keys_ = np.concatenate((self.pair_keys, new))
-            order = np.argsort(keys_, kind="stable")
-            self.pair_keys, self.pair_ok = keys_[order], np.concatenate((self.pair_ok, np.array(ok)))[order]
-            at = np.searchsorted(self.pair_keys, keys)
-        if not len(self.pair_keys):
-            return free
-        return free | self.pair_ok[np.minimum(at, len(self.pair_keys) - 1)] & (self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] == keys)
+        slot = ((keys.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - PAIR_BITS)).astype(np.int64)
+        ok = (left < 0) | (right < 0)
+        known = ok | (self.pair_keys[slot] == keys)
+        ok |= known & self.pair_ok[slot]
+        miss = np.flatnonzero(~known)
+        if len(miss):
+            new, back = np.unique(keys[miss], return_inverse=True)
+            fits = np.array([self.merged((a := names[key >> 20]) + (b := names[key & 0xFFFFF])) == [a, b] for key in new.tolist()])
+            ok[miss] = fits[back]
+            at = slot[miss]  # one key a slot: a later one takes its place and an earlier one is merged again when met
+            self.pair_keys[at], self.pair_ok[at] = keys[miss], fits[back]
+        return ok
 
     # ------------------------------------------------------------ suffix array
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,14 +178,16 @@ class Pieces:
         text = np.where(gap, np.uint16(0), text)
         start, piece = self.edges(text)
         ids, size = self.piece_id[piece], self.piece_len[piece]
-        odd = np.flatnonzero(~gap & ~np.isin(np.arange(len(text)), start[size == 1]))  # no piece of their own
+        single = gap.copy()
+        single[start[size == 1]] = True
+        odd = np.flatnonzero(~single)  # no piece of their own
         start = np.concatenate((start, odd))
         ids = np.concatenate((ids, np.full(len(odd), -1)))
         size = np.concatenate((size, np.ones(len(odd), np.int64)))
-        word = np.searchsorted(begin, start, side="right") - 1
-        step = start + size - begin[word]
-        order = np.argsort(step * (len(words) + 1) + word, kind="stable")
-        start, ids, size, step, head = start[order], ids[order], size[order], step[order], begin[word[order]]
+        head = np.repeat(begin, lens + 1)[start]
+        step = start + size - head
+        order = np.argsort(step.astype(np.uint16) if lens.max() < 1 << 16 else step, kind="stable")  # 16 bits: a radix sort
+        start, ids, size, step, head = start[order], ids[order], size[order], step[order], head[order]
         last = np.full(len(text) + 1, -2, np.int64)  # the last piece of the prefix that ends here; -2: none
         names = self._names()
         for a, b in zip(*ranges(step)):
@@ -202,28 +200,27 @@ class Pieces:
                 ok[k] = self.neighbours(left[k], t[k], names)
             # ends are one higher than the last character, so a word's own start is never written
             last[i[ok] + size[a:b][ok]] = t[ok]
-        at, live, cols = begin + lens, np.arange(len(words)), []
+        at, live = begin + lens, np.arange(len(words))
+        chosen = np.full(len(text) + 1, -2, np.int64)  # the pieces of the way back, by where they end
         while len(live):
             t = last[at[live]]
             if (t == -2).any():
                 raise AssertionError("a word was not reached")
-            cols.append((live, t, at[live]))
+            chosen[at[live]] = t
             at[live] -= self.length[t]
             live = live[at[live] > begin[live]]
-        who = np.concatenate([c[0] for c in cols])
-        what = np.concatenate([c[1] for c in cols])
-        end = np.concatenate([c[2] for c in cols])
-        order = np.lexsort((end, who))
-        who, what, end = who[order], what[order], end[order]
-        out = []
-        for a, b in zip(*ranges(who)):
-            part = what[a:b]
-            if (part < 0).any():
-                flat = []
-                for t, e in zip(part.tolist(), end[a:b].tolist()):
-                    flat += [t] if t >= 0 else [self.byte[x] for x in chr(points[e - 1]).encode("utf-8", "replace")]
-                part = np.array(flat)
-            out.append(part.astype("<i4").tobytes())
+        end = np.flatnonzero(chosen > -2)
+        what = chosen[end]
+        first = np.searchsorted(end, begin, side="right")
+        first = np.append(first, len(end))
+        odd_words = set((np.searchsorted(begin, end[what < 0] - 1, side="right") - 1).tolist())
+        flat = what.astype("<i4").tobytes()
+        out = [flat[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        for w in odd_words:
+            ids_ = []
+            for t, e in zip(what[first[w] : first[w + 1]].tolist(), end[first[w] : first[w + 1]].tolist()):
+                ids_ += [t] if t >= 0 else [self.byte[x] for x in chr(points[e - 1]).encode("utf-8", "replace")]
+            out[w] = np.array(ids_, "<i4").tobytes()
         return out
 
     def _names(self) -> list[str]:
@@ -272,6 +269,13 @@ class Pieces:
 _LOADED: dict = {}
 
 
+def loaded(key: str, model) -> Pieces:
+    """The vocabulary of this worker, kept from task to task."""
+    if key not in _LOADED:
+        _LOADED[key] = Pieces(model)
+    return _LOADED[key]
+
+
 def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, with_ids: bool = False) -> DataFrame:
     """docs(text, ...) with n_tokens, ids_sha256, decoded_sha256, exact and, if asked for, ids and decoded.
 
@@ -281,9 +285,7 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, with_ids:
     key = hashlib.sha256(repr(model).encode()).hexdigest()
 
     def run(batches):
-        if key not in _LOADED:
-            _LOADED[key] = Pieces(model)
-        p = _LOADED[key]
+        p = loaded(key, model)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
