@@ -2,7 +2,7 @@
 
 Several operators have to look at a text more than once (count something over the whole corpus, then act on the
 counts). Shuffling texts for every look would move the corpus again and again, so rows are packed once into *blocks*
-(a few MB of compressed Arrow) that lie in a bucketed table, and each look ships only fingerprints to hash buckets
+(half a MB of text as compressed Arrow) that lie in a bucketed table, and each look ships only fingerprints to hash buckets
 and small replies back to the blocks.
 """
 
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 BUCKET_BYTES = 16 << 20
 U64 = np.uint64
 
@@ -128,7 +128,7 @@ def blocks_of(scratch: Scratch, df: DataFrame, text: str = "text", describe=None
 
     n = partitions_for(scratch.spark, table_bytes(df))
     ddl = "block long, part binary, n_bytes long" + (f", docs array<{describe_ddl}>" if describe else "")
-    return scratch.write_bucketed(df.mapInArrow(_blocks(describe, text), ddl), "blocks", "block", n)
+    return scratch.write_bucketed(df.mapInArrow(lean("blocks")(_blocks(describe, text)), ddl), "blocks", "block", n)
 
 
 class Texts:
@@ -163,22 +163,21 @@ def _table(seed: int, n: int) -> np.ndarray:
 class Roller:
     """Polynomial fingerprints mod 2^64 of substrings of one byte array, from prefix sums over a random byte table."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers: list[np.ndarray] = []
+    BASE = 0xD1342543DE82EF95
 
     def __init__(self, data: np.ndarray, seed: int):
         n = len(data)
-        base = int(_table(seed, 3)[2]) | 5
-        have = self._powers.get(seed)
-        if have is None or len(have[0]) < n + 1:
-            size = max(n + 1, BLOCK_BYTES + (BLOCK_BYTES >> 2))
-            inverse = pow(base, -1, 1 << 64)
-            with np.errstate(over="ignore"):
-                have = tuple(np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, dtype=U64)]), dtype=U64) for b in (base, inverse))
-            if n <= 4 * BLOCK_BYTES:
-                self._powers[seed] = have
-        self.inverse = have[1]
+        powers = self._powers
+        if not powers or len(powers[0]) < n + 1:
+            size = max(n + 1, BLOCK_BYTES + (BLOCK_BYTES >> 3))
+            bases = (self.BASE, pow(self.BASE, -1, 1 << 64))
+            powers = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, dtype=U64)]), dtype=U64) for b in bases]
+            if n <= 2 * BLOCK_BYTES:  # kept for the next blocks of this worker, unless one long text needed more
+                Roller._powers = powers
+        self.inverse = powers[1]
         self.sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_table(seed, 256)[data] * have[0][:n], out=self.sums[1:])
+        np.cumsum(_table(seed, 256)[data] * powers[0][:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return splitmix((self.sums[end] - self.sums[start]) * self.inverse[start] + np.asarray(end - start).astype(U64))
@@ -290,11 +289,16 @@ def put_columns(batch: pa.RecordBatch, new: dict) -> pa.RecordBatch:
 
 
 # ---------------------------------------------------------------- code on executors
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_code(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per application, so that they need no shared installation."""
     import zipfile
     from pathlib import Path
 
+    if spark.conf.get(ROWS) == "10000":  # unless set by the user: long texts make batches of 10,000 rows large
+        spark.conf.set(ROWS, "2000")
     sc = spark.sparkContext
     if getattr(sc, "_paperloom_shipped", False):
         return
@@ -305,3 +309,42 @@ def ship_code(spark: SparkSession) -> None:
             z.write(p, f"paperloom/{p.relative_to(top)}")
     sc.addPyFile(name)
     sc._paperloom_shipped = True
+
+
+# ---------------------------------------------------------------- memory of Python workers
+CLEAR: list = []  # called when another operator takes over a worker
+_NOW = [""]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as a worker lives on beside the next operator's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(operator: str):
+    """Wraps an iterator function for workers: caches of other operators go first, freed memory goes back after."""
+
+    def wrap(function):
+        def run(batches):
+            start_operator(operator)
+            yield from function(batches)
+            trim()
+
+        return run
+
+    return wrap
+
+
+def start_operator(operator: str) -> None:
+    if _NOW[0] != operator:
+        _NOW[0] = operator
+        for clear in CLEAR:
+            clear()
+        trim()
+
+
+CLEAR.append(lambda: Roller._powers.clear())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paperloom.llm.common import extended, put_columns
+from paperloom.llm.common import extended, lean, put_columns
 
 SHORT, DENSE, LINKED = 60, 0.25, 0.5
 
@@ -175,8 +175,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages(html, ...) with text and n_chars."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             texts = [main_text(h) for h in batch.column(batch.schema.get_field_index("html")).to_pylist()]
             yield put_columns(batch, {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.mapInArrow(run, extended(pages.schema, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return pages.mapInArrow(lean("op9")(run), extended(pages.schema, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

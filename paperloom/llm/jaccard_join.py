@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import MESSAGE, U64, Distinct, Roller, Scratch, Texts, attach, blocks_of, bucket_key, exchange_counts, message_frame, partitions_for, ranges, splitmix, unpack
+from paperloom.llm.common import MESSAGE, U64, Distinct, Roller, Scratch, Texts, attach, blocks_of, bucket_key, exchange_counts, lean, message_frame, partitions_for, ranges, splitmix, unpack
 from paperloom.llm.components import Union, components, forest
 
 WORDS = 5
@@ -281,8 +281,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
 
     chosen = s.write(sets.groupBy("block").agg(F.collect_list(F.struct("i", "node")).alias("chosen")), "chosen")
     asked = attach(blocks.select("block", "part"), chosen)
-    counts = s.write(exchange_counts(asked.mapInPandas(_ask_counts(b, words), MESSAGE)), "counts")
-    shared = attach(asked, counts).mapInPandas(_windows(b, words, percent), "bucket int, shingle long, node long, n long")
+    counts = s.write(exchange_counts(asked.mapInPandas(lean("op6")(_ask_counts(b, words)), MESSAGE)), "counts")
+    shared = attach(asked, counts).mapInPandas(lean("op6")(_windows(b, words, percent)), "bucket int, shingle long, node long, n long")
     near = s.write(shared.groupBy("bucket").applyInPandas(_share_pivots(percent), "hi long, lo long"), "near")
     s.drop("counts", "chosen")
     regions = components(s, near, "regions")
@@ -317,7 +317,7 @@ BLOCK_SHIP = 8 << 20
 
 def _join(blocks: DataFrame, member: DataFrame, words: int, percent: int) -> DataFrame:
     chosen = member.groupBy("block").agg(F.collect_list(F.struct("i", "node", "region", "comp", "tasks")).alias("chosen"))
-    shipped = attach(blocks.select("block", "part"), chosen).mapInPandas(_ship(words), "task string, region long, node long, comp long, shingles binary")
+    shipped = attach(blocks.select("block", "part"), chosen).mapInPandas(lean("op6")(_ship(words)), "task string, region long, node long, comp long, shingles binary")
     return shipped.groupBy("task").applyInPandas(_join_task(percent), "hi long, lo long")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import U64, extended, put_columns, splitmix
+from paperloom.llm.common import U64, extended, lean, put_columns, splitmix
 
 SAMPLE, GRAMS, SLOTS = 500, 500, 1 << 17
 STRETCH = 1 << 20
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, top: int = GRAMS, slots: int = SL
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = docs.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("text", "lang")
-    counts = texts.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = texts.mapInPandas(lean("op1")(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = counts.withColumn("r", best).where(F.col("r") <= top).select("lang", "gram").toPandas()
     return Model({lang: part["gram"].to_numpy(np.int64).view(U64) for lang, part in rows.groupby("lang")}, slots)
@@ -137,10 +137,10 @@ def identify(docs: DataFrame, model: Model, known: bool = False) -> DataFrame:
     """docs(text, ...) with lang_pred and score, and known_share if asked for."""
 
     def predict(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             lang, score, share = model.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             new = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
             yield put_columns(batch, new | ({"known_share": pa.array(share, pa.float64())} if known else {}))
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + [T.StructField("known_share", T.DoubleType())] * known
-    return docs.mapInArrow(predict, extended(docs.schema, fields))
+    return docs.mapInArrow(lean("op1")(predict), extended(docs.schema, fields))

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paperloom.llm.common import U64, extended, put_columns, ranges
+from paperloom.llm.common import CLEAR, U64, extended, lean, put_columns, ranges
 
 MARK = "▁"
 WORD = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 DEEP = 16
-NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 19, 1_000_000, 21
+NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 18, 150_000, 19
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -267,6 +267,7 @@ class Pieces:
 
 
 _LOADED: dict = {}
+CLEAR.append(_LOADED.clear)
 
 
 def loaded(key: str, model) -> Pieces:
@@ -301,4 +302,4 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, with_ids:
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] * with_ids
-    return docs.mapInArrow(run, extended(docs.schema, fields))
+    return docs.mapInArrow(lean("op4")(run), extended(docs.schema, fields))
