@@ -340,6 +340,11 @@ def lean(operator: str):
 
 
 def start_operator(operator: str) -> None:
+    if not _NOW[0]:
+        with contextlib.suppress(OSError, AttributeError):
+            import ctypes
+
+            ctypes.CDLL("libc.so.6").mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD: arrays from 2 MB go back when freed
     if _NOW[0] != operator:
         _NOW[0] = operator
         for clear in CLEAR:

@@ -30,7 +30,7 @@ from paperloom.llm.common import CLEAR, U64, extended, lean, put_columns, ranges
 MARK = "▁"
 WORD = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 DEEP = 16
-NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 18, 150_000, 19
+NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 16, 120_000, 19
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
