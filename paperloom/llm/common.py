@@ -67,8 +67,15 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove shuffles nobody reads any more
 
 
-def table_bytes(df: DataFrame) -> int:
-    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
+MOST_BUCKETS = 50_000  # of a table; Spark's own limit is twice that
+
+
+def table_bytes(df: DataFrame, text: str = "text") -> int:
+    """Size as the optimizer knows it; where it doesn't (no files underneath), the texts are measured."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 50:
+        return known
+    return df.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0]
 
 
 def partitions_for(spark: SparkSession, n_bytes: int, each: int = BUCKET_BYTES) -> int:
@@ -126,7 +133,7 @@ def blocks_of(scratch: Scratch, df: DataFrame, text: str = "text", describe=None
     """Packs all rows of df into a bucketed table (block, part, n_bytes[, docs]); no shuffle of texts."""
     import pyarrow.compute  # noqa: F401
 
-    n = partitions_for(scratch.spark, table_bytes(df))
+    n = min(MOST_BUCKETS, partitions_for(scratch.spark, table_bytes(df, text)))
     ddl = "block long, part binary, n_bytes long" + (f", docs array<{describe_ddl}>" if describe else "")
     return scratch.write_bucketed(df.mapInArrow(lean("blocks")(_blocks(describe, text)), ddl), "blocks", "block", n)
 

@@ -174,7 +174,7 @@ class MetricJoin:
 
     SMALL = 48
 
-    def __init__(self, sets: list[np.ndarray], comp: list[int] | None = None, percent: int = PERCENT):
+    def __init__(self, sets: list[np.ndarray], comp: list | None = None, percent: int = PERCENT):
         self.n = np.array([len(s) for s in sets], np.int64)
         self.flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1) if sets else np.zeros(0, np.int64)
         self.at = np.concatenate(([0], np.cumsum(self.n)))
@@ -256,7 +256,7 @@ def _join_task(percent: int):
             part = frame.iloc[a:b]
             node = part["node"].to_numpy()
             comp = part["comp"].to_numpy()
-            m = MetricJoin([np.frombuffer(x, U64) for x in part["shingles"]], None if (comp == 0).all() else [c if c else -1 - i for i, c in enumerate(comp)], percent)
+            m = MetricJoin([np.frombuffer(x, U64) for x in part["shingles"]], None if (comp == 0).all() else [(0, int(c)) if c else (1, i) for i, c in enumerate(comp)], percent)
             m.solve(np.arange(len(node)))
             away = m.root != np.arange(len(node))
             hi.append(node[away])
@@ -334,7 +334,7 @@ def _pairs(split: DataFrame, comp: DataFrame) -> DataFrame:
     m = m.join(sizes, ["region", "comp"]).join(rest, "region").where("comps > 1")
     pure = F.col("own") >= half
     k = F.when(pure, F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / half))).otherwise(F.pmod(F.xxhash64("comp"), F.greatest(F.ceil(F.col("mixed") / half), F.lit(1))))
-    m = m.withColumn("part", F.concat_ws("/", F.when(pure, F.col("comp")).otherwise(F.lit("mix")), k))
+    m = m.withColumn("part", F.concat_ws("/", F.when(pure, F.col("comp").cast("string")).otherwise(F.lit("mix")), k))
     parts = m.groupBy("region", "part").agg(F.max(F.when(pure, F.col("comp"))).alias("whole"))
     a, b = parts.toDF("region", "a", "wa"), parts.toDF("region", "b", "wb")
     meet = a.join(b, "region").where("a <= b and (wa is null or wb is null or wa <> wb)").withColumn("task", F.concat_ws("#", "region", "a", "b"))

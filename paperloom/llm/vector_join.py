@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import Scratch
 from paperloom.llm.components import components, forest
 
-COSINE, BLOCK_DIMS, LEAF, SAMPLE = 0.9, 16, 24_000, 20_000
+COSINE, BLOCK_DIMS, LEAF, SAMPLE = 0.9, 16, 24_000, 4_000
 SLACK32, TILE, GATHER = 2e-3, 512, 50_000
 
 
