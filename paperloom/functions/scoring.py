@@ -83,7 +83,7 @@ def decayed_event_weight(event: Column, created_at: Column, as_of: Column) -> Co
 
 def direction_weight(configured: Column, preference: Column) -> Column:
     """Configured unless 0 or missing, else min(2, 1 + preference / 10), else 1."""
-    return F.coalesce(F.nullif(configured, F.lit(0.0)), F.least(F.lit(2.0), 1 + preference / 10), F.lit(1.0))
+    return F.coalesce(F.nullif(configured, F.lit(0.0)), F.when(preference.isNotNull(), F.least(F.lit(2.0), 1 + preference / 10)), F.lit(1.0))
 
 
 def daily_score(base, recency, tier, impact, relevance, read, shown, weight) -> Column:

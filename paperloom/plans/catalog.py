@@ -17,8 +17,6 @@ from paperloom.streaming import events as ev
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-NOW = F.lit(AS_OF).cast("timestamp")
-TODAY = F.lit(AS_OF).cast("date")
 QUERY = "the reason der los dans"
 
 
@@ -44,6 +42,14 @@ def _t(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _now():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def _today():
+    return F.lit(AS_OF).cast("date")
+
+
 def _six(c):
     return F.round(c, 6)
 
@@ -60,7 +66,7 @@ _NORM = "substring(regexp_replace(lower(title), '[^a-z0-9\\x{4e00}-\\x{9fff}]+',
 FROM paper_user_events AS e JOIN paper_directions AS d ON d.paper_id = e.paper_id GROUP BY d.direction HAVING sum({_WEIGHT} * exp(-{_AGE} / 90)) > 0""")
 def decayed_preference(spark, sf):
     """AGG-7: events are reduced to (paper, sum) before the bridge multiplies them."""
-    e = model(spark, sf, "paper_user_events").groupBy("paper_id").agg(F.sum(sc.decayed_event_weight(F.col("event"), F.col("created_at"), NOW)).alias("w"))
+    e = model(spark, sf, "paper_user_events").groupBy("paper_id").agg(F.sum(sc.decayed_event_weight(F.col("event"), F.col("created_at"), _now())).alias("w"))
     d = model(spark, sf, "paper_directions")
     out = e.join(d, "paper_id").groupBy("direction").agg(F.sum("w").alias("s"), F.count_distinct("paper_id").alias("papers")).where("s > 0")
     return out.select("direction", _six(F.col("s")).alias("score"), "papers").orderBy(F.desc("score"), F.desc("papers"), "direction")
@@ -68,12 +74,12 @@ def decayed_preference(spark, sf):
 
 @query(f"SELECT event, CAST(count(*) AS BIGINT) AS n FROM paper_user_events WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY event")
 def event_counts_30d(spark, sf):
-    return model(spark, sf, "paper_user_events").where(F.col("created_at") >= NOW - F.expr("INTERVAL 30 DAY")).groupBy("event").agg(F.count("*").alias("n"))
+    return model(spark, sf, "paper_user_events").where(F.col("created_at") >= _now() - F.expr("INTERVAL 30 DAY")).groupBy("event").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT CAST(count(DISTINCT paper_id) AS BIGINT) AS papers FROM paper_user_events WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
 def shown_distinct_7d(spark, sf):
-    return model(spark, sf, "paper_user_events").where(F.col("created_at") >= NOW - F.expr("INTERVAL 7 DAY")).agg(F.count_distinct("paper_id").alias("papers"))
+    return model(spark, sf, "paper_user_events").where(F.col("created_at") >= _now() - F.expr("INTERVAL 7 DAY")).agg(F.count_distinct("paper_id").alias("papers"))
 
 
 @query("""SELECT direction, CAST(count(*) FILTER (label = 'relevant') AS BIGINT) AS relevant, CAST(count(*) FILTER (label = 'partial') AS BIGINT) AS partly,
@@ -188,9 +194,9 @@ def page_of_papers(spark, sf):
     return ra.page(p, [F.desc_nulls_last("citations"), F.desc_nulls_last("year"), F.col("id")], 20, 2).select("id", "citations", "year")
 
 
-@query("SELECT id, published_date FROM papers ORDER BY published_date ASC NULLS FIRST, id LIMIT 200")
+@query("SELECT id, strftime(published_date, '%Y-%m-%d') AS published FROM papers ORDER BY published_date ASC NULLS FIRST, id LIMIT 200")
 def refresh_queue(spark, sf):
-    return model(spark, sf, "papers").select("id", "published_date").orderBy(F.asc_nulls_first("published_date"), "id").limit(200)
+    return model(spark, sf, "papers").select("id", "published_date").orderBy(F.asc_nulls_first("published_date"), "id").limit(200).select("id", F.date_format("published_date", "yyyy-MM-dd").alias("published"))
 
 
 @query("""SELECT direction, id, CAST(rank AS INT) AS rank FROM (SELECT d.direction AS direction, p.id AS id, row_number() OVER (PARTITION BY d.direction ORDER BY p.citations DESC, p.id) - 1 AS rank
@@ -225,7 +231,7 @@ def pricing_summary(spark, sf):
 def metadata_scores(spark, sf):
     p = model(spark, sf, "papers")
     c = F.col
-    return p.select("id", _six(sc.citation_quality(c("citations"), c("citation_percentile"))).alias("impact"), sc.is_frontier(c("year"), c("published_date"), TODAY).alias("frontier"), _six(sc.recency_score(c("year"), c("published_date"), TODAY)).alias("recency"))
+    return p.select("id", _six(sc.citation_quality(c("citations"), c("citation_percentile"))).alias("impact"), sc.is_frontier(c("year"), c("published_date"), _today()).alias("frontier"), _six(sc.recency_score(c("year"), c("published_date"), _today())).alias("recency"))
 
 
 _VENUES = "('NeurIPS 2023', ''), ('IEEE ICRA', ''), ('arXiv', ''), ('Journal of Tests', ''), ('IV', 'symposium'), ('ITSC workshop', ''), ('RA-L letters', ''), ('', ''), ('Nature', ''), ('private talks', 'acc')"
@@ -305,7 +311,7 @@ FROM papers WHERE (published_date >= DATE '2023-02-01' OR (published_date IS NUL
 def daily_candidates_scored(spark, sf):
     p = ra.since(ra.visible(model(spark, sf, "papers")), F.lit("2023-02-01").cast("date"))
     i, c = F.col("id"), F.col
-    score = sc.daily_score(F.lit(0.5), sc.recency_score(c("year"), c("published_date"), TODAY), i % 4, sc.citation_quality(c("citations"), c("citation_percentile")), F.lit(0.4), i % 6 == 0, i % 8 == 0, F.lit(1.5))
+    score = sc.daily_score(F.lit(0.5), sc.recency_score(c("year"), c("published_date"), _today()), i % 4, sc.citation_quality(c("citations"), c("citation_percentile")), F.lit(0.4), i % 6 == 0, i % 8 == 0, F.lit(1.5))
     return p.select("id", _six(score).alias("score"))
 
 
