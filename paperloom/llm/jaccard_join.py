@@ -36,7 +36,7 @@ from paperloom.llm.components import Union, components, forest
 
 WORDS = 5
 PERCENT = 75
-REGION_SHINGLES = 2_000_000
+REGION_SHINGLES = 250_000
 COMMON_PIVOTS = 12
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
