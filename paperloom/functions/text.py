@@ -101,9 +101,14 @@ def author_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
 
 
+def normalize_author(c: Column) -> Column:
+    """Lower case, without a leading `and`, with letters a-z and single spaces only."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), r"^and\s+", ""), r"[^a-z\s]", ""), r"\s+", " "))
+
+
 def author_difference(pdf: Column, db: Column) -> Column:
     """Names on one side only, after normalising."""
-    key = lambda names: F.array_distinct(F.transform(names, author_key))
+    key = lambda names: F.array_distinct(F.filter(F.transform(names, normalize_author), lambda n: n != ""))
     a, b = F.array_except(key(pdf), key(db)), F.array_except(key(db), key(pdf))
     return F.struct(((F.size(a) > 0) | (F.size(b) > 0)).alias("conflicting"), a.alias("pdf_only"), b.alias("db_only"))
 

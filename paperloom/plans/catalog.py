@@ -12,6 +12,7 @@ from paperloom.functions import scoring as sc
 from paperloom.functions import text as tx
 from paperloom.operators import documents as doc
 from paperloom.operators import relational as ra
+from paperloom.operators import structure as st
 from paperloom.plans.views import AS_OF, duck, model
 from paperloom.streaming import events as ev
 
@@ -465,6 +466,18 @@ def placeholder_roundtrip(spark, sf):
     return doc.roundtrip_documents(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("markdown")))
 
 
+@query()
+def binding_manifest(spark, sf):
+    """DOC-15 over pages as markdown with a figure and a caption put before each."""
+    p = _t(spark, sf, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("![a](x.png)\n\nFigure 1: A.\n\n"), "html").alias("markdown"))
+    return st.bind_documents(p)
+
+
+@query("SELECT page_id AS page_id, concat_ws(':', len(regexp_extract_all(html, '(?i)<tr\\b')), len(regexp_extract_all(html, '(?i)<td\\b')), len(regexp_extract_all(html, '(?i)<th\\b')), len(regexp_extract_all(html, '(?i)\\browspan\\s*=')), len(regexp_extract_all(html, '(?i)\\bcolspan\\s*='))) AS signature FROM pages")
+def table_signature(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", st.table_signature(F.col("html")).alias("signature"))
+
+
 @query("SELECT CAST(user_id AS BIGINT) AS user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def daily_event_counts(spark, sf):
     """STR-2 in batch: tumbling days."""
