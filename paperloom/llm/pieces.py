@@ -30,7 +30,7 @@ from paperloom.llm.common import CLEAR, U64, extended, lean, put_columns, ranges
 MARK = "▁"
 WORD = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 DEEP = 16
-NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 16, 120_000, 19
+NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 16, 120_000, 21
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -58,7 +58,7 @@ class Pieces:
         self.rank = np.full(0x110000, len(alphabet) + 1, np.uint16)
         for k, c in enumerate(alphabet):
             self.rank[ord(c)] = k + 1
-        names = list(self.ids)
+        names = sorted(self.ids)  # ascending needles make binary search several times faster
         self.piece_id = np.array([self.ids[p] for p in names], np.int64)
         self.piece_len = np.array([len(p) for p in names], np.int64)
         chars = np.zeros((len(names), DEEP), np.uint16)
