@@ -143,3 +143,21 @@ def pdf_links(html: Column) -> Column:
 
 def safe_asset_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"[^A-Za-z0-9._-]+", "_")
+
+
+def multiset_except(a: Column, b: Column) -> Column:
+    """What is left of a when each element of b takes away one equal element, first ones first."""
+    times = lambda xs, x: F.size(F.filter(xs, lambda y: y.eqNullSafe(x)))
+    return F.filter(a, lambda x, i: times(F.slice(a, F.lit(1), i + 1), x) > times(b, x))
+
+
+def passes_terms(title: Column, body: Column, query: Column, stop_words: tuple[str, ...] = ()) -> Column:
+    """Terms of three characters or more count 5 in the title and 1 in the body; under two terms everything passes."""
+    terms = F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: (F.length(t) >= 3) & ~F.array_contains(F.array(*map(F.lit, stop_words)).cast("array<string>"), t))
+    hits = lambda c: F.size(F.filter(terms, lambda t: F.contains(F.lower(F.coalesce(c, F.lit(""))), t)))
+    return (F.size(terms) < 2) | (5 * hits(title) + hits(body) >= F.greatest(F.lit(2), F.ceil(F.size(terms) / 2)))
+
+
+def tokens_once(text: Column, tokens: Column) -> Column:
+    """Whether each token is in the text exactly once."""
+    return F.forall(tokens, lambda t: F.length(text) - F.length(F.replace(text, t, F.lit(""))) == F.length(t))

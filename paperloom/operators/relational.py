@@ -177,3 +177,32 @@ def expand_neighbours(chosen: DataFrame, edges: DataFrame, disabled: DataFrame |
     if disabled is not None:
         out = out.join(disabled.select(F.col("direction").alias("neighbour")), "neighbour", "left_anti")
     return out.select(F.col("neighbour").alias("direction"), F.struct("at.position", "at.edge_position").alias("at"))
+
+
+def contiguous(df: DataFrame, by: Sequence[str], number: str) -> DataFrame:
+    """Per group whether its numbers are exactly 1 to n, without gaps or repeats."""
+    n = F.col(number)
+    return df.groupBy(*by).agg(((F.count(n) == F.count_distinct(n)) & (F.min(n) == 1) & (F.max(n) == F.count("*"))).alias("contiguous"))
+
+
+def adjacent_groups(df: DataFrame, by: Sequence[str], start: Column, end: Column, order: Sequence[Column], gap: float) -> DataFrame:
+    """Numbers the runs of neighbours that lie at most gap apart (column island, from 0)."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    opens = F.coalesce((start - F.lag(end).over(w) > gap).cast("int"), F.lit(0))
+    return df.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+
+def first_positions(orderings: Sequence[DataFrame], key: str, position: str = "position") -> DataFrame:
+    """The keys of several ranked lists (key, position), each at its place in the first list that has it."""
+    every = None
+    for k, one in enumerate(orderings):
+        part = one.select(key, F.struct(F.lit(k).alias("list"), F.col(position).alias("place")).alias("at"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy(key).agg(F.min("at").alias("at"))
+
+
+def sync_statistics(records: DataFrame, key: str, merged: DataFrame) -> DataFrame:
+    """One row: records fetched, duplicates by key, and what the merge did with the rest."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    came = records.agg(F.count("*").alias("fetched"), (F.count("*") - F.count_distinct(key)).alias("duplicates"))
+    return came.join(F.broadcast(merged.agg(n("inserted"), n("updated"), n("untouched"))))

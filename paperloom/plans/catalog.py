@@ -13,30 +13,20 @@ from paperloom.functions import text as tx
 from paperloom.operators import documents as doc
 from paperloom.operators import relational as ra
 from paperloom.operators import structure as st
-from paperloom.plans.views import AS_OF, duck, model
+from paperloom.plans import more  # noqa: F401  registers its queries
+from paperloom.plans.registry import QUERIES, SQL, query
+from paperloom.plans.views import AS_OF, model
 from paperloom.streaming import events as ev
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 QUERY = "the reason der los dans"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = duck(sql)
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def _t(spark, sf, name):

@@ -101,3 +101,22 @@ def test_lease_machine(spark):
     rows = [(1, 1, "claim", "a", 0), (2, 1, "claim", "b", 300), (3, 1, "claim", "b", 301), (4, 1, "finish", "a", 302), (5, 1, "finish", "b", 303), (6, 1, "claim", "c", 304), (7, 1, "expire", "", 604), (8, 1, "expire", "", 605), (1, 2, "heartbeat", "a", 5)]
     out = ev.run_lease_commands(spark.createDataFrame(rows, "seq int, paper_id long, command string, token string, at long")).orderBy("paper_id", "seq").collect()
     assert [r["outcome"] for r in out] == ["claimed", "refused", "claimed", "refused", "done", "claimed", "refused", "done", "refused"]
+
+
+def test_multisets_terms_and_tokens(spark):
+    one = spark.range(1)
+    arr = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    left = lambda a, b: one.select(tx.multiset_except(arr(a), arr(b)).alias("x")).first()["x"]
+    assert left(["a", "b", "a", None, "a"], ["a", "c"]) == ["b", "a", None, "a"]
+    assert left(["a", None, None], [None, "a", "a"]) == [None] and left([], ["a"]) == []
+    ok = lambda t, b, q: one.select(tx.passes_terms(F.lit(t), F.lit(b), F.lit(q)).alias("x")).first()["x"]
+    assert ok(None, None, None) and ok("x", "y", "one") and not ok(None, "motion", "motion planning") and ok("motion", None, "motion planning")
+    assert one.select(tx.tokens_once(F.lit("a$1b"), arr(["$1"])).alias("x")).first()["x"]
+
+
+def test_islands_and_sequences(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 3, 4), ("a", 9, 10), ("b", 2, 3), ("b", None, None), ("b", 3, 3)], "k string, s int, e int")
+    got = {(r["k"], r["s"]): r["island"] for r in ra.adjacent_groups(df, ["k"], F.col("s"), F.col("e"), [F.col("s")], 1).collect()}
+    assert got == {("a", 1): 0, ("a", 3): 0, ("a", 9): 1, ("b", None): 0, ("b", 2): 0, ("b", 3): 0}
+    assert {r["k"]: r["contiguous"] for r in ra.contiguous(df.selectExpr("k", "s - 1 as n"), ["k"], "n").collect()} == {"a": False, "b": False}
+    assert ra.contiguous(df.where("false"), ["k"], "s").count() == 0
