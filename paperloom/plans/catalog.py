@@ -324,7 +324,7 @@ def freshness_fallback(spark, sf):
 _PAPERS = "(1, 'Motion planning for autonomous driving', 'A planner in nuscenes', ''), (2, 'Protein folding', 'drug discovery with networks', ''), (3, 'World model for robotics', 'video prediction', 'CoRL'), (4, '自动驾驶bev感知', 'lidar', ''), (5, 'Cooking', 'soup', '')"
 
 
-@query("SELECT * FROM (VALUES (1, 0.725), (2, 0.0), (3, 0.05), (4, 0.3), (5, 0.05)) AS t(id, score)")
+@query("SELECT id, CAST(score AS DOUBLE) AS score FROM (VALUES (1, 0.725), (2, 0.0), (3, 0.05), (4, 0.3), (5, 0.05)) AS t(id, score)")
 def relevance_score(spark, sf):
     """SCL-33; the expected scores are worked out by hand from the formula."""
     t = spark.sql(f"SELECT * FROM VALUES {_PAPERS} AS t(id, title, abstract, venue)")
