@@ -1,10 +1,15 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A leaf is a paragraph (line) and its digest; a section ends after each paragraph whose digest falls in an eighth of
-all digests, so that sections find each other again after an edit; its node is the digest of its leaves' digests, and
-the root is the digest of the sections'. Roots therefore test equality, and the sections and leaves that differ locate
-an edit. Each leaf also carries a 32-bit mark per 64 code points, and the first 256 code points one per 8, from which likeness
-is counted even for one long paragraph or a short text. The fingerprint string is `root|section,section,...|mark.mark...` in lowercase hex.
+The node of a paragraph (line) is its digest; a section ends after each paragraph whose digest falls in an eighth of
+all digests, so that sections find each other again after an edit; its node is the digest of its paragraphs' digests,
+and the root is the digest of the sections'. Roots therefore test equality, and the sections that differ locate an edit.
+
+The leaves are the pieces of the paragraphs. Everywhere in the text alike, a piece ends at a line break or where two
+neighbouring bytes of the UTF-8 text fall in two fixed classes (at 8 bytes at least, 128 at most), so that an edit
+changes the pieces around it and no others, wherever it lies. A leaf's mark holds 40 bits of its hash and its length in
+bytes; the second and later leaves of one content have marks of their own. Likeness is the length of the leaves that
+two texts share over the length of all their leaves; it is 1 too for texts of the same leaves in another order. The
+fingerprint string is `root|section,section,...|mark.mark...` in lowercase hex.
 
 Null texts are empty; empty texts have a fingerprint like any other (one empty paragraph), and two of them are alike.
 The next document is taken in descending order of doc_id (null last; rows with one doc_id by the hash of their
@@ -19,18 +24,41 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import partitions_for, table_bytes
 
-MARK_CHARS, NODE = 64, 16
-FINE_CHARS, FINE_PART = 8, 256
+NODE, LENGTH = 16, 8
+#: Where a piece may end: after a byte of 5 modulo 8 and one of 0 modulo 8, wherever in the text that is.
+_FIRST, _SECOND = ("".join(rf"\x{b:02x}" for b in range(256) if b % 8 == r) for r in (5, 0))
+#: A piece that ends so, at the end of its line, or at the largest length; together they are the whole text.
+PIECE = rf"[^\n]{{8,128}}?(?<=[{_FIRST}][{_SECOND}])|[^\n]{{0,127}}\n|[^\n]{{1,128}}"
 #: Between the digest of a paragraph that ends a section and the next one.
 SECTION_END = r"(?<=[01][0-9a-f]{15}),"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _mark(hashed: Column, length: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(hashed, 64 - 40), LENGTH).bitwiseOR(length)
+
+
+def _length(mark: Column) -> Column:
+    return mark.bitwiseAND(F.lit((1 << LENGTH) - 1).cast("long"))
+
+
+def _numbered(s: Column) -> Column:
+    """Sorted marks with each later one of a run of equals replaced by one of its number in the run."""
+    starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+    again = lambda x, j: F.when(j == 0, x).otherwise(_mark(F.xxhash64(x, j), _length(x)))
+    run = lambda q, p, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(q, k + 1), F.size(s)) - p - 1), lambda j: again(F.get(s, p), j))
+    return _let(starts, lambda q: F.flatten(F.transform(q, lambda p, k: run(q, p, k))))
+
+
 def marks(text: Column) -> Column:
-    """The distinct marks of a text."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[^\n]{1,%d}" % MARK_CHARS), F.lit(0))
-    fine = F.regexp_extract_all(F.substring(text, 1, FINE_PART), F.lit(r"(?s).{1,%d}" % FINE_CHARS), F.lit(0))
-    pieces = F.concat(pieces, fine)
-    return F.array_distinct(F.transform(pieces, lambda x: F.shiftright(F.xxhash64(x), 32).cast("int")))
+    """The marks of all leaves of a text."""
+    pieces = F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(PIECE), F.lit(0))
+    each = F.sort_array(F.transform(pieces, lambda x: _mark(F.xxhash64(x), F.length(x).cast("long"))))
+    return _let(each, lambda s: F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(_numbered(s)))
 
 
 def sections(text: Column) -> Column:
@@ -48,16 +76,16 @@ def fingerprint(root_: Column, sections_: Column, marks_: Column) -> Column:
 
 
 def likeness(root_a: Column, marks_a: Column, root_b: Column, marks_b: Column) -> Column:
-    """1 for equal roots, else the Jaccard likeness of the marks."""
-    both = F.size(F.array_intersect(marks_a, marks_b))
-    union = F.size(marks_a) + F.size(marks_b) - both
-    return F.when(root_a == root_b, F.lit(1.0)).when(union > 0, both / union).otherwise(F.lit(0.0))
+    """1 for equal roots, else the length of the shared leaves over that of all leaves of both."""
+    total = lambda ms: F.aggregate(ms, F.lit(0).cast("long"), lambda n, m: n + _length(m))
+    share = _let(total(F.array_intersect(marks_a, marks_b)), lambda both: both / (total(marks_a) + total(marks_b) - both))
+    return F.when(root_a == root_b, F.lit(1.0)).otherwise(share)
 
 
 def likeness_of(a: Column, b: Column) -> Column:
     """Likeness of two fingerprint strings."""
     part = lambda x, k: F.element_at(F.split(x, r"\|", -1), k)
-    ms = lambda x: F.filter(F.split(part(x, 3), r"\.", -1), lambda v: v != "")
+    ms = lambda x: F.transform(F.filter(F.split(part(x, 3), r"\.", -1), lambda v: v != ""), lambda v: F.conv(v, 16, 10).cast("long"))
     return likeness(part(a, 1), ms(a), part(b, 1), ms(b))
 
 

@@ -319,6 +319,22 @@ def test_merkle_locates_edits(spark):
     assert len(r["d"]) == 1 and r["s"] == [] and 0.9 < r["n"] < 1
 
 
+def test_merkle_likeness_has_no_favourite_place(spark):
+    """An edit counts by its length, not by its place; repeated leaves count each."""
+    text = _words(70, 600)
+    n = len(text)
+    changed = {"front": "Z" + text, "middle": text[: n // 2] + "Z" + text[n // 2 :], "end": text + "Z", "opening": _words(71, 90)[:256] + text[256:], "opening only": text[:256] + _words(72, 600)[: n - 256]}
+    leaf = "same line of words\n"
+    pairs = [(k, text, v) for k, v in changed.items()] + [("twice", leaf * 10, leaf * 20), ("empty", "", "x"), ("no spaces", "漢字" * 900, "x" + "漢字" * 900)]
+    df = spark.createDataFrame(pairs, "k string, a string, b string")
+    got = {r["k"]: r["n"] for r in df.select("k", merkle.likeness(merkle.root(merkle.sections(F.col("a"))), merkle.marks(F.col("a")), merkle.root(merkle.sections(F.col("b"))), merkle.marks(F.col("b"))).alias("n")).collect()}
+    assert min(got["front"], got["middle"], got["end"]) > 0.85
+    assert got["opening"] > 0.7 and got["opening only"] < 0.25
+    assert got["twice"] == pytest.approx(0.5) and got["empty"] == 0
+    lengths = df.select("a", F.expr("a").alias("t")).select("a", F.aggregate(merkle.marks(F.col("t")), F.lit(0).cast("long"), lambda s, m: s + m.bitwiseAND(F.lit(255).cast("long"))).alias("n")).collect()
+    assert all(r["n"] == len(r["a"].encode()) for r in lengths)
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline(spark):
     import corpus_pipeline as P
