@@ -103,6 +103,15 @@ def match_by_priority(new: DataFrame, old: DataFrame, keys: Sequence[tuple[str,
     return best.select(F.col("_new").alias(new_id), F.col("m._old").alias(old_id))
 
 
+def copy_classes(df: DataFrame, text: str, id_: str = "id") -> DataFrame:
+    """(id, copy_group, first_id, copies) per row: digest of the text, smallest id and number of rows of equal texts.
+
+    A null text is a copy of nothing. Groups are counted and joined, never expanded into pairs."""
+    p = df.select(id_, F.sha2(text, 256).alias("copy_group"))
+    groups = p.where("copy_group is not null").groupBy("copy_group").agg(F.min(id_).alias("first_id"), F.count("*").alias("copies"))
+    return p.join(groups.hint("merge"), "copy_group", "left").select(id_, "copy_group", F.coalesce("first_id", id_).alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def fold_merge(records: DataFrame, key: str, order: str) -> DataFrame:
     """Records of one key folded in encounter order: the last one's fields, the longest abstract (first of equals), the
     highest citations, sources in order of first sight, right-biased maps."""

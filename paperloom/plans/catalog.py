@@ -146,6 +146,13 @@ def alternative_copies(spark, sf):
     return p.where("id < 400").join(q, "h").where("id <> other").select("id", "other")
 
 
+@query("""SELECT id, sha256(abstract) AS copy_group, CASE WHEN abstract IS NULL THEN id ELSE min(id) OVER (PARTITION BY abstract) END AS first_id,
+CAST(CASE WHEN abstract IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY abstract) END AS BIGINT) AS copies FROM papers""")
+def copy_classes(spark, sf):
+    """JOIN-16 over all papers; straight from the documents, as the model's join with labels would shuffle whole texts."""
+    return ra.copy_classes(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract")), "abstract")
+
+
 @query("SELECT k AS direction, min(pos * 100 + npos) AS at FROM (SELECT * FROM (VALUES ('d2', 'd1', 0, 0), ('d2', 'd4', 0, 1), ('d4', 'd2', 1, 0), ('d4', 'd7', 1, 1), ('d4', 'd1', 1, 2)) AS t(d, k, pos, npos)) AS x WHERE k NOT IN ('d2', 'd4', 'd9') GROUP BY k")
 def neighbour_expansion(spark, sf):
     chosen = spark.sql("SELECT * FROM VALUES ('d2', 0), ('d4', 1) AS t(direction, position)")

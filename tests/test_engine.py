@@ -120,3 +120,10 @@ def test_islands_and_sequences(spark):
     assert got == {("a", 1): 0, ("a", 3): 0, ("a", 9): 1, ("b", None): 0, ("b", 2): 0, ("b", 3): 0}
     assert {r["k"]: r["contiguous"] for r in ra.contiguous(df.selectExpr("k", "s - 1 as n"), ["k"], "n").collect()} == {"a": False, "b": False}
     assert ra.contiguous(df.where("false"), ["k"], "s").count() == 0
+
+
+def test_copy_classes_have_every_paper(spark):
+    """Copies among high ids only, a large group and null texts."""
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 10 == 9, F.lit(None)).when(F.col("id") >= 1000, F.lit("same")).otherwise(F.col("id").cast("string")).alias("t"))
+    got = {r["id"]: (r["first_id"], r["copies"]) for r in ra.copy_classes(df, "t").collect()}
+    assert got == {i: (1000, 3600) if i >= 1000 and i % 10 != 9 else (i, 1) for i in range(5000)}
