@@ -95,14 +95,25 @@ def dedupe_key(df: DataFrame) -> Column:
 def match_by_priority(new: DataFrame, old: DataFrame, keys: Sequence[tuple[str, Column]], new_id: str = "new_id", old_id: str = "id") -> DataFrame:
     """(new_id, id) of the old row that the first matching key finds; smallest id if a key finds several.
 
-    Keys are unpivoted on both sides and equi-joined once, so an OR of conditions never becomes a nested loop.
+    Keys are unpivoted on both sides and equi-joined once, so an OR of conditions never becomes a nested loop; old rows
+    are reduced to one per key before, so that a frequent key isn't expanded into pairs.
     """
     kinds = lambda df, i: df.select(i, F.explode(F.array(*[F.struct(F.lit(k).alias("p"), c.cast("string").alias("v")) for k, (_, c) in enumerate(keys)])).alias("k")).select(i, "k.p", "k.v").where("v is not null and v <> ''")
     a, b = kinds(new.withColumnRenamed(new_id, "_new"), "_new"), kinds(old.withColumnRenamed(old_id, "_old"), "_old")
+    b = b.groupBy("p", "v").agg(F.min("_old").alias("_old")).where("_old is not null")
     best = a.join(b, ["p", "v"]).groupBy("_new").agg(F.min(F.struct("p", "_old")).alias("m"))
     return best.select(F.col("_new").alias(new_id), F.col("m._old").alias(old_id))
 
 
+def match_counts(df: DataFrame, key: str, year: str, id_: str = "id") -> DataFrame:
+    """(id, matches) per row: rows of equal key (a null one matches nothing) and year (null-safe), or the row itself.
+
+    Ids must be unique. Rows of one key and year are counted once, not paired."""
+    groups = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(year).alias("_y")).agg(F.count("*").alias("_n"))
+    j = df.join(groups, (F.col(key) == F.col("_k")) & F.col(year).eqNullSafe(F.col("_y")), "left")
+    return j.select(id_, F.coalesce("_n", F.lit(1)).alias("matches"))
+
+
 def copy_classes(df: DataFrame, text: str, id_: str = "id") -> DataFrame:
     """(id, copy_group, first_id, copies) per row: digest of the text, smallest id and number of rows of equal texts.
 

@@ -127,3 +127,27 @@ def test_copy_classes_have_every_paper(spark):
     df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 10 == 9, F.lit(None)).when(F.col("id") >= 1000, F.lit("same")).otherwise(F.col("id").cast("string")).alias("t"))
     got = {r["id"]: (r["first_id"], r["copies"]) for r in ra.copy_classes(df, "t").collect()}
     assert got == {i: (1000, 3600) if i >= 1000 and i % 10 != 9 else (i, 1) for i in range(5000)}
+
+
+def test_matches_of_all_papers(spark):
+    """Every row gets its matches, against pairs counted by brute force."""
+    rows = [(i, [None, "", "hot", "hot", f"t{i // 2}"][i % 5], None if i % 3 == 0 else i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, k string, year int")
+    want = {i: sum(i == j or (k is not None and k == k2 and y == y2) for j, k2, y2 in rows) for i, k, y in rows}
+    assert {r["id"]: r["matches"] for r in ra.match_counts(df, "k", "year").collect()} == want
+
+
+def test_priority_match_has_no_pairs(spark):
+    """Rows of one frequent key are joined with one row, not with each other."""
+    df = spark.range(3000).select("id", F.lit("hot").alias("k"))
+    out = ra.match_by_priority(df.withColumnRenamed("id", "new_id"), df, [("k", F.col("k"))])
+    assert out.count() == 3000 and {r["id"] for r in out.collect()} == {0}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_queries_match_all_papers(spark):
+    from paperloom.plans import catalog
+
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert catalog.queries()["entity_match_or_all"](spark, "/root/testdata/sf0.001").count() == n
+    assert {r["new_id"] % 4 for r in catalog.queries()["entity_match_priority_all"](spark, "/root/testdata/sf0.001").collect()} == {0, 1, 2, 3}
