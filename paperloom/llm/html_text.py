@@ -4,6 +4,10 @@ Pass one decides blocks by themselves: blocks inside menus, headers, footers, si
 reader comments (by element, class, id or role) or made of links are boilerplate; long blocks with enough stop words
 are text; link-free long blocks without them are boilerplate outside of an article. Everything else is ambiguous:
 short blocks, headings, and whatever an article holds that isn't boilerplate.
+A class or id counts only by whole names of a closed list (`sidebar`, `site-nav`; not `with-sidebar`), not around a main
+element, and, if no article or main is outside of such names, not around most of the page's text (except for reader
+comments). If pass one finds no text at all, the text is every block that isn't boilerplate by place or links (of the
+article, if there is one).
 Pass two gives ambiguous blocks the label of the nearest decided neighbour (inside an article: of the neighbours in it
 only, and text if there is none); between a text and a boilerplate neighbour at one distance the block is text if it
 shares its parent element with the text one.
@@ -39,32 +43,78 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BAD = frozenset("nav footer aside form head title button select option menu dialog iframe label fieldset figcaption".split()) - {"figcaption"}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = "script|style|noscript|template|textarea|svg|math|object|audio|video|canvas|xmp|noembed|noframes"
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|signup|paywall|side-?bars?|menus?|nav|navbar|navigation|breadcrumbs?|"
-    r"footers?|mast-?head|toolbar|share|sharing|social|related|recommend\w*|comments?|comment-?list|replies|disqus|popup|modal|overlay|login|pagination|pager|widgets?|tags?|skip-?link|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words of class and id names of boilerplate, and words that may stand beside them. A name is a hint if it has one of
+#: the former and nothing but these: `site-nav` is, `with-sidebar`, `has-comments` and `tag-travel` aren't.
+REPLIES = frozenset("comment comments commentlist replies disqus".split())
+HINTS = REPLIES | frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts "
+    "newsletter subscribe subscription signup paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footers masthead toolbar share sharing social related recommended recommendation recommendations "
+    "popup modal overlay login pagination pager widget widgets tag tags skiplink hidden".split()
 )
+BESIDE = frozenset("site main top bottom left right primary secondary page post global container wrapper wrap box bar list block area section inner outer side mast head skip link links buttons row slot unit 1 2 3 4".split())
+JOINED = frozenset("side-bar mast-head skip-link".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attr2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+NAME = re.compile(r"[-_]+")
 ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "bad", "article", "parent", "heading", "text", "label")
-
-    def __init__(self, bad, article, parent, heading):
-        self.parts, self.linked, self.bad, self.article, self.parent, self.heading, self.label = [], 0, bad, article, parent, heading, None
+    __slots__ = ("parts", "linked", "bad", "article", "parent", "heading", "text", "label", "hints", "outer")
+
+    def __init__(self, bad, hints, article, outer, parent, heading):
+        self.parts, self.linked, self.bad, self.hints, self.article, self.outer, self.parent, self.heading, self.label = [], 0, bad, hints, article, outer, parent, heading, None
+
+
+def hinted(value: str) -> tuple[bool, bool]:
+    """Whether a class or id value has a whole name of boilerplate, and one of reader comments."""
+    hint = replies = False
+    for name in value.lower().split():
+        words = [w for w in NAME.split(name) if w]
+        if all(w in HINTS or w in BESIDE for w in words) and (name.replace("_", "-") in JOINED or any(w in HINTS for w in words)):
+            hint, replies = True, replies or any(w in REPLIES for w in words)
+    return hint, replies
+
+
+_TOP = ("", False, (), 0, (), 0)
+
+
+def _weigh(out: list[_Block], replies: set[int], mains: set[int]) -> None:
+    """Which hints count: none outside of a main element, nor those around what is most of the page's text if no article
+    is outside of all hints (reader comments excepted)."""
+    size = lambda b: max(0, len(b.text) - b.linked)
+    for b in out:
+        if b.article in mains:
+            b.hints, b.outer = b.hints[len(b.outer) :], ()
+    held, total = {}, 0
+    for b in out:
+        if not b.bad:
+            total += size(b)
+            for h in b.hints:
+                held[h] = held.get(h, 0) + size(b)
+    clean = any(b.article and not b.outer and not b.bad for b in out)
+    void = set() if clean else {h for h, n in held.items() if 2 * n > total and h not in replies}
+    inside = lambda b: b.article and b.outer and not b.bad and not replies & set(b.outer)
+    rest = sum(size(b) for b in out if not b.bad and not b.hints)
+    if not clean and sum(size(b) for b in out if inside(b) and b.hints == b.outer) >= max(rest, 1):
+        void |= {h for b in out if inside(b) for h in b.outer}
+    for b in out:
+        if any(h not in void for h in b.outer):
+            b.article = 0
+        b.bad = b.bad or any(h not in void for h in b.hints)
 
 
 def blocks(page: str) -> list[_Block]:
     """Blocks in page order with their surroundings."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, bad so far, number of the article or 0, own number
+    stack: list[tuple[str, bool, tuple, int, tuple, int]] = []  # tag, bad so far, hints so far, number of the article or 0, hints around it, own number
+    replies: set[int] = set()
+    mains: set[int] = set()
     number, links, now = 0, 0, None
 
     def close():
@@ -81,10 +131,10 @@ def blocks(page: str) -> list[_Block]:
             if now is None:
                 if text.isspace():
                     continue
-                tag, bad, article, own = stack[-1] if stack else ("", False, 0, 0)
-                holder = next((s for s in reversed(stack) if s[0] in BLOCK), ("", False, 0, 0))
+                _, bad, hints, article, outer, _ = stack[-1] if stack else _TOP
+                holder = next((s for s in reversed(stack) if s[0] in BLOCK), _TOP)
                 k = max((i for i, s in enumerate(stack) if s[0] in BLOCK), default=0)
-                now = _Block(bad, article, stack[k - 1][3] if k else 0, holder[0] in HEADING)
+                now = _Block(bad, hints, article, outer, stack[k - 1][5] if k else 0, holder[0] in HEADING)
             now.parts.append(text)
             if links:
                 now.linked += len(text.strip())
@@ -111,19 +161,30 @@ def blocks(page: str) -> list[_Block]:
             if k is not None and not any(s[0] in BLOCK for s in stack[k + 1 :]):
                 links -= sum(s[0] == "a" for s in stack[k:])
                 del stack[k:]
-        _, bad, article, _ = stack[-1] if stack else ("", False, 0, 0)
+        _, bad, hints, article, outer, _ = stack[-1] if stack else _TOP
         number += 1
         if tag in ("article", "main") and not bad:
-            article = article or number
+            if not article or tag == "main" and hints and article not in mains:
+                article, outer = number, hints
+            if tag == "main" and article == number:
+                mains.add(number)
         if not bad and tag not in ("html", "body", "article", "main"):
             bad = tag in BAD or (tag == "header" and not article)
             for name, value in ATTR.findall(attr) if not bad and attr else ():
                 value = value.strip("\"'")
                 name = name.lower()
-                bad |= bool(HINT.search(value)) if name in ("class", "id") else value.lower() in ROLES if name == "role" else value.lower() != "false"
-        stack.append((tag, bad, article, number))
+                if name in ("class", "id"):
+                    hint, reply = hinted(value)
+                    if hint and number not in hints:
+                        hints += (number,)
+                    if reply:
+                        replies.add(number)
+                else:
+                    bad |= value.lower() in ROLES if name == "role" else value.lower() != "false"
+        stack.append((tag, bad, hints, article, outer, number))
         links += tag == "a"
     close()
+    _weigh(out, replies, mains)
     return out
 
 
@@ -138,6 +199,14 @@ def label(found: list[_Block]) -> None:
             b.label = True
         elif len(b.text) >= 3 * SHORT and not b.heading and not b.article:
             b.label = False
+    if not any(b.label for b in found):  # nothing to take a label from: all that isn't boilerplate by its place or links
+        pool = [b for b in found if not b.bad and b.linked <= LINKED * len(b.text)]
+        inside = any(b.article for b in pool)
+        for b in found:
+            b.label = False
+        for b in pool:
+            b.label = bool(b.article) or not inside
+        return
     n = len(found)
     before: list = [None] * n
     after: list = [None] * n

@@ -290,6 +290,24 @@ def test_html(spark):
     assert sorted(r["n_chars"] for r in got) == [0, 0, len(want), len(want)] and html_text.extract(df.where("false")).count() == 0
 
 
+SAID = "It is the best of all that we have had in the house, and it was for you."
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-sidebar", "page has-comments", "post hentry tag-travel", "elementor-widget-text", "sidebar-left", "widget"])
+def test_html_hints_are_whole_names(name):
+    nav, foot = "<nav><a href=x>A</a></nav><div class='site-nav'>Home</div>", "<div class=sidebar>Buy the best of the year here now.</div><footer>(c)</footer>"
+    for tag in ("div", "article", "main"):
+        assert html_text.main_text(f"<body>{nav}<div class='{name}'><{tag}><p>{SAID}</p><p>{SAID}</p></{tag}></div>{foot}</body>") == f"{SAID}\n{SAID}"
+
+
+def test_html_keeps_what_is_no_boilerplate():
+    page = "<nav><a href=x>A</a></nav><div><p>One line.</p><p>And another.</p></div><div class=ad>Buy</div><footer>(c)</footer>"
+    assert html_text.main_text(page) == "One line.\nAnd another."
+    assert html_text.main_text(f"<div class=related><main><p>{SAID}</p><div class=ad>Buy</div></main></div><div id=comments><article><p>{SAID} {SAID}</p></article></div>") == SAID
+    assert html_text.main_text(f"<div><p>{SAID}</p></div><div class=related><article><p>Teaser.</p></article></div><div id=comments><article><p>{SAID} {SAID}</p></article></div>") == SAID
+    assert html_text.main_text("<div><p>" + "漢字" * 200 + "</p></div><footer>(c)</footer>") == "漢字" * 200
+
+
 # ---------------------------------------------------------------- 10
 def test_merkle(spark, edge, empty):
     for parts in (1, 5):
