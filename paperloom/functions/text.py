@@ -32,6 +32,24 @@ def slugify(c: Column, fallback: Column | None = None) -> Column:
     return F.coalesce(truthy(out), fallback) if fallback is not None else out
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def runs(s: Column, key, each) -> Column:
+    """each(run) of the runs of equal keys (nulls are equal) of a sorted array."""
+    starts = F.filter(F.transform(s, lambda e, i: F.when((i == 0) | ~key(F.get(s, i - 1)).eqNullSafe(key(e)), i)), lambda i: i.isNotNull())
+    return let(starts, lambda q: F.transform(q, lambda p, k: each(F.slice(s, p + 1, F.coalesce(F.get(q, k + 1), F.size(s)) - p))))
+
+
+def inverted_index(words: Column) -> Column:
+    """map<word, array<position>> of an array of words, from its words sorted with their positions."""
+    pairs = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    entry = lambda run: F.struct(F.element_at(run, 1)["w"].alias("key"), F.transform(run, lambda e: e["p"]).alias("value"))
+    return let(pairs, lambda s: F.map_from_entries(runs(s, lambda e: e["w"], lambda run: let(run, entry))))
+
+
 def abstract_from_inverted_index(index: Column, limit: int | None = 1200) -> Column:
     """Words of map<word, array<position>> in the order of their positions."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
@@ -146,9 +164,16 @@ def safe_asset_name(c: Column) -> Column:
 
 
 def multiset_except(a: Column, b: Column) -> Column:
-    """What is left of a when each element of b takes away one equal element, first ones first."""
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y.eqNullSafe(x)))
-    return F.filter(a, lambda x, i: times(F.slice(a, F.lit(1), i + 1), x) > times(b, x))
+    """What is left of a when each element of b takes away one equal element, first ones first; null if either is.
+
+    Both are sorted together, so that work grows as sorting does: of a run of equal elements with n from b, which come
+    first, n of a's go too."""
+    one = lambda x, side, i: F.struct(x.alias("x"), F.lit(side).alias("side"), i.alias("i"))
+    both = F.sort_array(F.concat(F.transform(b, lambda x: one(x, 0, F.lit(0))), F.transform(a, lambda x, i: one(x, 1, i))))
+    taken = lambda run: F.size(F.filter(run, lambda e: e["side"] == 0))
+    left = lambda run: let(taken(run), lambda n: F.filter(run, lambda e, j: (e["side"] == 1) & (j >= 2 * n)))
+    kept = let(both, lambda s: F.flatten(runs(s, lambda e: e["x"], lambda run: let(run, left))))
+    return F.transform(F.sort_array(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def passes_terms(title: Column, body: Column, query: Column, stop_words: tuple[str, ...] = ()) -> Column:

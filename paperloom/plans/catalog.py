@@ -418,9 +418,14 @@ def inverted_index_roundtrip(spark, sf):
     """SCL-3: words to an inverted index and back."""
     words = F.split(F.regexp_replace(F.trim(F.substring("abstract", 1, 200)), r"\s+", " "), " ")
     p = model(spark, sf, "papers").select("id", words.alias("w"))
-    names = F.array_distinct("w")
-    index = F.map_from_arrays(names, F.transform(names, lambda n: F.filter(F.transform("w", lambda x, i: F.when(x == n, i)), lambda i: i.isNotNull())))
-    return p.select("id", tx.abstract_from_inverted_index(index, None).alias("text"))
+    return p.select("id", tx.abstract_from_inverted_index(tx.inverted_index(F.col("w")), None).alias("text"))
+
+
+@query("SELECT id, array_to_string(string_split(regexp_replace(trim(abstract), '\\s+', ' ', 'g'), ' '), ' ') AS text FROM papers")
+def inverted_index_whole(spark, sf):
+    """SCL-3 over whole abstracts, straight from the documents: the model's join with labels would shuffle them."""
+    p = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " ").alias("w"))
+    return p.select("id", tx.abstract_from_inverted_index(tx.inverted_index(F.col("w")), None).alias("text"))
 
 
 @query("SELECT paper_id AS paper_id, arg_max(event, struct_pack(a := created_at, b := id)) AS last_event, CAST(max(CASE WHEN event = 'save' THEN 1 ELSE 0 END) AS INT) AS ever_saved, CAST(count(*) AS BIGINT) AS n FROM paper_user_events GROUP BY paper_id")

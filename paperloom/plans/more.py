@@ -17,6 +17,11 @@ _IMPACT = "CASE WHEN citation_percentile IS NOT NULL THEN greatest(0.0, least(CA
 _FRONTIER = "CASE WHEN published_date IS NOT NULL THEN published_date >= DATE '2022-02-01' ELSE year >= 2022 END"
 
 
+def _texts(spark, sf):
+    """Papers without the model's join with labels, which would shuffle whole texts."""
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("venue"))
+
+
 def _values(spark, rows: str, names: str):
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
 
@@ -45,6 +50,12 @@ def embedding_input(spark, sf):
     return model(spark, sf, "papers").select("id", tx.embedding_text(F.col("title"), F.substring("abstract", 1, 100), none, F.col("venue"), 150).alias("text"))
 
 
+@query("SELECT id, substring(concat_ws(chr(10), nullif(title, ''), nullif(abstract, ''), nullif(venue, '')), 1, 6000) AS text FROM papers")
+def embedding_input_whole(spark, sf):
+    """Whole abstracts, up to the operator's own limit."""
+    return _texts(spark, sf).select("id", tx.embedding_text(F.col("title"), F.col("abstract"), F.lit(None).cast("string"), F.col("venue")).alias("text"))
+
+
 @query("SELECT * FROM (VALUES (1, '10.1/2'), (2, 'plain'), (3, '%zz'), (4, 'a b')) AS t(k, id)")
 def id_decode(spark, sf):
     t = _values(spark, "(1, '10.1%25252F2'), (2, 'plain'), (3, '%zz'), (4, 'a%20b')", "k, raw")
@@ -189,6 +200,13 @@ def formula_difference(spark, sf):
     return p.select("id", F.array_join(tx.multiset_except(F.col("a"), F.col("b")), " ").alias("remaining"))
 
 
+@query()
+def formula_difference_whole(spark, sf):
+    """SET-6 over the words of whole abstracts; without SQL, as list filters take the square of the words."""
+    p = _texts(spark, sf).select("id", F.split("abstract", " ").alias("a"), F.split("title", " ").alias("b"))
+    return p.select("id", F.array_join(tx.multiset_except(F.col("a"), F.col("b")), " ").alias("remaining"))
+
+
 @query("SELECT o_custkey AS o_custkey, count(n) = count(DISTINCT n) AND min(n) = 1 AND max(n) = count(*) AS contiguous FROM (SELECT o_custkey, o_orderkey % 3 + 1 AS n FROM orders) AS x GROUP BY o_custkey")
 def contiguous_numbers(spark, sf):
     """WIN-5."""

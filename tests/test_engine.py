@@ -151,3 +151,25 @@ def test_queries_match_all_papers(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert catalog.queries()["entity_match_or_all"](spark, "/root/testdata/sf0.001").count() == n
     assert {r["new_id"] % 4 for r in catalog.queries()["entity_match_priority_all"](spark, "/root/testdata/sf0.001").collect()} == {0, 1, 2, 3}
+
+
+def test_whole_abstracts(spark):
+    """Index, difference and embedding text of whole texts against brute force."""
+    from collections import Counter
+
+    from paperloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = lambda name, c: {r["id"]: r[c] for r in catalog.queries()[name](spark, sf).collect()}
+    left = rows("formula_difference_whole", "remaining")
+    assert max(map(len, texts.values())) > 15_000 and left.keys() == texts.keys()
+    for i, t in texts.items():
+        take, want = Counter(t[:80].split(" ")), []
+        for w in t.split(" "):
+            if take[w]:
+                take[w] -= 1
+            else:
+                want.append(w)
+        assert left[i] == " ".join(want)
+    assert max(map(len, rows("inverted_index_whole", "text").values())) > 15_000 and max(map(len, rows("embedding_input_whole", "text").values())) == 6000
