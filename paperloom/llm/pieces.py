@@ -11,8 +11,9 @@ the two alone, once per pair. Characters without a piece become byte pieces, whi
 Text is normalised as the model's identity rule has it: a dummy prefix, spaces as U+2581, nothing removed. Words are
 a run of U+2581 with what follows up to the next one or a newline; no piece reaches over such a border (checked).
 Null or empty texts have no ids. A text that holds U+2581 itself decodes to spaces there, as with the model's own
-library. Words already encoded are kept in a cache of bounded size; its state changes speed only. Repeated rows get
-equal ids, an empty table gives an empty table, extra columns stay (result columns replace namesakes).
+library. Words already encoded are kept in two generations of bounded size (a word met again moves to the younger one,
+which replaces the older when it is full); their state changes speed only. Repeated rows get equal ids, an empty table
+gives an empty table, extra columns stay (result columns replace namesakes).
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 from paperloom.llm.common import CLEAR, U64, extended, lean, put_columns, ranges
 
 MARK = "▁"
-WORD = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+WORD = re.compile(f"\n|[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+")
 DEEP = 16
-NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 16, 120_000, 21
+NEW_CHARS, CACHE_WORDS, PAIR_BITS = 1 << 17, 180_000, 21
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -52,6 +53,9 @@ class Pieces:
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model) if k == "byte"}
         raw = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte.items()}
         self.bytes_of = [raw.get(i, b"") for i in range(len(model))]
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.size_of = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
         assert max(map(len, self.ids)) <= DEEP and not any(MARK in p.lstrip(MARK) for p in self.ids)
         alphabet = sorted({c for p in self.ids for c in p})
         assert len(alphabet) < 65_000
@@ -71,6 +75,7 @@ class Pieces:
         self.length[-1] = 1  # id -1: a character without a piece
         self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _quads(chars: np.ndarray) -> np.ndarray:
@@ -80,16 +85,16 @@ class Pieces:
     # ------------------------------------------------------------ merging two pieces
     def merged(self, text: str) -> list[str]:
         """Plain BPE: the best-scored pair, leftmost first, is merged while there is one."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = self.score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get, none = list(text), self.score.get, -np.inf
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], none)
         return parts
 
     def neighbours(self, left: np.ndarray, right: np.ndarray, names: list[str]) -> np.ndarray:
@@ -102,7 +107,7 @@ class Pieces:
         miss = np.flatnonzero(~known)
         if len(miss):
             new, back = np.unique(keys[miss], return_inverse=True)
-            fits = np.array([self.merged((a := names[key >> 20]) + (b := names[key & 0xFFFFF])) == [a, b] for key in new.tolist()])
+            fits = np.array([(both := (a := names[key >> 20]) + (b := names[key & 0xFFFFF])) not in self.ids and self.merged(both) == [a, b] for key in new.tolist()])
             ok[miss] = fits[back]
             at = slot[miss]  # one key a slot: a later one takes its place and an earlier one is merged again when met
             self.pair_keys[at], self.pair_ok[at] = keys[miss], fits[back]
@@ -116,7 +121,7 @@ class Pieces:
         quad = (padded[:n] << U64(48)) | (padded[1 : n + 1] << U64(32)) | (padded[2 : n + 2] << U64(16)) | padded[3 : n + 3]
 
         def ranked(keys):
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             s = keys[order]
             a, b = ranges(s)
             rank = np.empty(n + DEEP, U64)
@@ -169,6 +174,7 @@ class Pieces:
     # ------------------------------------------------------------ words
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids (little-endian int32) of each word."""
+        words = [w.replace(" ", MARK) for w in words]
         points = np.frombuffer("\0".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lens = np.array([len(w) for w in words], np.int64)
         begin = np.cumsum(lens + 1) - lens - 1
@@ -232,37 +238,39 @@ class Pieces:
 
     def encode(self, texts: list) -> list[bytes]:
         out: list[bytes] = []
-        split, fresh, size, waiting = [], {}, 0, []
+        split, fresh, size = [], set(), 0
 
         def settle():
             nonlocal fresh, size, split
-            if fresh:
-                if len(self.words) + len(fresh) > CACHE_WORDS:
-                    self.words = {}
-                    for ws in split:
-                        for w in ws:
-                            fresh[w] = None
-                new = list(fresh)
-                for k in range(0, len(new), 100_000):
-                    self.words |= zip(new[k : k + 100_000], self.encode_words(new[k : k + 100_000]))
+            new = list(fresh)
+            for k in range(0, len(new), 100_000):
+                self.words |= zip(new[k : k + 100_000], self.encode_words(new[k : k + 100_000]))
             get = self.words.__getitem__
             out.extend(b"".join(map(get, ws)) for ws in split)
-            fresh, size, split = {}, 0, []
+            fresh, size, split = set(), 0, []
+            if len(self.words) > CACHE_WORDS:
+                self.words, self.older = {}, self.words
 
         for t in texts:
-            ws = WORD.findall(MARK + t.replace(" ", MARK)) if t else waiting
+            ws = WORD.findall(" " + t) if t else []
             split.append(ws)
-            for w in ws:
-                if w not in self.words and w not in fresh:
-                    fresh[w] = None
+            for w in set(ws).difference(self.words, fresh):
+                known = self.older.get(w)
+                if known is None:
+                    fresh.add(w)
                     size += len(w)
+                else:
+                    self.words[w] = known
             if size > NEW_CHARS:
                 settle()
         settle()
         return out
 
     def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        i = np.frombuffer(ids, "<i4")
+        n = self.size_of[i]
+        at = np.repeat(self.start_of[i] - (np.cumsum(n) - n), n)
+        text = self.flat[at + np.arange(len(at))].tobytes().decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
