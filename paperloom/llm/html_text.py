@@ -14,14 +14,15 @@ shares its parent element with the text one.
 
 Character references are decoded once, white space inside a block (no-break spaces and line breaks too) becomes one
 space, blocks are trimmed and joined by one newline in page order. Null, empty or markup-only pages give an empty
-text; unclosed and stray tags, unclosed comments and truncated pages are read as far as they go. Repeated rows get
-equal texts; an empty table gives an empty table; extra columns stay, except namesakes of the result columns.
+text; unclosed and stray tags, unclosed comments and truncated pages are read as far as they go, in time linear in the
+page however deep its elements are nested. Repeated rows get equal texts; an empty table gives an empty table; extra columns stay, except namesakes of the result columns.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict, namedtuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,16 +41,16 @@ STOP_WORDS = frozenset(
 )
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul caption iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD = frozenset("nav footer aside form head title button select option menu dialog iframe label fieldset figcaption".split()) - {"figcaption"}
+BAD = frozenset("nav footer aside form head title button select option menu dialog iframe".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-RAW = "script|style|noscript|template|textarea|svg|math|object|audio|video|canvas|xmp|noembed|noframes"
+RAW = "script|style|noscript|template|textarea|noembed|noframes"
 #: Words of class and id names of boilerplate, and words that may stand beside them. A name is a hint if it has one of
-#: the former and nothing but these: `site-nav` is, `with-sidebar`, `has-comments` and `tag-travel` aren't.
+#: the former and nothing but these: `site-nav` is, `with-sidebar`, `has-comments` and `tag-travel` aren't. Only names of
+#: what is to go: menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 REPLIES = frozenset("comment comments commentlist replies disqus".split())
 HINTS = REPLIES | frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts "
-    "newsletter subscribe subscription signup paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footers masthead toolbar share sharing social related recommended recommendation recommendations "
-    "popup modal overlay login pagination pager widget widgets tag tags skiplink hidden".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts popup "
+    "newsletter subscribe subscription signup paywall login sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer footers masthead skiplink".split()
 )
 BESIDE = frozenset("site main top bottom left right primary secondary page post global container wrapper wrap box bar list block area section inner outer side mast head skip link links buttons row slot unit 1 2 3 4".split())
 JOINED = frozenset("side-bar mast-head skip-link".split())
@@ -60,7 +61,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAME = re.compile(r"[-_]+")
-ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -81,41 +82,105 @@ def hinted(value: str) -> tuple[bool, bool]:
     return hint, replies
 
 
-_TOP = ("", False, (), 0, (), 0)
+class _Hints:
+    """The hinted elements of a page: each knows the hinted element around it (0: none), so all is linear in the page."""
 
+    def __init__(self):
+        self.around: dict[int, int] = {}  # in page order, so an element comes after the one around it
+        self.replies: set[int] = set()
 
-def _weigh(out: list[_Block], replies: set[int], mains: set[int]) -> None:
-    """Which hints count: none outside of a main element, nor those around what is most of the page's text if no article
-    is outside of all hints (reader comments excepted)."""
+    def add(self, number: int, around: int, reply: bool) -> int:
+        self.around[number] = around
+        if reply:
+            self.replies.add(number)
+        return number
+
+    def below(self, mark) -> set[int]:
+        """Hinted elements for which mark holds, and those inside of them."""
+        out: set[int] = set()
+        for h, up in self.around.items():
+            if up in out or mark(h):
+                out.add(h)
+        return out
+
+
+def _weigh(out: list[_Block], hints: _Hints) -> None:
+    """Which hints count: not those around what is most of the page's text if no article is outside of all hints (reader
+    comments excepted)."""
     size = lambda b: max(0, len(b.text) - b.linked)
-    for b in out:
-        if b.article in mains:
-            b.hints, b.outer = b.hints[len(b.outer) :], ()
-    held, total = {}, 0
+    held, total = dict.fromkeys(hints.around, 0), 0
     for b in out:
         if not b.bad:
             total += size(b)
-            for h in b.hints:
-                held[h] = held.get(h, 0) + size(b)
+            if b.hints:
+                held[b.hints] += size(b)
+    for h, up in reversed(hints.around.items()):
+        if up:
+            held[up] += held[h]
     clean = any(b.article and not b.outer and not b.bad for b in out)
-    void = set() if clean else {h for h, n in held.items() if 2 * n > total and h not in replies}
-    inside = lambda b: b.article and b.outer and not b.bad and not replies & set(b.outer)
+    void = set() if clean else {h for h, n in held.items() if 2 * n > total and h not in hints.replies}
+    talk = hints.below(lambda h: h in hints.replies)
+    inside = [b for b in out if b.article and b.outer and not b.bad and b.outer not in talk]
     rest = sum(size(b) for b in out if not b.bad and not b.hints)
-    if not clean and sum(size(b) for b in out if inside(b) and b.hints == b.outer) >= max(rest, 1):
-        void |= {h for b in out if inside(b) for h in b.outer}
+    if not clean and sum(size(b) for b in inside if b.hints == b.outer) >= max(rest, 1):
+        seen: set[int] = set()
+        for b in inside:
+            h = b.outer
+            while h and h not in seen:
+                seen.add(h)
+                h = hints.around[h]
+        void |= seen
+    counts = hints.below(lambda h: h not in void)
     for b in out:
-        if any(h not in void for h in b.outer):
+        if b.outer in counts:
             b.article = 0
-        b.bad = b.bad or any(h not in void for h in b.hints)
+        b.bad = b.bad or b.hints in counts
+
+
+#: What an open element is to what stands in it.
+_Open = namedtuple("_Open", "tag bad hints article outer number")
+_TOP = _Open("", False, 0, 0, 0, 0)
+
+
+class _Stack:
+    """Open elements; where each tag and the last block element are is known without looking through them."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else _TOP
+
+    def push(self, e: _Open) -> None:
+        self.at[e.tag].append(len(self.open))
+        if e.tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(e)
+
+    def close(self, tag: str, through_blocks: bool) -> None:
+        """Closes the last element of that tag and all in it, unless block elements are in the way."""
+        k = self.at[tag][-1] if self.at[tag] else None
+        if k is None or (not through_blocks and self.blocks and self.blocks[-1] > k):
+            return
+        while len(self.open) > k:
+            e = self.open.pop()
+            self.at[e.tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+
+    def holder(self) -> tuple[str, int]:
+        """Tag of the last block element, and number of the element around it."""
+        k = self.blocks[-1] if self.blocks else 0
+        return self.open[k].tag if self.blocks else "", self.open[k - 1].number if k else 0
 
 
 def blocks(page: str) -> list[_Block]:
     """Blocks in page order with their surroundings."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, tuple, int, tuple, int]] = []  # tag, bad so far, hints so far, number of the article or 0, hints around it, own number
-    replies: set[int] = set()
+    stack, hints, number, now = _Stack(), _Hints(), 0, None
     mains: set[int] = set()
-    number, links, now = 0, 0, None
 
     def close():
         nonlocal now
@@ -131,12 +196,10 @@ def blocks(page: str) -> list[_Block]:
             if now is None:
                 if text.isspace():
                     continue
-                _, bad, hints, article, outer, _ = stack[-1] if stack else _TOP
-                holder = next((s for s in reversed(stack) if s[0] in BLOCK), _TOP)
-                k = max((i for i, s in enumerate(stack) if s[0] in BLOCK), default=0)
-                now = _Block(bad, hints, article, outer, stack[k - 1][5] if k else 0, holder[0] in HEADING)
+                e, (holder, parent) = stack.top(), stack.holder()
+                now = _Block(e.bad, e.hints, e.article, e.outer, parent, holder in HEADING)
             now.parts.append(text)
-            if links:
+            if stack.at["a"]:
                 now.linked += len(text.strip())
             continue
         tag = m["tag"] or m["tag2"]
@@ -148,43 +211,34 @@ def blocks(page: str) -> list[_Block]:
         elif tag == "br" and now is not None:
             now.parts.append(" ")
         if m["end"] or m["end2"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and not (tag not in BLOCK and any(s[0] in BLOCK for s in stack[k + 1 :])):
-                links -= sum(s[0] == "a" for s in stack[k:])
-                del stack[k:]
+            stack.close(tag, tag in BLOCK)
             continue
         attr = m["attr"] if m["tag"] else m["attr2"]
         if tag in VOID:
             continue
         if tag == "p" or tag == "li":  # a paragraph ends where the next begins
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and not any(s[0] in BLOCK for s in stack[k + 1 :]):
-                links -= sum(s[0] == "a" for s in stack[k:])
-                del stack[k:]
-        _, bad, hints, article, outer, _ = stack[-1] if stack else _TOP
+            k = stack.at[tag]
+            if k and stack.blocks[-1] == k[-1]:
+                stack.close(tag, True)
+        _, bad, hint, article, outer, _ = stack.top()
         number += 1
         if tag in ("article", "main") and not bad:
-            if not article or tag == "main" and hints and article not in mains:
-                article, outer = number, hints
-            if tag == "main" and article == number:
+            if not article or tag == "main" and hint and article not in mains:
+                article, outer = number, hint
+            if tag == "main" and article == number:  # hints around a main element don't count in it
                 mains.add(number)
+                hint = outer = 0
         if not bad and tag not in ("html", "body", "article", "main"):
             bad = tag in BAD or (tag == "header" and not article)
             for name, value in ATTR.findall(attr) if not bad and attr else ():
                 value = value.strip("\"'")
-                name = name.lower()
-                if name in ("class", "id"):
-                    hint, reply = hinted(value)
-                    if hint and number not in hints:
-                        hints += (number,)
-                    if reply:
-                        replies.add(number)
-                else:
-                    bad |= value.lower() in ROLES if name == "role" else value.lower() != "false"
-        stack.append((tag, bad, hints, article, outer, number))
-        links += tag == "a"
+                if name.lower() == "role":
+                    bad |= value.lower() in ROLES
+                elif (found := hinted(value))[0]:
+                    hint = hints.add(number, hint if hint != number else hints.around[number], found[1] or number in hints.replies)
+        stack.push(_Open(tag, bad, hint, article, outer, number))
     close()
-    _weigh(out, replies, mains)
+    _weigh(out, hints)
     return out
 
 
@@ -207,7 +261,7 @@ def label(found: list[_Block]) -> None:
         for b in pool:
             b.label = bool(b.article) or not inside
         return
-    n = len(found)
+    n, some = len(found), any(b.label for b in found)
     before: list = [None] * n
     after: list = [None] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -223,7 +277,7 @@ def label(found: list[_Block]) -> None:
             continue
         near = sorted((abs(i - j), found[j].label, j) for j in (before[i], after[i]) if j is not None)
         if not near:
-            b.parts = bool(b.article) or not any(x.label for x in found)
+            b.parts = bool(b.article) or not some
         elif len(near) == 2 and near[0][0] == near[1][0] and near[0][1] != near[1][1]:
             good = found[near[0][2] if near[0][1] else near[1][2]]
             b.parts = bool(b.article) or good.parent == b.parent
