@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows.
 
-A conversation is cut into windows of whole turns: running sums of turn tokens choose how many new turns fit the
-budget beside the system turn, which every window retains, and the last turns before (up to a history budget), which
-are repeated for context. The loss mask of a window covers the texts of its new assistant turns alone, so every
-assistant text is a target exactly once. A turn over the budget gets a window of its own and is never cut.
+A conversation is cut into windows of whole turns: prefix sums of turn tokens choose how many new turns fit the budget
+beside the system turn, which every window retains, and the last turns before (up to a history budget), which are
+repeated for context. The loss mask of a window covers the texts of its new assistant turns alone, so every assistant
+text is a target exactly once. A turn over the budget gets a window of its own and is never cut. A system turn of more
+than half the budget stands in the first window only: repeated, it would leave the windows to itself.
 
 The template is `<|im_start|>role`, a newline, the text, `<|im_end|>`, a newline. Inside texts and roles each `<`
 followed by any number of `\\` and a `|` gets one more `\\` after the `<`, so that no control string can occur there;
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,44 +53,47 @@ def _unrole(role: str) -> str:
 
 
 class _Windows:
-    """The windows of one conversation, turn by turn."""
+    """The windows of one conversation, turn by turn. ends are the prefix sums of the tokens of the turns held."""
 
     def __init__(self, conv, budget: int, history: int):
         self.conv, self.budget, self.history, self.number = conv, budget, history, 0
-        self.system = None
-        self.old: list[tuple[str, str, int]] = []
-        self.new: list[tuple[str, str, int]] = []
-        self.used = 0
+        self.system: tuple[str, str] | None = None
+        self.fixed = 0  # tokens of the system turn that is retained
+        self.turns: list[tuple[str, str]] = []
+        self.ends = [0]
+        self.new = 0  # where the new turns begin
+
+    def _forget(self, k: int) -> None:
+        """The first k turns held go."""
+        del self.turns[:k]
+        self.ends = [e - self.ends[k] for e in self.ends[k:]]
+        self.new = max(0, self.new - k)
 
     def add(self, role: str, text: str):
-        turn = (role, text, count_tokens(text))
-        if self.new and self.used + turn[2] > self.budget:
+        n = count_tokens(text)
+        if self.new < len(self.turns) and self.fixed + self.ends[-1] + n > self.budget:
             yield self.flush()
-        if not self.new:
-            self.used = (self.system[2] if self.system else 0) + sum(t[2] for t in self.old)
-            while self.old and self.used + turn[2] > self.budget:  # a long turn leaves less room for history
-                self.used -= self.old.pop(0)[2]
-        self.new.append(turn)
-        self.used += turn[2]
+        if self.new == len(self.turns):  # a long turn leaves less room for history
+            self._forget(min(bisect_left(self.ends, self.ends[-1] + self.fixed + n - self.budget), len(self.turns)))
+        self.turns.append((role, text))
+        self.ends.append(self.ends[-1] + n)
 
     def flush(self):
-        repeated = ([self.system] if self.system else []) + self.old
+        repeated = ([self.system] if self.system else []) + self.turns[: self.new]
         out, loss, at = [], [], 0
-        for k, (role, text, _) in enumerate(repeated + self.new):
+        for k, (role, text) in enumerate(repeated + self.turns[self.new :]):
             head, body = f"{OPEN}{_role(role)}\n", escape(text)
             if k >= len(repeated) and role == "assistant":
                 loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
             out.append(f"{head}{body}{CLOSE}\n")
             at += len(out[-1])
         row = (self.conv, self.number, "".join(out), len(repeated), loss)
-        if self.number == 0 and self.new[0][0] == "system":
-            self.system = self.new[0]
-        tail = [t for t in self.old + self.new if t is not self.system]
-        room, keep = self.history, len(tail)
-        while keep and tail[keep - 1][2] <= room:
-            keep -= 1
-            room -= tail[keep][2]
-        self.old, self.new, self.number = tail[keep:], [], self.number + 1
+        if self.number == 0 and self.turns[0][0] == "system":
+            if self.ends[1] <= self.budget // 2:
+                self.system, self.fixed = self.turns[0], self.ends[1]
+            self._forget(1)
+        self._forget(bisect_left(self.ends, self.ends[-1] - self.history))
+        self.new, self.number = len(self.turns), self.number + 1
         return row
 
 
