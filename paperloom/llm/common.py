@@ -8,6 +8,7 @@ and small replies back to the blocks.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -26,9 +27,11 @@ U64 = np.uint64
 
 # ---------------------------------------------------------------- scratch
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where unset, as in tests) a temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir; only in local mode, as in tests, a temporary one if unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,25 +44,44 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Written intermediate tables of one operator run; a table is dropped as soon as nothing reads it any more."""
+    """Written intermediate tables of one operator run; a table is dropped as soon as nothing reads it any more.
+
+    As a context manager it drops what is left at the end, but for results; after an error these go too. Results are
+    read by whoever called the operator, so they stay until the application ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/paperloom-{uuid.uuid4().hex}"
         self.tables: dict[str, str] = {}
+        self.names: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, error, *_) -> None:
+        self.drop(*(n for n in sorted(self.names) if error or n != "result"))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def result(self, df: DataFrame) -> DataFrame:
+        _RESULTS.append((self.spark, self.root))
+        return self.write(df, "result")
+
     def write_bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """One file a bucket: rows go to their bucket's task first."""
         table = f"paperloom_{name}_{uuid.uuid4().hex}"
-        df.write.option("path", f"{self.root}/{name}").bucketBy(n, key).saveAsTable(table)
+        self.names.add(name)
         self.tables[name] = table
+        df.repartition(n, key).write.option("path", f"{self.root}/{name}").bucketBy(n, key).saveAsTable(table)
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
         for name in names:
+            self.names.discard(name)
             if name in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             with contextlib.suppress(Exception):  # a leftover costs disk, not results
@@ -67,6 +89,16 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove shuffles nobody reads any more
 
 
+_RESULTS: list = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, root in _RESULTS:
+        with contextlib.suppress(Exception):
+            _delete(spark, root)
+
+
 MOST_BUCKETS = 50_000  # of a table; Spark's own limit is twice that
 
 
@@ -130,7 +162,7 @@ def _blocks(describe, text: str):
 
 
 def blocks_of(scratch: Scratch, df: DataFrame, text: str = "text", describe=None, describe_ddl: str = "") -> DataFrame:
-    """Packs all rows of df into a bucketed table (block, part, n_bytes[, docs]); no shuffle of texts."""
+    """Packs all rows of df into a bucketed table (block, part, n_bytes[, docs]); texts are shuffled this once, packed."""
     import pyarrow.compute  # noqa: F401
 
     n = min(MOST_BUCKETS, partitions_for(scratch.spark, table_bytes(df, text)))
@@ -170,18 +202,18 @@ def _table(seed: int, n: int) -> np.ndarray:
 class Roller:
     """Polynomial fingerprints mod 2^64 of substrings of one byte array, from prefix sums over a random byte table."""
 
-    _powers: list[np.ndarray] = []
-    BASE = 0xD1342543DE82EF95
+    _powers: dict[int, list[np.ndarray]] = {}
+    BASE, SECOND = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
-    def __init__(self, data: np.ndarray, seed: int):
+    def __init__(self, data: np.ndarray, seed: int, base: int = BASE):
         n = len(data)
-        powers = self._powers
+        powers = self._powers.get(base)
         if not powers or len(powers[0]) < n + 1:
             size = max(n + 1, BLOCK_BYTES + (BLOCK_BYTES >> 3))
-            bases = (self.BASE, pow(self.BASE, -1, 1 << 64))
+            bases = (base, pow(base, -1, 1 << 64))
             powers = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, dtype=U64)]), dtype=U64) for b in bases]
             if n <= 2 * BLOCK_BYTES:  # kept for the next blocks of this worker, unless one long text needed more
-                Roller._powers = powers
+                Roller._powers[base] = powers
         self.inverse = powers[1]
         self.sums = np.zeros(n + 1, dtype=U64)
         np.cumsum(_table(seed, 256)[data] * powers[0][:n], out=self.sums[1:])
@@ -279,6 +311,16 @@ def exchange_counts(messages: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- columns
+def at_most(bounds: list, column, kind: str):
+    """How many of the ascending bounds are at most the value, by binary search; 0 for null. One folded literal."""
+    if not bounds:
+        return F.lit(0)
+    table, steps = F.split(F.lit(",".join(map(repr, bounds))), ",").cast(f"array<{kind}>"), [1]
+    while steps[-1] * 2 <= len(bounds):
+        steps.append(steps[-1] * 2)
+    return F.aggregate(F.array(*map(F.lit, reversed(steps))), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(table, lo + s - 1) <= column), lo + s).otherwise(lo))
+
+
 def extended(schema, fields):
     """A schema with fields added at the end; they replace fields of the same name (in any case)."""
     from pyspark.sql.types import StructType

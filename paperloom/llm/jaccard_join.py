@@ -16,10 +16,11 @@ longer shrinks; there each pair that is not connected yet and that no triangle i
 Regions over REGION_SHINGLES are split over tasks with some common pivots; components that stay apart then meet in
 pairs of parts, so that neither one task nor all pairs of a group of copies are ever needed.
 
-Equal sets are one class from the start. Result: per document its set size and the smallest doc_id reachable by links.
-Null or wordless texts have the empty set and link with nothing; rows with a null doc_id are kept, take part through
-copies only as far as an equal set with an id does, and have component_id null otherwise; rows with one doc_id are
-taken as one document. An empty table gives an empty table; extra columns are ignored by the join.
+Equal sets are one node from the start, whatever the ids of their rows. Result: per row its set size and the smallest
+doc_id reachable by links. Null or wordless texts have the empty set and link with nothing. Rows are documents: rows
+that share a doc_id but differ in their texts link each for itself, and rows with a null doc_id take part like others;
+component_id is the smallest doc_id of the component that is not null (null if none is). An empty table gives an empty
+table; extra columns are ignored by the join.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from paperloom.llm.components import Union, components, forest
 WORDS = 5
 PERCENT = 75
 REGION_SHINGLES = 250_000
+PIECE = 2_000  # members of a hot pivot's piece
 COMMON_PIVOTS = 12
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -122,7 +124,10 @@ def window_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _windows(n_buckets: int, words: int, percent: int):
-    """(bucket, shingle, doc, n) of the shared pivots in the window of each document."""
+    """(bucket, shingle, node, n, hot) of the shared pivots in the window of each document.
+
+    A pivot that many sets hold is hot: its members are dealt over pieces, each in a bucket of its own.
+    """
 
     def make(frames):
         for f in frames:
@@ -137,19 +142,41 @@ def _windows(n_buckets: int, words: int, percent: int):
                 own, code = s.own[order], code[order]
                 keep = (rank < window_size(s.n, percent)[own]) & (code > 0)
                 node = np.array([c["node"] for c in s.chosen], np.int64)
-                yield pd.DataFrame({"bucket": (s.h[order][keep] % U64(n_buckets)).astype(np.int32), "shingle": s.h[order][keep].view(np.int64), "node": node[own[keep]], "n": s.n[own[keep]]})
+                shingle, node = s.h[order][keep], node[own[keep]]
+                pieces = np.ceil(2.0 ** ((code[keep].astype(float) - 1) / 4) / PIECE).astype(np.int64)  # a code is 1 + 4 * log2(times)
+                piece = (splitmix(node.view(U64)) % pieces.astype(U64)).astype(U64)
+                bucket = ((shingle + splitmix(piece + U64(1)) * (pieces > 1).astype(U64)) % U64(n_buckets)).astype(np.int32)
+                yield pd.DataFrame({"bucket": bucket, "shingle": shingle.view(np.int64), "node": node, "n": s.n[own[keep]], "hot": pieces > 1})
 
     return make
 
 
 def _share_pivots(percent: int):
     def edges(frame: pd.DataFrame) -> pd.DataFrame:
-        """Neighbours by size in each pivot's region, as far as sizes allow a link: a forest that spans them."""
-        order = np.lexsort((frame["node"].to_numpy(), frame["n"].to_numpy(), frame["shingle"].to_numpy()))
-        sh, n, node = (frame[c].to_numpy()[order] for c in ("shingle", "n", "node"))
+        """Neighbours by size in each pivot's region, as far as sizes allow a link: a forest that spans them (first is
+        null), and for each run of neighbours of a hot pivot its sizes and a member."""
+        frame = frame.sort_values(["shingle", "n", "node"])
+        sh, n, node, hot = (frame[c].to_numpy() for c in ("shingle", "n", "node", "hot"))
         near = (sh[1:] == sh[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
         hi, lo = forest(node[1:][near], node[:-1][near])
-        return pd.DataFrame({"hi": hi, "lo": lo})
+        out = pd.DataFrame({"hi": hi, "lo": lo, "shingle": 0, "first": pd.array([pd.NA] * len(hi), "Int64"), "last": pd.array([pd.NA] * len(hi), "Int64")})
+        if not hot.any():
+            return out
+        a = np.flatnonzero(np.concatenate(([True], ~near)))
+        b = np.append(a[1:], len(n)) - 1
+        a, b = a[hot[a]], b[hot[a]]
+        return pd.concat([out, pd.DataFrame({"hi": node[a], "lo": node[a], "shingle": sh[a], "first": pd.array(n[a], "Int64"), "last": pd.array(n[b], "Int64")})])
+
+    return edges
+
+
+def _join_runs(percent: int):
+    def edges(frame: pd.DataFrame) -> pd.DataFrame:
+        """The runs of all pieces of one hot pivot: those whose sizes overlap or are near belong together."""
+        frame = frame.sort_values(["first", "last", "hi"])
+        first, top, node = frame["first"].to_numpy(np.int64), np.maximum.accumulate(frame["last"].to_numpy(np.int64)), frame["hi"].to_numpy(np.int64)
+        near = top[:-1] * 100 >= first[1:] * percent
+        return pd.DataFrame({"hi": node[1:][near], "lo": node[:-1][near]})
 
     return edges
 
@@ -162,7 +189,7 @@ def _ship(words: int):
                     continue
                 s = _Sets(blob, chosen, words)
                 at = np.concatenate(([0], np.cumsum(s.n)))
-                rows = [(t, c["region"], c["node"], c.get("comp", 0), s.h[at[k] : at[k + 1]].tobytes()) for k, c in enumerate(s.chosen) for t in c["tasks"]]
+                rows = [(t, c["region"], c["node"], c.get("comp", -1), s.h[at[k] : at[k + 1]].tobytes()) for k, c in enumerate(s.chosen) for t in c["tasks"]]
                 yield pd.DataFrame(rows, columns=["task", "region", "node", "comp", "shingles"])
 
     return ship
@@ -256,7 +283,7 @@ def _join_task(percent: int):
             part = frame.iloc[a:b]
             node = part["node"].to_numpy()
             comp = part["comp"].to_numpy()
-            m = MetricJoin([np.frombuffer(x, U64) for x in part["shingles"]], None if (comp == 0).all() else [(0, int(c)) if c else (1, i) for i, c in enumerate(comp)], percent)
+            m = MetricJoin([np.frombuffer(x, U64) for x in part["shingles"]], None if (comp < 0).all() else [(0, int(c)) if c >= 0 else (1, i) for i, c in enumerate(comp)], percent)
             m.solve(np.arange(len(node)))
             away = m.root != np.arange(len(node))
             hi.append(node[away])
@@ -269,23 +296,52 @@ def _join_task(percent: int):
 # ---------------------------------------------------------------- the operator
 def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text)."""
-    s = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with Scratch(spark) as s:
+        rows, nodes, _ = _components(s, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent)
+        ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+        known = nodes.select("h1", "h2", "root").join(ids, "root").select("h1", "h2", "component_id")
+        out = rows.join(known, ["h1", "h2"], "left")
+        return s.result(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def near_unique(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each component: that of the smallest doc_id (nulls last; rows of one id by
+    their sets). Rows without words are in no component and stay."""
+    with Scratch(spark) as s:
+        rows, nodes, blocks = _components(s, docs.withColumn("doc_id", F.col("doc_id").cast("long")), words, percent)
+        best = nodes.groupBy("root").agg(F.min("best").alias("best")).select("best.block", "best.i")
+        kept = best.unionByName(rows.where("n = 0").select("block", "i")).groupBy("block").agg(F.collect_list("i").alias("chosen"))
+
+        def take(batches):
+            for batch in batches:
+                for blob, chosen in zip(batch.column(batch.schema.get_field_index("part")).to_pylist(), batch.column(batch.schema.get_field_index("chosen")).to_pylist()):
+                    if chosen:
+                        yield from unpack(blob).take(pa.array(sorted(chosen))).to_batches(max_chunksize=2000)
+
+        schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "doc_id" else f.dataType) for f in docs.schema.fields])
+        return s.result(attach(blocks.select("block", "part"), kept).select("part", "chosen").mapInArrow(lean("op6")(take), schema).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema.fields]))
+
+
+def _components(s: Scratch, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (block, i, doc_id, n, h1, h2), nodes (h1, h2, least, best, root), and the blocks."""
+    spark = s.spark
     blocks = blocks_of(s, docs, describe=_Describe(words), describe_ddl=_Describe.ddl)
     n_bytes = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     b = partitions_for(spark, n_bytes)
     rows = s.write(blocks.select("block", F.inline("docs")), "rows")
-    # one node per set: the smallest doc_id of its documents
-    sets = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("block", "i"), F.struct(F.col("doc_id").isNull(), "doc_id", "block", "i")).alias("at"), F.first("n").alias("n"))
-    sets = s.write(sets.where("node is not null").select("h1", "h2", "node", "n", "at.block", "at.i"), "sets")
+    # one node per set, numbered once, as written; best is the row that stands for it
+    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2", "block", "i")
+    sets = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(best).alias("best"), F.first("n").alias("n"))
+    sets = s.write(sets.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "best", "n", "best.block", "best.i"), "sets")
 
     chosen = s.write(sets.groupBy("block").agg(F.collect_list(F.struct("i", "node")).alias("chosen")), "chosen")
     asked = attach(blocks.select("block", "part"), chosen)
     counts = s.write(exchange_counts(asked.mapInPandas(lean("op6")(_ask_counts(b, words)), MESSAGE)), "counts")
-    shared = attach(asked, counts).mapInPandas(lean("op6")(_windows(b, words, percent)), "bucket int, shingle long, node long, n long")
-    near = s.write(shared.groupBy("bucket").applyInPandas(_share_pivots(percent), "hi long, lo long"), "near")
-    s.drop("counts", "chosen")
-    regions = components(s, near, "regions")
+    shared = attach(asked, counts).mapInPandas(lean("op6")(_windows(b, words, percent)), "bucket int, shingle long, node long, n long, hot boolean")
+    found = s.write(shared.groupBy("bucket").applyInPandas(_share_pivots(percent), "hi long, lo long, shingle long, first long, last long"), "found")
+    across = found.where("first is not null").groupBy("shingle").applyInPandas(_join_runs(percent), "hi long, lo long")
+    regions = components(s, found.where("first is null").select("hi", "lo").unionByName(across), "regions")
+    s.drop("counts", "chosen", "found")
     member = regions.select(F.col("node"), F.col("root").alias("region")).union(regions.select(F.col("root").alias("node"), F.col("root").alias("region")).distinct())
     member = member.join(sets.select("node", "n", "block", "i"), "node")
 
@@ -298,18 +354,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     pivot = F.pmod(deal, F.greatest(F.floor(F.col("total") / F.lit(COMMON_PIVOTS) / F.greatest(F.col("n"), F.lit(1))), F.lit(1))) == 0
     many = F.when(pivot, F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.concat_ws("#", F.col("region"), k))).otherwise(F.array(F.concat_ws("#", F.col("region"), F.pmod(F.shiftright(deal, 20), F.col("parts")))))
     member = s.write(member.withColumn("tasks", F.when(F.col("parts") == 1, F.array(one)).otherwise(many)), "member")
-    links = s.write(_join(blocks, member.withColumn("comp", F.lit(0).cast("long")), words, percent), "links-1")
+    links = s.write(_join(blocks, member.withColumn("comp", F.lit(-1).cast("long")), words, percent), "links-1")
     comp = components(s, links, "comp-1")
 
     split = member.where("parts > 1")
     if split.limit(1).count():
         links = s.write(links.union(_join(blocks, _pairs(split, comp), words, percent)), "links-2")
         comp = components(s, links, "comp-2")
-    nodes = sets.select("h1", "h2", "node").join(comp, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
-    out = rows.join(nodes, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = s.write(out, "result")
-    s.drop("blocks", "rows", "sets", "near", "member", "links-1", "links-2")
-    return out
+    nodes = sets.select("h1", "h2", "node", "least", "best").join(comp, "node", "left").select("h1", "h2", "least", "best", F.coalesce("root", "node").alias("root"))
+    return rows, nodes, blocks
 
 
 BLOCK_SHIP = 8 << 20

@@ -16,11 +16,11 @@ and never as a whole:
    buckets, which are sorted one at a time by the first WINDOW bytes; equal neighbours are repeated.
 
 Order inside a bucket is by fingerprint (any total order that puts equal strings together will do, and fingerprints
-keep frequent beginnings from filling one bucket): 40 bits and the bucket number for the filter of step 1, over 100
-bits where a match decides.
+keep frequent beginnings from filling one bucket): 40 bits and the bucket number for the filter of step 1, over 96
+bits where a match decides, of two fingerprints with bases and byte tables of their own. Bytes are not compared again.
 
 Nulls are empty texts, texts under WINDOW bytes lose nothing, and repeated rows count as further copies. An empty
-table gives an empty table. Extra columns are carried along; result columns of the same name replace them.
+table gives an empty table. Extra columns are carried along; result columns replace those of their name in any case.
 Memory: a block of half a MB (or the longest text) times about 60, and one bucket.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import MESSAGE, U64, Distinct, Roller, Scratch, Texts, attach, blocks_of, bucket_key, by_block, exchange_counts, from40, lean, low40, message_frame, partitions_for, ranges, splitmix, unpack
+from paperloom.llm.common import MESSAGE, U64, Distinct, Roller, Scratch, Texts, attach, blocks_of, bucket_key, by_block, exchange_counts, extended, from40, lean, low40, message_frame, partitions_for, ranges, splitmix, unpack
 
 WINDOW = 200
 PERIOD = 133
@@ -153,7 +153,7 @@ class _Wide:
     def __init__(self, s: _Samples, starts: np.ndarray, n_buckets: int):
         self.starts = starts
         h = s.roll.of(starts, starts + WINDOW)
-        g = Roller(s.t.bytes, 29).of(starts, starts + WINDOW) >> U64(32)
+        g = Roller(s.t.bytes, 29, Roller.SECOND).of(starts, starts + WINDOW) >> U64(32)
         bucket = (h >> U64(32)) % U64(n_buckets)
         order = np.lexsort((g, h, bucket))
         hb, hh, gg = bucket[order], h[order], g[order]
@@ -242,21 +242,18 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
 
     kept_text leaves out characters of which bytes were removed; kept_sha256 is over the bytes.
     """
-    scratch = Scratch(spark)
-    blocks = blocks_of(scratch, docs)
-    n_bytes = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    b = partitions_for(spark, n_bytes)
-    r1 = exchange_counts(blocks.mapInPandas(lean("op2")(_ask_ranks(b)), MESSAGE))
-    r1 = scratch.write(r1, "ranks")
-    one = attach(blocks, r1)
-    r2 = by_block(one.mapInPandas(lean("op2")(_ask_contexts(b)), CONTEXT_MESSAGE).groupBy("bucket").applyInPandas(_rank_contexts, "block long, bucket int, codes binary"))
-    r2 = scratch.write(r2.withColumnRenamed("replies", "contexts"), "contexts")
-    two = attach(one, r2)
-    r3 = by_block(two.mapInPandas(lean("op2")(_ask_windows(b)), WIDE_MESSAGE).groupBy("bucket").applyInPandas(_sort_suffixes, "block long, bucket int, codes binary, n int"))
-    r3 = scratch.write(r3.withColumnRenamed("replies", "windows"), "windows")
-    new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in dict(new)] + [T.StructField(n, t) for n, t in new])
-    out = attach(two, r3).mapInArrow(lean("op2")(_finish(b, schema.names, with_text)), schema)
-    done = scratch.write(out, "result")
-    scratch.drop("blocks", "ranks", "contexts", "windows")
-    return done
+    with Scratch(spark) as scratch:
+        blocks = blocks_of(scratch, docs)
+        n_bytes = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        b = partitions_for(spark, n_bytes)
+        r1 = exchange_counts(blocks.mapInPandas(lean("op2")(_ask_ranks(b)), MESSAGE))
+        r1 = scratch.write(r1, "ranks")
+        one = attach(blocks, r1)
+        r2 = by_block(one.mapInPandas(lean("op2")(_ask_contexts(b)), CONTEXT_MESSAGE).groupBy("bucket").applyInPandas(_rank_contexts, "block long, bucket int, codes binary"))
+        r2 = scratch.write(r2.withColumnRenamed("replies", "contexts"), "contexts")
+        two = attach(one, r2)
+        r3 = by_block(two.mapInPandas(lean("op2")(_ask_windows(b)), WIDE_MESSAGE).groupBy("bucket").applyInPandas(_sort_suffixes, "block long, bucket int, codes binary, n int"))
+        r3 = scratch.write(r3.withColumnRenamed("replies", "windows"), "windows")
+        new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
+        schema = extended(docs.schema, [T.StructField(n, t) for n, t in new])
+        return scratch.result(attach(two, r3).mapInArrow(lean("op2")(_finish(b, schema.names, with_text)), schema))
