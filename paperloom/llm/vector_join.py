@@ -2,20 +2,23 @@
 
 Unit vectors with cosine c or more are within the squared distance 2 - 2c. Vectors are rotated (so that no subspace
 is special) and split into blocks of BLOCK_DIMS coordinates; of two vectors within the budget, some block's part is
-within that block's share of it, in proportion to its dimensions. Each block is range-joined by itself: rows go to the
-leaves of a tree of splits, leaf pairs whose bounding boxes are farther apart than the block's radius are left out,
-and inside a pair of leaves block distances pick candidates, which are verified by the full cosine in double
-precision. A pair counts in the first block that admits it, so links need no deduplication and are never emitted:
-tasks return counts per vector and the edges of a forest.
-
-Equal vectors are one row with a multiplicity from the start. Leaves hold about LEAF vectors, which bounds a task;
-hot leaves are dealt over parts by a hash. In high dimensions few leaf pairs are apart, so the work grows
-nearly with the square of the number of distinct vectors; the pairs that leave the block test are what the method saves.
-
-Vectors that are null, empty, zero, or hold null or non-finite components link with nothing (component_id is their
-own vec_id); vectors of different lengths link with nothing of another length. Rows with a null vec_id link with
-nothing and have component_id null; rows with one vec_id are taken as copies of the one with the smallest hash.
-Tables may be empty; extra columns are not carried.
+within that block's share of it, in proportion to its dimensions. Each block is range-joined by itself: vectors go to
+the leaves of a tree of splits, and to every other leaf whose bounding box their ball of the block's radius meets;
+inside a pair of leaves block distances pick candidates, which are verified by the full cosine in double precision. A
+pair counts in the first block that admits it, so links need no deduplication and are never emitted: tasks return
+counts per vector and the edges of a forest.
+
+Equal vectors are one node with a multiplicity from the start, whatever their ids. Leaves hold about LEAF vectors,
+which bounds a task; larger leaves are dealt over parts by a hash. What comes to the driver and travels to the workers
+is bounded: 16 sampled vectors and one bounding box a leaf and block, and there are MOST_LEAVES leaves at most. In high
+dimensions few balls miss a leaf, so the work grows nearly with the square of the number of distinct vectors; the
+pairs that leave the block test are what the method saves.
+
+Rows are vectors: rows that share a vec_id but hold different vectors link each for itself. Vectors that are null,
+empty, zero, or hold null or non-finite components link with nothing (component_id is their own vec_id); vectors of
+different lengths link with nothing of another length. Rows with a null vec_id take part; component_id is the smallest
+id of the component that is not null (null if none is), and such a row is kept only then. Tables may be empty; extra
+columns are not carried.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from paperloom.llm.common import Scratch
 from paperloom.llm.components import components, forest
 
 COSINE, BLOCK_DIMS, LEAF, SAMPLE = 0.9, 16, 24_000, 4_000
+MOST_LEAVES = 4_096  # of a block
 SLACK32, TILE, GATHER = 2e-3, 512, 50_000
 
 
@@ -91,20 +95,16 @@ class Tree:
         return out
 
 
-def _apart(a, b) -> float:
-    """Squared distance of two boxes (low, high)."""
-    gap = np.maximum(0, np.maximum(a[0] - b[1], b[0] - a[1]))
-    return float((gap * gap).sum())
-
-
 def _join(frame: pd.DataFrame, d: int, cosine: float) -> pd.DataFrame:
-    """Links between side 0 and side 1 (or within side 0 alone) of one task of one block."""
+    """Links between side 0 and side 1 (or inside side 2) of one task of one block."""
     block = int(frame["block"].iloc[0])
     frame = frame.sort_values("node")
-    sides = [frame[frame["side"] == s] for s in (0, 1)]
-    own = len(sides[1]) == 0
+    own = bool((frame["side"] == 2).any())
+    sides = [frame] if own else [frame[frame["side"] == s] for s in (0, 1)]
+    if not all(map(len, sides)):
+        return pd.DataFrame({"hi": [], "lo": [], "links": []}, dtype=np.int64)
     r, cuts, budget = rotation(d), blocks_of(d), 2 - 2 * cosine
-    data = [(_units(list(s["vector"]), d), s["node"].to_numpy(), s["many"].to_numpy()) for s in (sides[:1] if own else sides)]
+    data = [(_units(list(s["vector"]), d), s["node"].to_numpy(), s["many"].to_numpy()) for s in sides]
     turned = [x @ r for x, _, _ in data]
     (x, nx, mx), (y, ny, my) = data[0], data[-1]
     tx, ty = turned[0], turned[-1]
@@ -152,82 +152,84 @@ def _pack(column: str) -> F.Column:
 
 def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = COSINE, leaf: int = LEAF) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of rows(vec_id, embedding)."""
-    s = Scratch(spark)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), _pack("embedding").alias("v"))
-    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)) & F.exists("v", lambda c: c != 0)
-    usable = F.coalesce((F.size("v") > 0) & finite & F.col("vec_id").isNotNull(), F.lit(False))
-    rows = s.write(rows.withColumn("usable", usable).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), "v")), "rows")
-    one = rows.where("usable").groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("vec_id", "h.h1", "h.h2")
-    copies = one.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("many"))
-    copies = s.write(copies, "copies")
-    mine = one.join(copies, ["h1", "h2"])
-    vectors = rows.where("usable").join(copies, ["h1", "h2"]).where("vec_id = node").dropDuplicates(["node"]).select("node", "many", "v", F.size("v").alias("d"))
-    vectors = s.write(vectors, "vectors")
-
-    found = None
-    for size in sorted(r["d"] for r in vectors.select("d").distinct().collect()):
-        part = _links(s, vectors.where(F.col("d") == size), size, cosine, leaf)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "hi long, lo long, links long")
-    found = s.write(found, "found")
-    comp = components(s, found.where("hi <> lo").select("hi", "lo"), "comp")
-    links = found.groupBy(F.col("hi").alias("node")).agg(F.sum("links").alias("links"))
-    nodes = mine.join(links, "node", "left").join(comp, "node", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    out = rows.select("vec_id").join(nodes, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _links(s: Scratch, vectors: DataFrame, d: int, cosine: float, leaf: int) -> DataFrame:
+    with Scratch(spark) as s:
+        rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), _pack("embedding").alias("v"))
+        finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)) & F.exists("v", lambda c: c != 0)
+        usable = F.coalesce((F.size("v") > 0) & finite, F.lit(False))
+        rows = s.write(rows.withColumn("usable", usable).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), "v")), "rows")
+        same = rows.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.first("v").alias("v"))
+        nodes = s.write(same.withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "nodes")  # numbered once, as written
+
+        found = None
+        for size in sorted(r["d"] for r in nodes.select("d").distinct().collect()):
+            part = _links(nodes.where(F.col("d") == size).select("node", "many", "h1", "v"), size, cosine, leaf)
+            found = part if found is None else found.union(part)
+        if found is None:
+            found = spark.createDataFrame([], "hi long, lo long, links long")
+        found = s.write(found, "found")
+        comp = components(s, found.where("hi <> lo").select("hi", "lo"), "comp")
+        links = found.groupBy(F.col("hi").alias("node")).agg(F.sum("links").alias("links"))
+        known = nodes.select("h1", "h2", "node", "least", "many").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+        known = known.join(links, "node", "left").join(ids, "root").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id", F.lit(True).alias("usable"))
+        out = rows.select("vec_id", "h1", "h2", "usable").join(known, ["h1", "h2", "usable"], "left")
+        out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+        return s.result(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
+
+
+def _links(vectors: DataFrame, d: int, cosine: float, leaf: int) -> DataFrame:
+    """Edges (hi, lo) with 0 links, and the number of links of each node as (node, node, links)."""
     n = vectors.count()
     r, cuts, budget = rotation(d), blocks_of(d), 2 - 2 * cosine
-    sample = vectors.orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").collect()  # only places the splits
-    turned = _units([np.array(x["v"], np.float64).tobytes() for x in sample], d) @ r
-    trees = [Tree(turned[:, c], -(-n // leaf)) for c in cuts]
+    leaves = min(MOST_LEAVES, -(-n // leaf))
+    sample = vectors.where(F.pmod("h1", F.lit(max(1, n // max(SAMPLE, 16 * leaves)))) == 0).select("v").collect()  # only places the splits
+    turned = _units([np.array(x["v"], np.float64).tobytes() for x in sample], d) @ r if sample else np.zeros((0, d))
+    trees = [Tree(turned[:, c], leaves) for c in cuts]
 
-    def place(frames):
+    def placed(frames):
         for f in frames:
             raw = [np.asarray(v, np.float64).tobytes() for v in f["v"]]
             t = _units(raw, d) @ r
-            for b, c in enumerate(cuts):
-                yield pd.DataFrame({"node": f["node"], "many": f["many"], "block": b, "leaf": trees[b].leaf(t[:, c]), "vector": raw, "low": list(t[:, c]), "high": list(t[:, c])})
-
-    placed = vectors.mapInPandas(place, "node long, many long, block int, leaf int, vector binary, low array<double>, high array<double>")
+            yield f, raw, t, [tree.leaf(t[:, c]) for tree, c in zip(trees, cuts)]
 
-    def boxes(frames):
-        for f in frames:
-            for (b, k), g in f.groupby(["block", "leaf"]):
-                x = np.stack(g["low"].to_list())
-                yield pd.DataFrame({"block": [b], "leaf": [k], "n": [len(g)], "low": [x.min(axis=0)], "high": [x.max(axis=0)]})
-
-    seen: dict = {}
-    for x in placed.mapInPandas(boxes, "block int, leaf int, n long, low array<double>, high array<double>").collect():  # a row per leaf and batch
-        key, low, high = (x["block"], x["leaf"]), np.array(x["low"]), np.array(x["high"])
-        have = seen.get(key)
-        seen[key] = (x["n"], low, high) if have is None else (have[0] + x["n"], np.minimum(have[1], low), np.maximum(have[2], high))
-    tasks: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-    number = 0
-    for b, c in enumerate(cuts):
-        share = budget * (c.stop - c.start) / d + 1e-9
-        units = [(k, p) for (bb, k), v in sorted(seen.items()) if bb == b for p in range(-(-v[0] // (2 * leaf)))]
-        for i, u in enumerate(units):
-            for w in units[i:]:
-                if u[0] == w[0] or _apart(seen[b, u[0]][1:], seen[b, w[0]][1:]) <= share:
-                    tasks.setdefault((b, *u), []).append((number, 0))
-                    if u != w:
-                        tasks.setdefault((b, *w), []).append((number, 1))
-                    number += 1
-    parts = {(b, k): -(-v[0] // (2 * leaf)) for (b, k), v in seen.items()}
+    def measure(frames):
+        for _, _, t, own in placed(frames):
+            for b, c in enumerate(cuts):
+                for k in np.unique(own[b]).tolist():
+                    x = t[own[b] == k][:, c]
+                    yield pd.DataFrame({"block": [b], "leaf": [k], "n": [len(x)], "low": [x.min(axis=0)], "high": [x.max(axis=0)]})
+
+    wide = max(c.stop - c.start for c in cuts)
+    bounds = [f(F.get(name, F.lit(i))).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(wide)]
+    boxes = vectors.select("v").mapInPandas(measure, "block int, leaf int, n long, low array<double>, high array<double>").groupBy("block", "leaf").agg(F.sum("n").alias("n"), *bounds)
+    sizes: list[dict] = [{} for _ in cuts]
+    for x in boxes.collect():  # a row per leaf and block
+        side = lambda name, m=cuts[x["block"]]: np.array([x[f"{name}{i}"] for i in range(m.stop - m.start)])
+        sizes[x["block"]][x["leaf"]] = (-(-x["n"] // (2 * leaf)), side("low"), side("high"))
+    first = []  # number of the first part of each leaf
+    for own in sizes:
+        at, number = 0, {}
+        for k in sorted(own):
+            number[k], at = at, at + own[k][0]
+        first.append(number)
+    span = 1 << 24
 
     def deal(frames):
-        for f in frames:
-            for (b, k), g in f.groupby(["block", "leaf"]):
-                part = (g["node"].to_numpy() * 0x9E3779B1 >> 16) % parts[b, k]
-                for p in range(parts[b, k]):
-                    h = g[part == p]
-                    for task, side in tasks.get((b, k, p), ()):
-                        yield pd.DataFrame({"task": task, "side": side, "block": b, "node": h["node"], "many": h["many"], "vector": h["vector"]})
-
-    dealt = placed.drop("low", "high").mapInPandas(deal, "task int, side int, block int, node long, many long, vector binary")
+        for f, raw, t, own in placed(frames):
+            node, many, vector = f["node"].to_numpy(), f["many"].to_numpy(), np.array(raw, dtype=object)
+            deal_by = (node * 0x9E3779B1 >> 16) & 0x7FFFFFFF
+            for b, c in enumerate(cuts):
+                x, share = t[:, c], budget * (c.stop - c.start) / d + 1e-9
+                parts = np.array([sizes[b][k][0] for k in own[b].tolist()], np.int64)
+                unit = np.array([first[b][k] for k in own[b].tolist()], np.int64) + deal_by % parts
+                for k, (many_parts, low, high) in sizes[b].items():
+                    gap = np.maximum(0, np.maximum(low - x, x - high))
+                    near = np.flatnonzero((gap * gap).sum(axis=1) <= share)
+                    for other in range(first[b][k], first[b][k] + many_parts) if len(near) else ():
+                        u = unit[near]
+                        side = np.where(u == other, 2, (u > other).astype(np.int64))
+                        task = (b * span + np.minimum(u, other)) * span + np.maximum(u, other)
+                        yield pd.DataFrame({"task": task, "side": side, "block": b, "node": node[near], "many": many[near], "vector": vector[near]})
+
+    dealt = vectors.select("node", "many", "v").mapInPandas(deal, "task long, side int, block int, node long, many long, vector binary")
     return dealt.groupBy("task").applyInPandas(lambda f: _join(f, d, cosine), "hi long, lo long, links long")
