@@ -5,9 +5,11 @@ tell at once which languages contain an n-gram. Each language's popcount over a
 its filter answers yes to an n-gram it never saw, and the largest corrected count decides.
 
 N-grams are three code points around every letter, lower-cased one by one; anything but a letter is a word border.
-Training reads SAMPLE labelled documents per language at most (those with the smallest hash of their id; parameters
-of fit) and keeps the GRAMS most frequent n-grams of each. Prediction reads every text as a whole, in stretches of a
-million code points.
+Training reads SAMPLE labelled documents per language at most (those with the smallest hash of their id; a parameter
+of fit) and keeps every n-gram of theirs; the filters have SLOTS_EACH slots for each n-gram of the richest language.
+Rows far from the sample are left out by a threshold on the hash before anything is moved, so no task meets more than
+a few thousand rows of one language. There may be MOST_LANGUAGES languages; more raise an error. Prediction reads every
+text as a whole, in stretches of a million code points.
 
 Texts that are null or have no letter are `und` with score 0; so is everything if no labelled row exists. Ties go to
 the first language in code point order. Repeated rows get equal answers; an empty table gives an empty table; extra
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from paperloom.llm.common import U64, extended, lean, put_columns, splitmix
 
-SAMPLE, GRAMS, SLOTS = 500, 500, 1 << 17
+SAMPLE, SLOTS_EACH, MOST_LANGUAGES = 500, 8, 256
 STRETCH = 1 << 20
 
 
@@ -69,9 +71,9 @@ def stretches(texts: list, limit: int = STRETCH):
 class Model:
     """Languages in code point order and the bit-sliced filter."""
 
-    def __init__(self, by_language: dict[str, np.ndarray], slots: int = SLOTS):
+    def __init__(self, by_language: dict[str, np.ndarray], slots: int | None = None):
         self.languages = sorted(by_language)
-        self.slots = slots
+        self.slots = slots = slots or 1 << max(12, (SLOTS_EACH * max(map(len, by_language.values()), default=1) - 1).bit_length())
         self.masks = np.zeros((max(1, -(-len(self.languages) // 8)), slots), np.uint8)
         for k, lang in enumerate(self.languages):
             for s in self._slots(by_language[lang]):
@@ -108,28 +110,30 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best, n)], np.where(n > 0, score, 0.0).tolist(), np.where(n > 0, np.minimum(1, top / np.maximum(n, 1)), 0.0)
 
 
-def _count(frames):
+def _distinct(frames):
     for f in frames:
         for lang, part in f.groupby("lang"):
             for held in stretches(part["text"].tolist()):
-                h, _ = grams([p for _, p in held])
-                k, n = np.unique(h.view(np.int64), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": k, "n": n})
+                yield pd.DataFrame({"lang": lang, "gram": np.unique(grams([p for _, p in held])[0].view(np.int64))})
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, top: int = GRAMS, slots: int = SLOTS) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, slots: int | None = None) -> Model:
     """A model of docs(doc_id, text, lang), all of whose rows may be learned from."""
-    docs = docs.where("lang is not null and text is not null and doc_id is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = docs.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
-    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("text", "lang")
-    counts = texts.mapInPandas(lean("op1")(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    rows = counts.withColumn("r", best).where(F.col("r") <= top).select("lang", "gram").toPandas()
+    docs = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    many = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(many) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    top = 1 << 40
+    limits = [F.lit(x) for lang, n in many.items() if n > 4 * sample for x in (lang, top * 4 * sample // n)]  # keeps about 4 * sample rows
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(top))
+    near = docs.withColumn("h", h).where(F.col("h") < (F.coalesce(F.element_at(F.create_map(*limits), F.col("lang")), F.lit(top)) if limits else F.lit(top)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))
+    texts = near.withColumn("r", rank).where(F.col("r") <= sample).select("text", "lang")
+    rows = texts.mapInPandas(lean("op1")(_distinct), "lang string, gram long").distinct().toPandas()
     return Model({lang: part["gram"].to_numpy(np.int64).view(U64) for lang, part in rows.groupby("lang")}, slots)
 
 
