@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS, ROUNDS, RATE = 1024, 12, 0.5
+SLOTS, ROUNDS, RATE = 4096, 12, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict)
@@ -33,15 +33,26 @@ SPAM_NAMES = (
 )
 
 
+#: Their paths.
+CLEAN_PATHS = (
+    "about", "articles/how-to-prune-roses", "docs/install", "wiki/rivers-and-lakes", "blog/2021/03/field-notes", "library/catalogue", "recipes/lentil-soup", "research/papers/index",
+    "events/open-day", "contact", "archive/letters", "guides/first-steps", "people/staff", "help/questions", "courses/geometry", "reports/annual-report",
+)
+SPAM_PATHS = (
+    "win-big-now", "free-bonus-spins", "buy-cheap-pills", "claim-your-prize", "hot-singles-near-you", "get-rich-quick", "click-here", "download-crack", "xxx-videos", "payday-loan-offer",
+    "promo/jackpot", "best-casino-bonus", "discount-viagra", "limited-offer/order-now", "earn-cash-fast", "redirect?to=ads",
+)
+
+
 def labelled_urls() -> tuple[tuple[str, int], ...]:
-    """The labelled URL table (1: to be blocked). What doesn't matter, as subdomains and numbers, is alike in both."""
-    ends = ("", ".html", "/", "?page=2", "#top", "?utm_source=feed")
+    """The labelled URL table (1: to be blocked), half of each kind. Schemes, subdomains and domains are dealt alike."""
+    subs, tops, ends = ("", "www.", "m.", "blog.", "shop."), ("com", "net", "org", "info", "co.uk", "de", "fr"), ("", ".html", "/", "?page=2", "#top")
     out = []
-    for y, names in ((0, CLEAN_NAMES), (1, SPAM_NAMES)):
+    for y, names, paths in ((0, CLEAN_NAMES, CLEAN_PATHS), (1, SPAM_NAMES, SPAM_PATHS)):
         for i, name in enumerate(names):
             for k in range(6):
-                sub, tld, lang = ("", "www.", "m.", "blog.")[(i + k) % 4], ("com", "net", "org")[(i + k) % 3], ("en", "fr", "de", "es")[(i // 2 + k) % 4]
-                out.append((f"{'https' if k % 2 else 'http'}://{sub}{name}.example.{tld}/{lang}/{(i * 7919 + k * 10007) % 60000}{ends[(i + 2 * k) % 6]}", y))
+                path = paths[(3 * i + 5 * k) % len(paths)] if k else ""  # one in six is a front page
+                out.append((f"{'https' if k % 2 else 'http'}://{subs[(i + k) % 5]}{name}.{tops[(i + 2 * k) % 7]}/{path}{ends[(i + 3 * k) % 5] if path else ''}", y))
     return tuple(out)
 
 
@@ -84,10 +95,13 @@ def train(spark: SparkSession, labelled=LABELLED, slots: int = SLOTS, rounds: in
     t = spark.sql(f"SELECT * FROM VALUES {values} AS t(k, url, y)")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     t = t.select("k", "y", gram_slots(_model_text(F.col("url"), host, path), slots).alias("s"))
-    dense = F.concat(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda j: F.size(F.filter("s", lambda v: v == j)) / F.sqrt(F.size("s"))), F.array(F.lit(1.0)))
     shuffled = F.xxhash64(F.lit(3), "k")
-    one = t.select(F.struct(shuffled.alias("o"), F.col("y"), dense.alias("x")).alias("e")).agg(F.sort_array(F.collect_list("e")).alias("es"))
-    zero = F.transform(F.sequence(F.lit(0), F.lit(slots)), lambda _: F.lit(0.0))
+    one = t.select(F.struct(shuffled.alias("o"), F.col("y"), F.col("s")).alias("e")).agg(F.sort_array(F.collect_list("e")).alias("es"))
+    # only slots that occur have a weight other than 0
+    one = one.withColumn("used", F.array_sort(F.array_distinct(F.flatten(F.transform("es", lambda e: e["s"])))))
+    dense = lambda x: F.concat(F.transform("used", lambda j: F.size(F.filter(x, lambda v: v == j)) / F.sqrt(F.size(x))), F.array(F.lit(1.0)))
+    one = one.withColumn("es", F.transform("es", lambda e: F.struct(e["y"].alias("y"), dense(e["s"]).alias("x"))))
+    zero = F.transform(F.sequence(F.lit(0), F.size("used")), lambda _: F.lit(0.0))
 
     def step(w, k):
         e = F.get(F.col("es"), (k % F.size("es")).cast("int"))
@@ -97,19 +111,27 @@ def train(spark: SparkSession, labelled=LABELLED, slots: int = SLOTS, rounds: in
         return F.aggregate(F.array(g), w, lambda have, q: F.zip_with(have, e["x"], lambda a, b: a + q * b))
 
     w = F.aggregate(F.sequence(F.lit(0), F.size("es") * rounds - 1), zero, step)
-    return list(one.select(w.alias("w")).first()["w"])
+    found = one.select("used", w.alias("w")).first()
+    out = [0.0] * slots + [found["w"][-1]]
+    for slot, x in zip(found["used"], found["w"]):
+        out[slot] = x
+    return out
 
 
 def probability(text: Column, weights: list[float]) -> Column:
     """Chance that a url with this host and path is to be blocked."""
     slots = len(weights) - 1
-    table = F.array(*[F.lit(float(x)) for x in weights[:-1]])
+    table = F.split(F.lit(",".join(repr(float(x)) for x in weights[:-1])), ",").cast("array<double>")  # one folded literal
     s = gram_slots(text, slots)
     total = F.aggregate(s, F.lit(0.0), lambda acc, v: acc + F.get(table, v))
     return 1 / (1 + F.exp(-(total / F.sqrt(F.greatest(F.size(s), F.lit(1))) + F.lit(float(weights[-1])))))
 
 
-def judge(pages: DataFrame, weights: list[float], rules=RULES, threshold: float = 0.75) -> DataFrame:
+#: The labelled urls are half and half, while one url in four, say, is to be blocked: even odds there are 3 to 1 here.
+THRESHOLD = 0.75
+
+
+def judge(pages: DataFrame, weights: list[float], rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """pages(url, ...) with host, path, rule, verdict and probability."""
     taken = {"host", "path", "rule", "verdict", "probability"}
     kept = [c for c in pages.columns if c.lower() not in taken]
