@@ -9,7 +9,8 @@ neighbouring bytes of the UTF-8 text fall in two fixed classes (at 8 bytes at le
 changes the pieces around it and no others, wherever it lies. A leaf's mark holds 40 bits of its hash and its length in
 bytes; the second and later leaves of one content have marks of their own. Likeness is the length of the leaves that
 two texts share over the length of all their leaves; it is 1 too for texts of the same leaves in another order. The
-fingerprint string is `root|section,section,...|mark.mark...` in lowercase hex.
+fingerprint string is `root|section,section,...|mark.mark...` in lowercase hex; digests are whole in the tree, so that
+equal roots mean equal texts to 256 bits, and the sections' are written to 64 bits.
 
 Null texts are empty; empty texts have a fingerprint like any other (one empty paragraph), and two of them are alike.
 The next document is taken in descending order of doc_id (null last; rows with one doc_id by the hash of their
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import partitions_for, table_bytes
+from paperloom.llm.common import at_most, partitions_for, table_bytes
 
 NODE, LENGTH = 16, 8
 #: Where a piece may end: after a byte of 5 modulo 8 and one of 0 modulo 8, wherever in the text that is.
@@ -30,7 +31,7 @@ _FIRST, _SECOND = ("".join(rf"\x{b:02x}" for b in range(256) if b % 8 == r) for
 #: A piece that ends so, at the end of its line, or at the largest length; together they are the whole text.
 PIECE = rf"[^\n]{{8,128}}?(?<=[{_FIRST}][{_SECOND}])|[^\n]{{0,127}}\n|[^\n]{{1,128}}"
 #: Between the digest of a paragraph that ends a section and the next one.
-SECTION_END = r"(?<=[01][0-9a-f]{15}),"
+SECTION_END = r"(?<=[01][0-9a-f]{63}),"
 
 
 def _let(value: Column, body) -> Column:
@@ -63,8 +64,8 @@ def marks(text: Column) -> Column:
 
 def sections(text: Column) -> Column:
     """Digests of the sections."""
-    leaves = F.transform(F.split(text, "\n", -1), lambda p: F.substring(F.sha2(p, 256), 1, NODE))
-    return F.transform(F.split(F.concat_ws(",", leaves), SECTION_END, -1), lambda s: F.substring(F.sha2(s, 256), 1, NODE))
+    leaves = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+    return F.transform(F.split(F.concat_ws(",", leaves), SECTION_END, -1), lambda s: F.sha2(s, 256))
 
 
 def root(sections_: Column) -> Column:
@@ -72,7 +73,8 @@ def root(sections_: Column) -> Column:
 
 
 def fingerprint(root_: Column, sections_: Column, marks_: Column) -> Column:
-    return F.concat_ws("|", root_, F.concat_ws(",", sections_), F.concat_ws(".", F.transform(marks_, lambda m: F.lower(F.hex(m)))))
+    short = F.transform(sections_, lambda s: F.substring(s, 1, NODE))
+    return F.concat_ws("|", root_, F.concat_ws(",", short), F.concat_ws(".", F.transform(marks_, lambda m: F.lower(F.hex(m)))))
 
 
 def likeness(root_a: Column, marks_a: Column, root_b: Column, marks_b: Column) -> Column:
@@ -97,18 +99,6 @@ def differing_sections(a: Column, b: Column) -> Column:
     return F.when(same, F.array().cast("array<int>")).otherwise(F.filter(F.transform(own, lambda s, i: F.when(~F.array_contains(other, s), i)), lambda i: i.isNotNull()))
 
 
-def _bucket(bounds: list[int], column: Column) -> Column:
-    """How many bounds are at most the value, by binary search; null goes below all."""
-    table, top = F.array(*[F.lit(int(x)) for x in bounds]).cast("array<bigint>"), 1
-    while top * 2 <= max(1, len(bounds)):
-        top *= 2
-    steps = []
-    while top:
-        steps.append(top)
-        top //= 2
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(table, lo + s - 1) <= column), lo + s).otherwise(lo))
-
-
 def _described(df: DataFrame) -> DataFrame:
     df = df.withColumn("own", marks(F.col("text"))).withColumn("sections", sections(F.col("text")))
     return df.withColumn("root", root(F.col("sections")))
@@ -124,7 +114,7 @@ def compare_with_next(spark: SparkSession, docs: DataFrame, parts: int | None =
     parts = parts or min(1 << 16, partitions_for(spark, table_bytes(docs)))
     probs = [k / parts for k in range(1, parts)]
     bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", probs, 20_000).alias("q")).first()["q"] or [])) if probs else []
-    docs = docs.withColumn("bucket", _bucket(bounds, F.col("doc_id")) if bounds else F.lit(0))
+    docs = docs.withColumn("bucket", at_most(bounds, F.col("doc_id"), "bigint"))
     tie = F.xxhash64("text")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("doc_id").isNotNull(), tie)
     heads = docs.groupBy("bucket").agg(F.max_by("text", place).alias("text"))

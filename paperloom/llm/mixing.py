@@ -6,8 +6,9 @@ hash and cut into blocks of equal numbers of words. So every source's words foll
 at every point of the schedule, and repeats come in whole rounds.
 
 Sizes, totals and shuffled positions cover all rows. No window is over a whole source: positions and ranks are sums
-over stretches of hashes or slots plus sums inside one. The number of slots is a parameter and does not grow with the
-corpus; only one row per source comes to the driver (sources are few: each has a weight of its own).
+over stretches of hashes or slots plus sums inside one. There is a slot for every WORDS_EACH words, but no more than
+SLOTS and no fewer than LEAST_SLOTS. Only one row per source comes to the driver and goes to the tasks; there may be
+MOST_SOURCES sources, and more raise an error.
 
 Null texts and texts without words have size 0 and are taken 0 times; the null source comes last in the order of
 weights. Rows with null or repeated ids are rows of their own. An empty table gives an empty table; extra columns are
@@ -17,15 +18,15 @@ not carried.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch
+from paperloom.llm.common import Scratch, at_most
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-SLOTS, LEAST_BLOCKS, STRETCH = 1 << 20, 256, 1 << 15
+SLOTS, LEAST_SLOTS, WORDS_EACH, LEAST_BLOCKS, STRETCH = 1 << 20, 1 << 14, 64, 256, 1 << 15
+MOST_SOURCES = 50_000
 GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,15 +54,23 @@ def _div(a: str, b: str) -> str:
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, most: int = MOST, slots: int = SLOTS, seed: int = 1) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) per row of docs(doc_id, text, source)."""
-    s = Scratch(spark)
+    with Scratch(spark) as s:
+        return _mix(s, docs, weights, most, slots, seed)
+
+
+def _mix(s: Scratch, docs: DataFrame, weights, most: int, slots: int, seed: int) -> DataFrame:
+    spark = s.spark
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce("text", F.lit("")).alias("text"))
     sized = sized.select("doc_id", "source", "size", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"))
     sized = s.write(sized.withColumn("stretch", F.shiftright("h", 64 - 10)), "sized")
-    per = {r["source"]: (r["words"], r["docs"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()}
+    per = {r["source"]: (r["words"], r["docs"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()}
+    if len(per) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     words = {k: v[0] for k, v in per.items()}
     goal = targets(words, weights, most)
     total = sum(words.values())
     order = sorted((k for k in words if k is not None)) + [None] * (None in words)
+    slots = max(1, min(slots, max(LEAST_SLOTS, total // WORDS_EACH)))
     each = max(1, -(-total // slots))
     blocks = {k: max(-(-words[k] // each), min(words[k], LEAST_BLOCKS)) for k in order}
     uses = [goal[k] * blocks[k] / words[k] if words[k] else 0.0 for k in order]
@@ -69,13 +78,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, most: int = MOST,
     edges = np.cumsum(uses) / max(sum(uses), 1e-300)
     source = spark.createDataFrame([(i, k, words[k], blocks[k], goal[k]) for i, k in enumerate(order)], "sid int, source string, source_size long, blocks long, target double")
 
-    def deal(frames):
-        for f in frames:
-            k = f["id"].to_numpy()
-            point = ((k + 0.5) * GOLDEN) % 1.0
-            yield pd.DataFrame({"sid": np.minimum(np.searchsorted(edges, point, side="right"), len(order) - 1).astype(np.int32), "id": k, "part": k // STRETCH})
-
-    dealt = spark.range(n).mapInPandas(deal, "sid int, id long, part long")
+    point = (F.col("id") + 0.5) * GOLDEN % 1.0
+    sid = F.least(at_most([float(e) for e in edges], point, "double"), F.lit(max(0, len(order) - 1))).cast("int")
+    dealt = spark.range(n).select(sid.alias("sid"), "id", F.floor(F.col("id") / STRETCH).alias("part"))
     parts = dealt.groupBy("sid", "part").count().withColumn("before", F.sum("count").over(Window.partitionBy("sid").orderBy("part")) - F.col("count")).drop("count")
     ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("sid", "part").orderBy("id")) - 1).join(parts, ["sid", "part"])
     block = ranked.join(F.broadcast(source.select("sid", "blocks")), "sid").withColumn("r", F.col("r") + F.col("before")).where(F.col("r") < most * F.col("blocks"))
@@ -92,7 +97,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, most: int = MOST,
     cut = cut.withColumn("lo", F.expr(_div(f"{wide.format('block')} * source_size", "blocks"))).withColumn("hi", F.expr(_div(f"{wide.format('block + 1')} * source_size", "blocks")))
     cut = cut.join(used, ["sid", "block"]).groupBy("sid", "a").agg(F.sum((F.least(F.col("a") + F.col("size"), "hi") - F.greatest("a", "lo")) * F.col("uses")).alias("taken"))
     got = placed.where("size > 0").join(cut, ["sid", "a"], "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return got.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return s.result(got.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
 def resample(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
