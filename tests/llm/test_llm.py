@@ -265,7 +265,9 @@ def test_vectors(spark):
         lab = np.array([min([lab[i], *lab[g[i]]]) for i in range(len(x))])
     for leaf in (24_000, 10):
         got = {v["vec_id"]: v for v in vector_join.near_vectors(spark, df, leaf=leaf).collect()}
-        assert [got[i]["n_links"] for i in range(len(x))] == g.sum(1).tolist()
+        unnamed = u @ u[0] >= 0.9  # the row without an id is a copy of row 0 and takes part
+        assert [got[i]["n_links"] for i in range(len(x))] == (g.sum(1) + unnamed).tolist()
+        assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (unnamed.sum(), lab[0], False)
         assert [got[i]["component_id"] for i in range(len(x))] == lab.tolist()
         assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(500, 507))
     assert vector_join.near_vectors(spark, df.where("false")).count() == 0
