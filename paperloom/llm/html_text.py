@@ -45,13 +45,16 @@ BAD = frozenset("nav footer aside form head title button select option menu dial
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = "script|style|noscript|template|textarea|noembed|noframes"
 #: Words of class and id names of boilerplate, and words that may stand beside them. A name is a hint if it has one of
-#: the former and nothing but these: `site-nav` is, `with-sidebar`, `has-comments` and `tag-travel` aren't. Only names of
-#: what is to go: menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+#: the former and nothing but these: `site-nav` is, `with-sidebar`, `has-comments` and `tag-travel` aren't. Those
+#: of PLAIN and REPLIES are what is to go anywhere: menus, headers, footers, sidebars, notices, adverts, forms, reader
+#: comments. Those of AROUND are lists and boxes about a page, and count outside of an article only.
 REPLIES = frozenset("comment comments commentlist replies disqus".split())
-HINTS = REPLIES | frozenset(
+PLAIN = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts popup "
     "newsletter subscribe subscription signup paywall login sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer footers masthead skiplink".split()
 )
+AROUND = frozenset("share sharing social related recommended recommendation recommendations modal overlay widget widgets tag tags".split())
+HINTS = REPLIES | PLAIN | AROUND
 BESIDE = frozenset("site main top bottom left right primary secondary page post global container wrapper wrap box bar list block area section inner outer side mast head skip link links buttons row slot unit 1 2 3 4".split())
 JOINED = frozenset("side-bar mast-head skip-link".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -72,14 +75,16 @@ class _Block:
         self.parts, self.linked, self.bad, self.hints, self.article, self.outer, self.parent, self.heading, self.label = [], 0, bad, hints, article, outer, parent, heading, None
 
 
-def hinted(value: str) -> tuple[bool, bool]:
-    """Whether a class or id value has a whole name of boilerplate, and one of reader comments."""
-    hint = replies = False
+def hinted(value: str) -> str:
+    """What a class or id value says by a whole name: `replies`, `plain`, `around` or nothing."""
+    said = set()
     for name in value.lower().split():
         words = [w for w in NAME.split(name) if w]
-        if all(w in HINTS or w in BESIDE for w in words) and (name.replace("_", "-") in JOINED or any(w in HINTS for w in words)):
-            hint, replies = True, replies or any(w in REPLIES for w in words)
-    return hint, replies
+        if name.replace("_", "-") in JOINED:
+            said.add("plain")
+        elif all(w in HINTS or w in BESIDE for w in words):
+            said.update(kind for kind, names in (("replies", REPLIES), ("plain", PLAIN), ("around", AROUND)) if any(w in names for w in words))
+    return next((kind for kind in ("replies", "plain", "around") if kind in said), "")
 
 
 class _Hints:
@@ -234,8 +239,8 @@ def blocks(page: str) -> list[_Block]:
                 value = value.strip("\"'")
                 if name.lower() == "role":
                     bad |= value.lower() in ROLES
-                elif (found := hinted(value))[0]:
-                    hint = hints.add(number, hint if hint != number else hints.around[number], found[1] or number in hints.replies)
+                elif (said := hinted(value)) and not (said == "around" and article):
+                    hint = hints.add(number, hint if hint != number else hints.around[number], said == "replies" or number in hints.replies)
         stack.push(_Open(tag, bad, hint, article, outer, number))
     close()
     _weigh(out, hints)
