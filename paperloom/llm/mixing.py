@@ -108,6 +108,7 @@ def resample(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
     """
     taken = mix(spark, docs, **parameters).where("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     u = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    copies = taken.select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("taken") / F.col("size") + u).cast("int").alias("mix_copies")).where("mix_copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"])).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies")))
-    return joined.select(*[docs[c] for c in docs.columns])
+    copies = taken.select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("taken") / F.col("size") + u).cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))  # one column, whose names clash with nothing
+    joined = rows.join(copies, rows["doc_id"].eqNullSafe(copies["mixed_id"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
