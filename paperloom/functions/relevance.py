@@ -21,28 +21,44 @@ DIRECTION_TERMS = {
 #: Hints of the domain in a custom direction, and in a paper of one.
 DOMAIN_HINTS = ("自动驾驶", "无人驾驶", "车辆", "汽车", "驾驶", "robot", "robotics", "autonomous", "driving", "vehicle", "self-driving")
 CUSTOM_EXTRA = ("hallucination", "幻觉", "uncertainty", "不确定性", "safety", "安全", "control", "控制", "perception", "感知")
-_NOT = "(?<![a-z0-9_]){}(?![a-z0-9_])"  # a word border as for ASCII words
-_ASPECT = "(control|planning|trajectory|motion|dynamics|perception|detection|forecast|prediction|tracking|steering)"
-#: Patterns of the domain, of robotics, of racing and of other fields.
+#: Patterns of the domain, of robotics, of racing and of other fields (\b is a border of ASCII words).
 AUTONOMY = (
-    "autonomous.{0,40}(driving|vehicle|car|urban|system)", "(driving|vehicle|car|urban|system).{0,40}autonomous", "self[- ]driving", "automated.{0,30}(driving|vehicle)", "driverless",
-    "intelligent.{0,20}vehicles?", "road.{0,20}vehicles?", "vehicles?.{0,40}" + _ASPECT, _ASPECT + ".{0,40}vehicles?", "carla|nuscenes|waymo|lidar|bird.?s[- ]eye|" + "|".join(map(_NOT.format, ("bev", "v2x", "slam"))),
-)
-ROBOTICS = ("robotics?", "embodied ai", "quadrotor", "drone", _NOT.format("uav"))
-RACING = ("autonomous racing", "racing car", "driverless", "formula student", "vehicle dynamics", "high[- ]speed autonomous", "racing line")
+    r"autonomous.{0,40}(driving|vehicle|car|urban|system)",
+    r"(driving|vehicle|car|urban|system).{0,40}autonomous",
+    r"self[- ]driving",
+    r"automated.{0,30}(driving|vehicle)",
+    r"driverless",
+    r"intelligent.{0,20}vehicles?",
+    r"road.{0,20}vehicles?",
+    r"vehicles?.{0,40}(control|planning|trajectory|motion|dynamics|perception|detection|forecast|prediction|tracking|steering)",
+    r"(control|planning|trajectory|motion|dynamics|perception|detection|forecast|prediction|tracking|steering).{0,40}vehicles?",
+    r"carla|nuscenes|waymo|lidar|bird.?s[- ]eye|\bbev\b|\bv2x\b|\bslam\b",
+)
+ROBOTICS = (r"robotics?", r"embodied ai", r"quadrotor", r"drone", r"\buav\b")
+RACING = (r"autonomous racing", r"racing car", r"driverless", r"formula student", r"vehicle dynamics", r"high[- ]speed autonomous", r"racing line")
 OFF_DOMAIN = (
-    _NOT.format("(cancer|tumou?r|patient|clinical trial|pharmacy|drug discovery|protein|genome|medical imaging|disease diagnosis)"),
-    _NOT.format("(quantum computing|quantum chemistry|climate change|crop yield|agriculture|financial market|stock prediction)"),
-    "肺癌|肿瘤|患者|临床试验|药物发现|蛋白质|基因组|医学影像|疾病诊断|量子计算|气候变化|农业|股票预测",
+    r"\b(cancer|tumou?r|patient|clinical trial|pharmacy|drug discovery|protein|genome|medical imaging|disease diagnosis)\b",
+    r"\b(quantum computing|quantum chemistry|climate change|crop yield|agriculture|financial market|stock prediction)\b",
+    r"肺癌|肿瘤|患者|临床试验|药物发现|蛋白质|基因组|医学影像|疾病诊断|量子计算|气候变化|农业|股票预测",
 )
 #: Rules of the local classifier, in order.
 CLASSIFIER = (
-    ("e2e", "end[- ]to[- ]end|unified driving|planning-oriented autonomous driving|directly.*(control|trajectory)"), ("planning", "motion planning|trajectory planning|path planning|model predictive control"),
-    ("world_model", "world model|video prediction|predictive model|latent dynamics"), ("llm_driving", "large language model|" + _NOT.format("llm") + "|vision-language|multimodal language"),
-    ("control", "vehicle control|path tracking|trajectory tracking|steering control"), ("perception", "bird.?s[- ]eye|" + _NOT.format("bev") + "|3d object detection|lidar perception"),
-    ("prediction", "trajectory prediction|motion forecasting|behavior prediction"), ("rl_driving", "reinforcement learning|deep rl|policy optimization"),
-    ("racing", "autonomous racing|racing car|formula student"), ("safety", "safety verification|safe autonomous|uncertainty|hallucination|幻觉|安全"),
-)
+    ("e2e", r"end[- ]to[- ]end|unified driving|planning-oriented autonomous driving|directly.*(control|trajectory)"),
+    ("planning", r"motion planning|trajectory planning|path planning|model predictive control"),
+    ("world_model", r"world model|video prediction|predictive model|latent dynamics"),
+    ("llm_driving", r"large language model|\bllm\b|vision-language|multimodal language"),
+    ("control", r"vehicle control|path tracking|trajectory tracking|steering control"),
+    ("perception", r"bird.?s[- ]eye|\bbev\b|3d object detection|lidar perception"),
+    ("prediction", r"trajectory prediction|motion forecasting|behavior prediction"),
+    ("rl_driving", r"reinforcement learning|deep rl|policy optimization"),
+    ("racing", r"autonomous racing|racing car|formula student"),
+    ("safety", r"safety verification|safe autonomous|uncertainty|hallucination|幻觉|安全"),
+)
+
+
+def border(pattern: str) -> str:
+    r"""\b between a-z, 0-9, _ and anything else; Java's own also knows letters of other scripts."""
+    return pattern.replace(r"\b", "(?:(?<![a-z0-9_])(?=[a-z0-9_])|(?<=[a-z0-9_])(?![a-z0-9_]))")
 
 
 def paper_text(*parts: Column) -> Column:
@@ -50,7 +66,7 @@ def paper_text(*parts: Column) -> Column:
 
 
 def _any(text: Column, patterns) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+    return text.rlike("|".join(f"(?:{border(p)})" for p in patterns))
 
 
 def direction_terms(key: str, label: str = "", query: str = "") -> list[str]:
@@ -87,4 +103,4 @@ def is_likely_relevant(title: Column, abstract: Column, venue: Column, key: str,
 def heuristic_directions(title: Column, abstract: Column, venue: Column) -> Column:
     """Keys of the rules that fit, in order: the first is primary, the next two secondary."""
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit("")), F.coalesce(venue, F.lit(""))))
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in CLASSIFIER]), lambda k: k.isNotNull())
+    return F.filter(F.array(*[F.when(text.rlike(border(p)), F.lit(k)) for k, p in CLASSIFIER]), lambda k: k.isNotNull())

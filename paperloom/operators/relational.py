@@ -123,6 +123,14 @@ def copy_classes(df: DataFrame, text: str, id_: str = "id") -> DataFrame:
     return p.join(groups.hint("merge"), "copy_group", "left").select(id_, "copy_group", F.coalesce("first_id", id_).alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
+def _last_values(maps: Column) -> Column:
+    """One map of an ordered array of (o, entries): each key with its last value."""
+    flat = F.filter(F.flatten(F.transform(maps, lambda x: x["m"])), lambda e: e.isNotNull())
+    last = lambda name: F.element_at(F.filter(flat, lambda e: e["key"] == name), -1)["value"]
+    names = F.array_distinct(F.transform(flat, lambda e: e["key"]))
+    return F.map_from_arrays(names, F.transform(names, lambda name: last(name)))
+
+
 def fold_merge(records: DataFrame, key: str, order: str) -> DataFrame:
     """Records of one key folded in encounter order: the last one's fields, the longest abstract (first of equals), the
     highest citations, sources in order of first sight, right-biased maps."""
@@ -137,10 +145,7 @@ def fold_merge(records: DataFrame, key: str, order: str) -> DataFrame:
         aggs.append(F.array_distinct(F.flatten(F.transform(lists, lambda x: x["sources"]))).alias("sources"))
     for c in ("source_ids", "source_urls"):
         if c in records.columns:
-            maps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(c).alias("m"))))
-            flat = F.flatten(F.transform(maps, lambda x: x["m"]))
-            names = F.array_distinct(F.transform(flat, lambda e: e["key"]))
-            aggs.append(F.map_from_arrays(names, F.transform(names, lambda n, flat=flat: F.element_at(F.filter(flat, lambda e: e["key"] == n), -1)["value"])).alias(c))
+            aggs.append(_last_values(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(c).alias("m"))))).alias(c))
     return records.groupBy(key).agg(*aggs)
 
 
@@ -226,3 +231,30 @@ def sync_statistics(records: DataFrame, key: str, merged: DataFrame) -> DataFram
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     came = records.agg(F.count("*").alias("fetched"), (F.count("*") - F.count_distinct(key)).alias("duplicates"))
     return came.join(F.broadcast(merged.agg(n("inserted"), n("updated"), n("untouched"))))
+
+
+# ---------------------------------------------------------------- lists and related papers
+def related(papers: DataFrame, links: DataFrame, hidden: DataFrame, vectors: DataFrame, paper_id: int, candidates: int = 300, limit: int = 8) -> DataFrame:
+    """(id, score): visible papers that share a direction with the paper, the first `candidates` by id, scored by .8
+    vector and .2 words of the target's whole text. vectors(id, embedding), hidden(id)."""
+    from paperloom.functions import scoring as sc
+    from paperloom.functions import text as tx
+
+    whole = F.concat_ws(" ", truthy(F.col("title")), truthy(F.col("abstract")), truthy(F.col("venue")))
+    mine = links.where(F.col("paper_id") == paper_id).select("direction").distinct()
+    near = links.join(mine, "direction", "left_semi").select(F.col("paper_id").alias("id")).distinct()
+    few = visible(papers).select("id").where(F.col("id") != paper_id).join(near, "id", "left_semi").join(hidden, "id", "left_anti").orderBy("id").limit(candidates)
+    target = papers.where(F.col("id") == paper_id).select("id", whole.alias("query")).join(vectors.where(F.col("id") == paper_id), "id", "left").select("query", F.col("embedding").alias("q")).limit(1)
+    j = papers.select("id", whole.alias("whole")).join(F.broadcast(few), "id").join(vectors, "id", "left").join(F.broadcast(target))
+    semantic = F.greatest(F.coalesce(sc.cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), F.lit(0.0))
+    return j.select("id", F.round(0.8 * semantic + 0.2 * tx.lexical_score(F.col("whole"), F.col("query")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def legacy_list(papers: DataFrame, links: DataFrame, direction: str | None, query: str | None, size: int, number: int, sort: str = "citations", columns: Sequence[str] = ("title", "abstract", "authors")) -> DataFrame:
+    """A page of papers with total and has_more; sort is citations, year or relevance (which is citations)."""
+    p = search_filter(papers, columns, query) if query else papers
+    if direction and direction != "all":
+        p = p.join(links.where(F.col("direction") == direction).select(F.col("paper_id").alias("id")), "id", "left_semi")
+    by = [F.desc_nulls_last("year"), F.desc_nulls_last("citations")] if sort == "year" else [F.desc_nulls_last("citations")]
+    total = p.agg(F.count("*").alias("total"))
+    return page(p, [*by, F.col("id")], size, number).join(F.broadcast(total)).withColumn("has_more", F.col("total") > size * number)

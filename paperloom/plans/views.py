@@ -18,6 +18,7 @@ MODEL = {
   CASE event_type WHEN 'purchase' THEN 'save' WHEN 'signup' THEN 'library_import' WHEN 'view' THEN 'read' WHEN 'error' THEN 'hide' ELSE 'note' END AS event FROM {events}""",
     "feedback": """SELECT doc_id AS paper_id, concat('d', CAST(doc_id % 10 AS VARCHAR(20))) AS direction,
   CASE WHEN toxic = 1 THEN 'irrelevant' WHEN quality = 1 THEN 'relevant' ELSE 'partial' END AS label FROM {labels}""",
+    "shown_history": """SELECT DISTINCT event_id % 500 AS paper_id, concat('d', CAST(event_id % 10 AS VARCHAR(20))) AS direction, CAST(ts AS DATE) AS shown_on FROM {events} WHERE event_type = 'click'""",
 }
 TABLES = ("documents", "labels", "events", "embeddings", "pages", "conversations", "orders", "lineitem", "customer")
 
