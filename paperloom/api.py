@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import scoring as sc
 from paperloom.functions import text as tx
+from paperloom.operators import daily as dy
+from paperloom.operators import library as lib
 from paperloom.operators import relational as ra
+from paperloom.operators.records import with_metadata
+from paperloom.sources.curated import DIRECTIONS, neighbours
 
-#: Neighbouring directions are data (direction, neighbour, position); these are the event names.
+VIEWS = ("all", "frontier", "classic")
+#: The event names, with the flag that each sets.
 FLAGS = {"read": ("is_read", True), "unread": ("is_read", False), "save": ("is_saved", True), "unsave": ("is_saved", False), "hide": ("is_hidden", True), "unhide": ("is_hidden", False)}
 
 
@@ -57,12 +62,12 @@ class Library:
         p = self._with_state(ra.visible(self.t("papers"))).where(~F.col("is_hidden"))
         if direction and direction != "all":
             p = p.join(self.t("paper_directions").where(F.col("direction") == direction).select(F.col("paper_id").alias("id")), "id", "left_semi")
+        if view not in VIEWS:
+            raise ValueError(f"view is one of {VIEWS}")
         now = F.coalesce(F.lit(as_of).cast("date"), F.current_date())
-        impact = sc.citation_quality(F.col("citations"), F.col("citation_percentile"))
-        frontier = sc.is_frontier(F.col("year"), F.col("published_date"), now)
-        p = p.withColumn("prior", sc.recommendation_score(frontier, F.lit(False), F.col("year"), F.lit(0), impact, now)).withColumn("is_frontier", frontier)
-        if view == "frontier":
-            p = p.where("is_frontier")
+        p = with_metadata(p, now).withColumnRenamed("recommendation_score", "prior")
+        if view != "all":
+            p = p.where(f"is_{view}")
         if query:
             lex = tx.lexical_score(F.concat_ws(" ", "title", "abstract", "venue"), F.lit(query))
             if vector is not None and "embedding" in p.columns:
@@ -78,14 +83,11 @@ class Library:
         return top.join(links, "id", "left").select("id", "title", "year", "citations", "is_saved", "is_read", "score", F.coalesce("directions", F.array().cast("array<string>")).alias("directions"))
 
     def related_papers(self, paper_id: int, limit: int = 8) -> DataFrame:
-        """By .8 vector and .2 words; candidates share a direction with the paper."""
-        p, d = self.t("papers"), self.t("paper_directions")
-        mine = d.where(F.col("paper_id") == paper_id).select("direction")
-        near = d.join(F.broadcast(mine), "direction", "left_semi").select(F.col("paper_id").alias("id")).distinct()
-        target = p.where(F.col("id") == paper_id).select(F.col("embedding").alias("q"), F.concat_ws(" ", "title", "abstract").alias("query"))
-        j = ra.visible(p).where(F.col("id") != paper_id).join(near, "id", "left_semi").join(F.broadcast(target))
-        score = 0.8 * F.greatest(F.coalesce(sc.cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), F.lit(0.0)) + 0.2 * tx.lexical_score(F.concat_ws(" ", "title", "abstract"), F.col("query"))
-        return j.select("id", "title", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+        """By .8 vector and .2 words; candidates are the first 300 by id that share a direction with the paper."""
+        hidden = self.user_state().where("is_hidden").select(F.col("paper_id").alias("id"))
+        p = self.t("papers")
+        found = ra.related(p, self.t("paper_directions"), hidden, p.select("id", "embedding"), paper_id, limit=limit)
+        return found.join(p.select("id", "title"), "id").select("id", "title", "score").orderBy(F.desc("score"), "id")
 
     def recommend(self, directions: Sequence[str] = (), limit: int = 20, as_of=None) -> DataFrame:
         links = self.t("paper_directions")
@@ -93,11 +95,8 @@ class Library:
         hit = links.where(F.col("direction").isin(list(directions))).groupBy(F.col("paper_id").alias("id")).agg((F.count_distinct("direction") / n).alias("match")) if directions else None
         p = self._with_state(ra.visible(self.t("papers"))).where(~F.col("is_hidden"))
         p = p.join(hit, "id", "left") if hit is not None else p.withColumn("match", F.lit(1.0))
-        p = ra.soft_filter(p, F.col("match").isNotNull())
-        now = F.coalesce(F.lit(as_of).cast("date"), F.current_date())
-        impact = sc.citation_quality(F.col("citations"), F.col("citation_percentile"))
-        base = sc.recommendation_score(sc.is_frontier(F.col("year"), F.col("published_date"), now), F.lit(False), F.col("year"), F.lit(0), impact, now)
-        score = sc.match_score(base, F.coalesce("match", F.lit(0.0)), F.col("is_saved"), F.col("is_read"))
+        p = with_metadata(ra.soft_filter(p, F.col("match").isNotNull()), F.coalesce(F.lit(as_of).cast("date"), F.current_date()))
+        score = sc.match_score(F.col("recommendation_score"), F.coalesce("match", F.lit(0.0)), F.col("is_saved"), F.col("is_read"))
         return p.select("id", "title", "year", F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.desc("year"), "id").limit(clamp(limit, 1, 100))
 
     def behaviour(self, as_of) -> DataFrame:
@@ -105,33 +104,47 @@ class Library:
         w = self.t("paper_user_events").groupBy("paper_id").agg(F.sum(sc.decayed_event_weight(F.col("event"), F.col("created_at"), now)).alias("w"))
         return w.join(self.t("paper_directions"), "paper_id").groupBy("direction").agg(F.sum("w").alias("score"), F.count_distinct("paper_id").alias("papers")).where("score > 0")
 
-    def daily_recommendations(self, as_of: str, directions: Sequence[str] = (), limit: int = 1, window_start: str | None = None) -> DataFrame:
-        """(direction, paper_id, rank, score): at most limit (1 or 2) papers per direction, none twice.
-
-        Directions: those asked for, else the eight that behaviour prefers. Bounded: a few rows per direction are
-        walked on the driver."""
-        limit, today = clamp(limit, 1, 2), F.lit(as_of).cast("date")
-        prefer = self.behaviour(as_of).orderBy(F.desc("score"), F.desc("papers"), "direction").limit(64).collect()
-        weight = {r["direction"]: min(2.0, 1 + r["score"] / 10) for r in prefer}
-        chosen = list(directions) or [r["direction"] for r in prefer[:8]]
-        p = self._with_state(ra.visible(self.t("papers"))).where(~F.col("is_hidden"))
-        if window_start:
-            p = ra.since(p, F.lit(window_start).cast("date"))
-        c = p.join(self.t("paper_directions").where(F.col("direction").isin(chosen)), F.col("id") == F.col("paper_id"))
-        if "rules" in self.tables:
-            c = ra.apply_rules(c, self.t("rules"), F.concat_ws(" ", "title", "abstract"))
-        shown = F.lit(False)
+    def _known(self) -> dict[str, tuple[str, str]]:
+        """Label and query of every built-in and custom direction; custom ones win."""
+        out = {k: (label, label) for k, (label, _) in DIRECTIONS.items()}
+        if "custom_directions" in self.tables:
+            out |= {r["key"]: (r["label"], r["query"]) for r in self.t("custom_directions").select("key", "label", "query").limit(10_000).collect()}
+        return out
+
+    def daily_recommendations(self, as_of: str, directions: Sequence[str] = (), limit: int = 2, window: str = "all", snapshots: dy.Snapshots | None = None) -> DataFrame:
+        """(kind, direction, paper_id, rank, score): at most limit (1 or 2) papers per direction, none twice, and one or
+        two of neighbouring directions.
+
+        Directions: those asked for, else the active configured ones, else those that behaviour prefers. With snapshots
+        the picks of a day and window are made once; later calls read them, whatever they ask for. Bounded: a few rows
+        per direction are walked on the driver."""
+        window = window if window in dy.WINDOWS else "all"
+        n = dy.per_direction(limit)
+
+        def compute() -> DataFrame:
+            liked = [(r["direction"], r["score"]) for r in self.behaviour(as_of).orderBy(F.desc("score"), F.desc("papers"), "direction").limit(64).collect()]
+            given = []
+            if "direction_preferences" in self.tables:
+                given = [(r["direction"], r["weight"], r["is_active"]) for r in self.t("direction_preferences").orderBy(F.desc("weight"), "direction").select("direction", "weight", "is_active").limit(10_000).collect()]
+            keys, weights = dy.choose_directions(directions, given, liked)
+            edges = self.tables["neighbours"] if "neighbours" in self.tables else neighbours(self.spark)
+            near = [(r["direction"], r["neighbour"]) for r in edges.where(F.col("direction").isin(keys)).orderBy("direction", "position").collect()]
+            explore = dy.neighbours_of(keys, near, [d for d, _, active in given if not active])
+            weights |= {d: w for d, w, _ in given if d in explore}
+            known = self._known()
+            asked = {k: known.get(k, (k, k)) for k in [*keys, *explore]}
+            empty = lambda ddl: self.spark.createDataFrame([], ddl)
+            rules = self.tables.get("rules") or empty("direction string, term string, mode string")
+            history = self.tables.get("history") or empty("paper_id long, direction string, shown_on date")
+            links = self.t("paper_directions")
+            links = links if "is_relevant" in links.columns else links.withColumn("is_relevant", F.lit(True))
+            scored = dy.candidates(self.t("papers"), links, self.user_state(), history, rules, as_of, asked, weights, window, n)
+            return dy.pick(scored, keys, explore, n)
+
+        picks = snapshots.of(as_of, window, compute) if snapshots else compute()
         if "history" in self.tables:
-            h = self.t("history").where((F.col("shown_on") >= F.date_sub(today, 3)) & (F.col("shown_on") < today)).select("paper_id", "direction", F.lit(True).alias("_h")).distinct()
-            c, shown = c.join(h, ["paper_id", "direction"], "left"), F.col("_h").isNotNull()
-        c = ra.fresh_or_all(c.withColumn("shown", shown), ["direction"], "shown", limit)
-        impact = sc.citation_quality(F.col("citations"), F.col("citation_percentile"))
-        base = sc.recommendation_score(sc.is_frontier(F.col("year"), F.col("published_date"), today), F.lit(False), F.col("year"), F.lit(0), impact, today)
-        w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for d in chosen for x in (d, weight.get(d, 1.0))]), F.col("direction")), F.lit(1.0)) if chosen else F.lit(1.0)
-        score = F.round(sc.daily_score(base, sc.recency_score(F.col("year"), F.col("published_date"), today), F.lit(0), impact, F.lit(0.5), F.col("is_read"), F.col("shown"), w), 6)
-        c = c.withColumn("score", score)
-        picked = ra.greedy_select(c, chosen, limit, [F.desc("is_saved"), F.desc("score"), F.desc("year"), F.col("paper_id")])
-        return c.select("direction", "paper_id", "title", "score").join(F.broadcast(picked), ["direction", "paper_id"]).orderBy("direction", "rank")
+            self.tables["history"] = dy.add_history(self.t("history"), picks, as_of)
+        return picks.where("shown").select("kind", "direction", "paper_id", "rank", "score")
 
     def direction_counts(self) -> DataFrame:
         p = ra.visible(self.t("papers")).select(F.col("id").alias("paper_id"))
@@ -147,9 +160,8 @@ class Library:
         if event not in FLAGS and event not in ("note", "library_import"):
             raise ValueError(f"unknown event {event!r}")
         e = self.t("paper_user_events")
-        last = e.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = self.spark.sql("SELECT CAST(:i AS BIGINT) AS id, CAST(:p AS BIGINT) AS paper_id, :e AS event, CAST(:t AS TIMESTAMP) AS created_at", {"i": last + 1, "p": paper_id, "e": event, "t": str(created_at)})
-        self.tables["paper_user_events"] = e.select("id", "paper_id", "event", "created_at").unionByName(new)
+        new = self.spark.sql("SELECT CAST(:p AS BIGINT) AS paper_id, :e AS event", {"p": paper_id, "e": event})
+        self.tables["paper_user_events"] = lib.append_events(e, new, F.lit(str(created_at)))
 
     def import_bibtex(self, text: str) -> DataFrame:
         """New papers of a BibTeX text: those without a match by arXiv id, DOI or normalised title and year."""
@@ -162,3 +174,31 @@ class Library:
         old = p if "doi" in p.columns else p.withColumn("doi", F.lit(None).cast("string"))
         found = ra.match_by_priority(entries, old.select("id", "title", "year", "doi"), keys)
         return entries.join(found, "new_id", "left").select("key", "title", "year", "doi", "arxiv_id", F.col("id").alias("matched_id"))
+
+    def save(self, bodies: DataFrame, now) -> DataFrame:
+        """Saves papers and reports where they went; the papers, library and event tables are their new versions."""
+        out = lib.save_papers(self.t("papers"), self._items(), self.t("paper_user_events"), bodies, F.lit(str(now)))
+        self.tables |= {"papers": out["papers"], "library_items": out["library"], "paper_user_events": out["events"]}
+        return out["outcome"]
+
+    def import_library(self, text: str, now, collection: str = "Zotero 导入") -> DataFrame:
+        """Takes a BibTeX text into the library; a row of counters."""
+        from paperloom.sources.bibtex import read_bibtex
+
+        e = read_bibtex(self.spark.sql("SELECT :x AS bibtex", {"x": text}))
+        e = e.select("key", "title", "year", "doi", "arxiv_id", *[(F.col(c) if c in e.columns else F.lit(None).cast("string")).alias(c) for c in ("abstract", "venue", "authors", "pdf_url")])
+        p = self.t("papers")
+        p = p.withColumns({c: F.lit(None).cast("string") for c in ("doi", "arxiv_id") if c not in p.columns})
+        links = self.t("paper_directions").select("paper_id", "direction")
+        old = links.withColumns({"direction_label": F.col("direction"), "is_relevant": F.lit(True)})
+        out = lib.import_entries(p, self._items(), old, self.t("paper_user_events"), e, F.lit(str(now)), collection)
+        self.tables |= {"papers": out["papers"], "library_items": out["library"], "paper_directions": out["links"], "paper_user_events": out["events"]}
+        return out["counters"]
+
+    def _items(self) -> DataFrame:
+        return self.tables.get("library_items") or self.spark.createDataFrame([], "paper_id long, source string, external_key string, collection string")
+
+    def create_direction(self, label: str, query: str, color: str = "#0ea5e9") -> str:
+        custom = self.tables.get("custom_directions") or self.spark.createDataFrame([], "key string, label string, query string, color string")
+        self.tables["custom_directions"], key = lib.create_direction(custom, label, query, color)
+        return key

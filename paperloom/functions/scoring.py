@@ -108,9 +108,10 @@ def venue_confidence(venue: Column, sources: Column, kind: Column) -> Column:
     return F.when(F.coalesce(venue, F.lit("")) == "", 0.0).when(has("Curated classics"), 1.0).when(has("Crossref") & known, 0.95).when(has("OpenAlex") & known, 0.85).when(known, 0.6).otherwise(0.25)
 
 
-def legacy_score(weight: Column, citations: Column, rank: Column, year: Column) -> Column:
+def legacy_score(weight: Column, citations: Column, rank: Column, year: Column, this_year: int = 2026) -> Column:
+    """this_year: the year that ages are counted from (a fixed value of the stored scores unless given)."""
     factor = F.when(rank == "A", 1.5).when(rank == "B", 1.2).when(rank == "C", 1.0).otherwise(0.7)
-    recency = F.when(year.isNull(), 0.5).otherwise(F.exp(-0.15 * (2026 - year)))
+    recency = F.when(year.isNull(), 0.5).otherwise(F.exp(-0.15 * (this_year - year)))
     return weight * F.log10(F.coalesce(citations, F.lit(0)) + 1) * factor * recency
 
 

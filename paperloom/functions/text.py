@@ -81,6 +81,10 @@ def authors_display(authors: Column) -> Column:
     return F.when(F.size(parts) > 4, F.concat(F.array_join(F.slice(parts, 1, 4), ", "), F.lit(" +"), F.size(parts).cast("string"))).otherwise(authors)
 
 
+def summary_display(summary: Column, limit: int = 280) -> Column:
+    return F.when(F.char_length(summary) > limit, F.concat(F.substring(summary, 1, limit), F.lit("..."))).otherwise(summary)
+
+
 def arxiv_id(eprint: Column, url: Column) -> Column:
     value = F.coalesce(eprint, F.lit(""))
     both = F.concat(value, F.lit(" "), F.coalesce(url, F.lit("")))
@@ -93,6 +97,25 @@ def content_hash(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
 
 
+#: What each cached result depends on.
+HASHED = {
+    "classification": ("title", "abstract", "venue", "year"), "summary": ("title", "abstract", "authors", "venue", "year", "doi"), "abstract_translation": ("title", "abstract", "doi"),
+    "translation": ("title", "abstract", "authors", "year", "venue", "doi", "pdf_url", "model", "parser", "glossary"),
+}
+
+
+def result_hash(kind: str, get) -> Column:
+    """Hash of what a cached result of a kind depends on; get(name) is a column. A translation's is of a JSON object."""
+    cols = HASHED[kind]
+    if kind == "translation":
+        return F.sha2(F.to_json(F.struct(*[get(c).alias(c) for c in cols]), {"ignoreNullFields": "false"}), 256)
+    return content_hash(*map(get, cols))
+
+
+def chunk_hash(source_hash: Column, index: Column, text: Column) -> Column:
+    return F.substring(content_hash(source_hash, index, text), 1, 20)
+
+
 def decode_id(c: Column, passes: int = 4) -> Column:
     """URL-decoded until nothing changes, at most passes times; what cannot be decoded stays."""
     for _ in range(passes):
@@ -163,6 +186,22 @@ def safe_asset_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"[^A-Za-z0-9._-]+", "_")
 
 
+#: Content types by extension.
+CONTENT_TYPES = (("png", "image/png"), ("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("gif", "image/gif"), ("webp", "image/webp"), ("svg", "image/svg+xml"))
+
+
+def content_type(name: Column) -> Column:
+    out = F.lit("application/octet-stream")
+    for ext, kind in CONTENT_TYPES:
+        out = F.when(F.lower(name).endswith(f".{ext}"), F.lit(kind)).otherwise(out)
+    return out
+
+
+def served_assets(markdown: Column, base: Column) -> Column:
+    """Asset references of a document as addresses under base."""
+    return F.regexp_replace(markdown, r"(!\[[^\]]*\]\()assets/([^)\s]+)(\))", F.concat(F.lit("$1"), base, F.lit("$2$3")))
+
+
 def multiset_except(a: Column, b: Column) -> Column:
     """What is left of a when each element of b takes away one equal element, first ones first; null if either is.
 

@@ -147,12 +147,35 @@ def chunk_documents(docs: DataFrame, limit: int = 9000) -> DataFrame:
     return docs.mapInPandas(run, "id long, chunk int, chars int, text string")
 
 
-def inspect_documents(docs: DataFrame) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"id": f["id"], "issues": [inspect(m or "") for m in f["markdown"]]})
+#: A run is reported from RUN characters and SHARE of its line, a line from LONG characters; what a page
+#: break leaves of a word.
+RUN_CHARS, RUN_SHARE, LONG = 40, 0.12, 6000
+ORPHAN = r"(?i)^(?:gardless|nter|dardless|ontent|igure|able)\b"
 
-    return docs.mapInPandas(run, "id long, issues array<string>")
+
+def inspect_documents(docs: DataFrame) -> DataFrame:
+    """(id, issues) as inspect finds them; balance and lines are columns, only lines that may hold a run go to Python."""
+    m = F.coalesce("markdown", F.lit(""))
+    n = lambda p: F.regexp_count("m", F.lit(p))
+    lines = F.transform(F.split(F.regexp_replace("m", "\r", ""), "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("t")))
+    lines = F.filter(lines, lambda x: x["t"] != "")
+
+    @F.pandas_udf("array<boolean>")
+    def runs(texts: pd.Series) -> pd.Series:
+        bad = lambda t: (r := repeated_run(t)[0]) >= RUN_CHARS and r / max(1, len(re.sub(r"\s+", "", t))) >= RUN_SHARE
+        return pd.Series([[bad(t) for t in ts] for ts in texts], index=texts.index, dtype=object)
+
+    found = docs.select("id", m.alias("m")).select("id", "m", lines.alias("lines"))
+    may = lambda x: F.regexp_replace(x["t"], r"\s+", "").rlike(r"(?s)(.{2,4})\1{9,}")
+    found = found.withColumn("few", F.filter("lines", may))
+    code = lambda name, x: F.concat(F.lit(f"{name}:"), x["n"].cast("string"))
+    at = lambda name, k: F.transform(F.filter("few", lambda x, i: F.get("bad", i)), lambda x: F.struct(x["n"].alias("n"), F.lit(k).alias("k"), code(name, x).alias("c")))
+    pick = lambda name, k, cond: F.transform(F.filter("lines", cond), lambda x: F.struct(x["n"].alias("n"), F.lit(k).alias("k"), code(name, x).alias("c")))
+    found = found.withColumn("bad", F.when(F.size("few") > 0, runs(F.transform("few", lambda x: x["t"]))).otherwise(F.array().cast("array<boolean>")))
+    each = F.concat(at("repeated_text", 0), pick("oversized_line", 1, lambda x: (F.char_length(x["t"]) > LONG) & ~x["t"].rlike(r"(?is)<table\b.*</table>")), pick("orphan_fragment", 2, lambda x: x["t"].rlike(ORPHAN)))
+    tags = [F.when(n(rf"(?i)<{t}\b") != n(f"(?i)</{t}>"), f"unbalanced_html:{t}") for t in ("table", "tr", "td", "th")]
+    math_ = F.when((n(r"(?<!\\)\$") % 2 != 0) | (n(r"(?<!\\)\$\$") % 2 != 0), "unbalanced_math")
+    return found.select("id", F.filter(F.concat(F.transform(F.array_sort(each), lambda x: x["c"]), F.array(*tags, math_)), lambda x: x.isNotNull()).alias("issues"))
 
 
 def roundtrip_documents(docs: DataFrame) -> DataFrame:

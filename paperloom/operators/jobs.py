@@ -6,8 +6,12 @@ import contextlib
 import json
 import os
 import random
+import re
+import threading
 import time
 from collections.abc import Callable, Iterable
+from datetime import datetime, timedelta
+from email.utils import parsedate_to_datetime
 from pathlib import Path
 
 STATUS_DEFAULT = {"status": "idle", "phase": None, "message": "", "current": 0, "total": 0, "errors": [], "updated_at": None, "completed_at": None}
@@ -89,14 +93,68 @@ def backoff(attempt: int, base: float = 0.5, most: float = 60.0, retry_after: fl
     return min(most, retry_after if retry_after is not None else base * 2**attempt * (0.5 + rng() / 2))
 
 
-def with_retries(call: Callable, attempts: int = 3, retryable: Callable[[Exception], bool] = lambda e: isinstance(e, (OSError, TimeoutError)), sleep: Callable[[float], None] = time.sleep):
+class ServiceError(Exception):
+    """An answer with a status that is no success; retry_after as the server wrote it."""
+
+    def __init__(self, status: int, retry_after: str | None = None):
+        super().__init__(f"status {status}")
+        self.status, self.retry_after = status, retry_after
+
+
+def retry_after_seconds(value: str | None, now: float) -> float | None:
+    """Seconds of a Retry-After header: a number, or a date; null for anything else, never below 0."""
+    if not value:
+        return None
+    if re.fullmatch(r"\s*\d+(?:\.\d+)?\s*", value):
+        return float(value)
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - now)
+    except (TypeError, ValueError):
+        return None
+
+
+def is_retryable(e: Exception) -> bool:
+    """Broken connections, timeouts and the statuses that are worth another try."""
+    return e.status in RETRY_STATUS if isinstance(e, ServiceError) else isinstance(e, (OSError, TimeoutError))
+
+
+def with_retries(call: Callable, attempts: int = 3, retryable: Callable[[Exception], bool] = is_retryable, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time):
     for k in range(attempts):
         try:
             return call()
         except Exception as e:
             if k + 1 == attempts or not retryable(e):
                 raise
-            sleep(backoff(k))
+            sleep(backoff(k, retry_after=retry_after_seconds(getattr(e, "retry_after", None), now())))
+
+
+@contextlib.contextmanager
+def heartbeat(beat: Callable[[], bool], every: float = 60.0):
+    """Beats in a thread while a job runs; the event that it yields is set once a beat says that the lease is lost."""
+    lost, done = threading.Event(), threading.Event()
+
+    def run():
+        while not done.wait(every):
+            try:
+                if not beat():
+                    lost.set()
+                    return
+            except Exception:  # a beat that fails is tried again; the lease decides
+                continue
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    try:
+        yield lost
+    finally:
+        done.set()
+        thread.join()
+
+
+def next_run(now: datetime, hour: int = 8, minute: int = 0) -> datetime:
+    """When a daily job runs next."""
+    at = now.replace(hour=hour, minute=minute, second=0, microsecond=0)
+    return at if at > now else at + timedelta(days=1)
 
 
 def run_stages(stages: Iterable[tuple[str, Callable[[], object]]], publish: Callable[..., object] = lambda **_: None) -> bool:

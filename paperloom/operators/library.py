@@ -47,7 +47,7 @@ def create_direction(custom: DataFrame, label: str, query: str, color: str = "#0
         raise ValueError(f"direction {label!r} exists")
     new = custom.sparkSession.createDataFrame([(label, query, color)], "label string, query string, color string")
     new = allocate_keys(new, custom).select("key", "label", "query", "color")
-    return custom.unionByName(new), new.first()["key"]
+    return custom.unionByName(new, allowMissingColumns=True), new.first()["key"]
 
 
 def suggest_directions(custom: DataFrame, links: DataFrame, suggestions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +61,7 @@ def suggest_directions(custom: DataFrame, links: DataFrame, suggestions: DataFra
     fresh = allocate_keys(fresh, custom).select("key", "label", "query", "color")
     made = j.where("key is null").select("paper_id", "label").join(fresh.select("label", "key"), "label").select("paper_id", F.col("key").alias("direction"), F.col("label").alias("direction_label"))
     old = j.where("key is not null").select("paper_id", F.col("key").alias("direction"), F.col("known_label").alias("direction_label"))
-    return custom.unionByName(fresh), _link(links, made.unionByName(old))
+    return custom.unionByName(fresh, allowMissingColumns=True), _link(links, made.unionByName(old))
 
 
 def _link(links: DataFrame, new: DataFrame) -> DataFrame:
@@ -102,12 +102,12 @@ def save_papers(papers: DataFrame, library: DataFrame, events: DataFrame, bodies
     )
     items = b.select("paper_id", "source", F.col("canonical").alias("external_key"), F.lit("Atlas 收藏").alias("collection")).dropDuplicates(["paper_id"])
     return {
-        "papers": papers.unionByName(new, allowMissingColumns=True), "library": ra.upsert(library, items, ["paper_id"]), "events": _append(events, b.select("paper_id", F.lit("save").alias("event")), now),
+        "papers": papers.unionByName(new, allowMissingColumns=True), "library": ra.upsert(library, items, ["paper_id"]), "events": append_events(events, b.select("paper_id", F.lit("save").alias("event")), now),
         "outcome": b.select("paper_id", F.col("canonical").alias("id"), F.col("known").isNotNull().alias("already_existed")),
     }
 
 
-def _append(events: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+def append_events(events: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Events with generated ids: nothing is read to number them, so appends don't wait for each other."""
     stamped = new.select(F.xxhash64(F.expr("uuid()")).bitwiseAND(F.lit(POSITIVE)).alias("id"), "paper_id", "event", now.cast("timestamp").alias("created_at"))
     return events.select("id", "paper_id", "event", "created_at").unionByName(stamped)
@@ -138,7 +138,7 @@ def import_entries(papers: DataFrame, library: DataFrame, links: DataFrame, even
     items = e.select("paper_id", F.lit("Zotero/BibTeX").alias("source"), F.col("key").alias("external_key"), F.lit(collection).alias("collection")).dropDuplicates(["paper_id"])
     counts = e.agg(F.count("*").alias("entries"), F.count_if(F.col("known").isNotNull()).alias("duplicates"), F.count_distinct(F.when(F.col("known").isNull(), F.col("paper_id"))).alias("inserted"))
     return {
-        "papers": after, "library": ra.upsert(library, items, ["paper_id"]), "links": _link(links, linked), "events": _append(events, e.select("paper_id", F.lit("library_import").alias("event")), now),
+        "papers": after, "library": ra.upsert(library, items, ["paper_id"]), "links": _link(links, linked), "events": append_events(events, e.select("paper_id", F.lit("library_import").alias("event")), now),
         "counters": counts.join(F.broadcast(linked.agg(F.count("*").alias("linked")))),
     }
 

@@ -140,13 +140,16 @@ def fold_merge(records: DataFrame, key: str, order: str) -> DataFrame:
         aggs.append(F.max_by("abstract", F.struct(F.coalesce(F.length("abstract"), F.lit(0)), -F.col(order))).alias("abstract"))
     if "citations" in records.columns:
         aggs.append(F.max("citations").alias("citations"))
-    if "sources" in records.columns:
-        lists = F.array_sort(F.collect_list(F.struct(order, "sources")))
-        aggs.append(F.array_distinct(F.flatten(F.transform(lists, lambda x: x["sources"]))).alias("sources"))
+    if "sources" in records.columns:  # each source with its first place, found before the rows of a key meet
+        first = records.select(key, F.col(order).alias("_o"), F.posexplode("sources").alias("_p", "_s")).groupBy(key, "_s").agg(F.min(F.struct("_o", "_p")).alias("_at"))
+        seen = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]).alias("sources"))
     for c in ("source_ids", "source_urls"):
         if c in records.columns:
             aggs.append(_last_values(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(c).alias("m"))))).alias(c))
-    return records.groupBy(key).agg(*aggs)
+    out = records.groupBy(key).agg(*aggs)
+    if "sources" not in records.columns:
+        return out
+    return out.join(seen, key, "left").withColumn("sources", F.coalesce("sources", F.array().cast(records.schema["sources"].dataType)))
 
 
 def merge_papers(old: DataFrame, new: DataFrame, on: str = "id") -> DataFrame:

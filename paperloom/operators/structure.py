@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import asdict, dataclass
 
 import pandas as pd
@@ -186,30 +187,33 @@ def bind(markdown: str) -> tuple[list[Bound], list[str]]:
     any; only the first kind with the same kind of caption is certain. It fails closed: unused captions, objects
     without any, and numbers of a kind that are not exactly 1 to n put what they touch up for review.
     """
-    found, free, review = objects(markdown), captions(markdown), []
-    whole = list(free)
+    found, every, review = objects(markdown), captions(markdown), []
+    free, starts = dict.fromkeys(range(len(every))), [c.start for c in every]
+    widest = max((c.end - c.start for c in every), default=0)
     for o in found:
-        def place(c, o=o):
+        def place(k, o=o):
+            c = every[k]
             gap = c.start - o.end if c.start >= o.end else o.start - c.end
             right = c.start >= o.end if o.kind == "figure" else c.end <= o.start
             return not right, max(0, gap), gap
 
-        near = sorted((c for c in free if place(c)[2] <= REACH), key=lambda c: place(c)[:2])
+        # captions lie in order, so those in reach are neighbours
+        reach = range(bisect_left(starts, o.start - REACH - widest), bisect_right(starts, o.end + REACH))
+        near = sorted((k for k in reach if k in free and place(k)[2] <= REACH), key=lambda k: place(k)[:2])
         if near:
-            c = near[0]
-            free.remove(c)
-            o.caption_id, o.caption_number, o.distance = c.id, c.number, place(c)[2]
-            o.ambiguous = place(c)[0] or c.kind != o.kind
+            c = every[near[0]]
+            del free[near[0]]
+            o.caption_id, o.caption_number, o.distance = c.id, c.number, place(near[0])[2]
+            o.ambiguous = place(near[0])[0] or c.kind != o.kind
         if o.ambiguous:
             review.append(o.id)
-    review += [c.id for c in free]
+    review += [every[k].id for k in free]
     for kind in ("figure", "table"):
         sure = [o for o in found if o.kind == kind and not o.ambiguous]
         if sorted(o.caption_number for o in sure) != list(range(1, len(sure) + 1)):
             for o in sure:
                 o.ambiguous = True
                 review.append(o.id)
-    assert len(whole) >= len(free)
     return found, list(dict.fromkeys(review))
 
 

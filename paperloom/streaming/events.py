@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,31 @@ def stream_daily_counts(events: DataFrame, time: str = "ts", late: str = "1 day"
     return t.groupBy(F.window("_t", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
 
 
+def decayed(state: tuple[float, float] | None, events, half: float = 90.0) -> tuple[float, float]:
+    """(score, day) after events (day, weight), of whatever order: a score decays by exp(-days / 90) between them."""
+    score, day = state or (0.0, float("-inf"))
+    for at, weight in events:
+        if at >= day:
+            score, day = score * math.exp(-(at - day) / half) + weight if score else weight, at
+        else:  # a late event counts as it would have decayed until now
+            score += weight * math.exp(-(day - at) / half)
+    return score, day
+
+
+def stream_preference(events: DataFrame, late: str = "7 days") -> DataFrame:
+    """(direction, score, day) over a stream of events(direction, created_at, weight), in update mode: the state of a
+    direction is its score and the day it stands for, so that a preference at any later time is score * exp(-days / 90)."""
+
+    def update(key, frames, state):
+        rows = [(t.timestamp() / 86400, float(w)) for f in frames for t, w in zip(f["created_at"], f["weight"])]
+        now = decayed(state.get if state.exists else None, rows)
+        state.update(now)
+        yield pd.DataFrame({"direction": [key[0]], "score": [now[0]], "day": [now[1]]})
+
+    e = events.withWatermark("created_at", late)
+    return e.groupBy("direction").applyInPandasWithState(update, "direction string, score double, day double", "score double, day double", "update", "NoTimeout")
+
+
 def _lease(frame: pd.DataFrame) -> pd.DataFrame:
     status, token, lease, out = None, None, None, []
     for r in frame.sort_values("seq").itertuples():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.api import Library
 from paperloom.functions.providers import apply_cached, embed
 from paperloom.operators import jobs
+from paperloom.operators.daily import Snapshots
 from paperloom.plans.views import model
 
 DATA = "/root/testdata/sf0.001"
@@ -21,6 +22,8 @@ def library(spark):
     t["papers"] = t["papers"].join(v, "id", "left")
     t["history"] = spark.sql("SELECT 1L AS paper_id, 'd1' AS direction, DATE'2024-01-31' AS shown_on")
     t["rules"] = spark.sql("SELECT 'all' AS direction, 'zzzz' AS term, 'exclude' AS mode")
+    t["custom_directions"] = spark.createDataFrame([(f"d{k}", f"direction {k}", "the tion") for k in range(10)], "key string, label string, query string")
+    t["neighbours"] = spark.createDataFrame([("d1", "d2", 0), ("d1", "d5", 1)], "direction string, neighbour string, position int")
     return Library(spark, t)
 
 
@@ -35,8 +38,31 @@ def test_search_and_related(spark, library):
 
 def test_daily(library):
     rows = library.daily_recommendations("2024-02-01", ["d1", "d2", "d3"], 2).collect()
-    assert len(rows) == 6 and len({r["paper_id"] for r in rows}) == 6 and {r["direction"] for r in rows} == {"d1", "d2", "d3"}
-    assert 1 <= library.daily_recommendations("2024-02-01").count() <= 8
+    own = [r for r in rows if r["kind"] == "personal"]
+    assert len(own) == 6 and len({r["paper_id"] for r in rows}) == len(rows) == 7 and {r["direction"] for r in own} == {"d1", "d2", "d3"}
+    assert [r["direction"] for r in rows if r["kind"] == "exploration"] == ["d5"]  # a neighbour that wasn't asked for
+    assert 1 <= library.daily_recommendations("2024-02-01", limit=1).where("kind = 'personal'").count() <= 8
+
+
+def test_daily_snapshot(spark, library, tmp_path):
+    mine, s = Library(spark, dict(library.tables)), Snapshots(spark, f"file://{tmp_path}/snap")
+    mine.tables["history"] = library.t("history").where("shown_on < '2024-02-01'")
+    first = mine.daily_recommendations("2024-02-01", ["d1"], 2, snapshots=s).collect()
+    assert mine.daily_recommendations("2024-02-01", ["d2"], 1, snapshots=s).collect() == first  # keyed by day and window only
+    assert mine.t("history").where("shown_on = '2024-02-01'").count() == len(first)
+
+
+def test_library(spark, library):
+    mine = Library(spark, dict(library.tables))
+    bodies = spark.createDataFrame([("X1", None, "New paper", 2020, None, None, None, None, None)], "id string, doi string, title string, year int, venue string, authors string, abstract string, pdf_url string, source string")
+    mine.tables["papers"] = mine.t("papers").withColumns({"openalex_id": F.col("id").cast("string"), "doi": F.lit(None).cast("string")})
+    assert not mine.save(bodies, "2024-02-01").first()["already_existed"] and mine.save(bodies, "2024-02-02").first()["already_existed"]
+    c = mine.import_library("@misc{z,\n title = {Motion planning for self-driving cars},\n year = 2021\n}\n", "2024-02-03").first()
+    assert (c["entries"], c["inserted"], c["duplicates"]) == (1, 1, 0) and c["linked"] > 0
+    assert mine.create_direction("Tea and milk", "tea milk") == "tea-and-milk"
+    assert mine.search_papers(view="classic", as_of="2024-02-01").count() == 0
+    with pytest.raises(ValueError):
+        mine.search_papers(view="nothing")
 
 
 def test_actions(spark, library):
