@@ -38,6 +38,7 @@ from paperloom.llm.components import Union, components, forest
 WORDS = 5
 PERCENT = 75
 REGION_SHINGLES = 250_000
+SALTS = 32
 PIECE = 2_000  # members of a hot pivot's piece
 COMMON_PIVOTS = 12
 SPACE = np.zeros(256, bool)
@@ -383,8 +384,11 @@ def _pairs(split: DataFrame, comp: DataFrame) -> DataFrame:
     half = REGION_SHINGLES // 2
     m = split.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "tasks", "parts")
     sizes = m.groupBy("region", "comp").agg(F.sum("n").alias("own"))
-    rest = sizes.groupBy("region").agg(F.sum(F.when(F.col("own") < half, F.col("own")).otherwise(0)).alias("mixed"), F.count("*").alias("comps"))
-    m = m.join(sizes, ["region", "comp"]).join(rest, "region").where("comps > 1")
+    rest = sizes.groupBy("region").agg(F.sum(F.when(F.col("own") < half, F.col("own")).otherwise(0)).alias("mixed"), F.count("*").alias("comps")).where("comps > 1")
+    # the few rows of sizes meet a hot region or component in SALTS places
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = m.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int"))
+    m = m.join(salted(rest), ["region", "salt"]).join(salted(sizes.where(F.col("own") >= half)), ["region", "comp", "salt"], "left").drop("salt").withColumn("own", F.coalesce("own", F.lit(0)))
     pure = F.col("own") >= half
     k = F.when(pure, F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / half))).otherwise(F.pmod(F.xxhash64("comp"), F.greatest(F.ceil(F.col("mixed") / half), F.lit(1))))
     m = m.withColumn("part", F.concat_ws("/", F.when(pure, F.col("comp").cast("string")).otherwise(F.lit("mix")), k))
