@@ -1,0 +1,187 @@
+"""Normalisation of a model's Markdown: formulas in fences of their own, headings and captions as the reader expects.
+
+A text is read into segments (code, formula, line) once; each rule maps segments to segments, and the text is written
+from them at the end, so that no rule has to find its way through fences again.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+from itertools import groupby
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from paperloom.operators import documents as doc
+from paperloom.operators import repair as rp
+from paperloom.operators import structure as st
+
+#: Commands that show a formula, what shows a reference or markup instead, and how many empty fences in a
+#: row show that none can be trusted.
+COMMANDS = r"\\(?:frac|begin|end|text|mathbb|mathbf|mathcal|left|right|tag|operatorname|exp|sum|int|sqrt|cdot|top|hat|tilde|Delta|lambda|in|sim|partial|nabla|geq|leq)"
+NO_FORMULA = re.compile(r"</?(?:table|thead|tbody|tfoot|tr|td|th|div|img)\b|https?:|doi\.org|arXiv|\[(?:Online|在线)\]|et al\.|vol\.\s*\d|pp\.\s*\d|[一-鿿]", re.I)
+BROKEN_FENCES = 3
+MISSING = "[公式需回看原文 PDF]"
+EMPTY_FENCE = re.compile(r"(?<!\\)\$\$\s*\n\s*(?<!\\)\$\$")
+
+
+@dataclass
+class Segment:
+    kind: str  # code, math or line
+    lines: list[str]
+
+
+def equation_like(line: str) -> bool:
+    """A line that is a formula without a fence: a command or an equals sign, in no prose, reference or markup."""
+    return NO_FORMULA.search(line) is None and ("=" in line or re.search(COMMANDS, line) is not None)
+
+
+def _loose(line: str) -> bool:
+    return equation_like(line) and "$" not in line and not line.startswith("#")
+
+
+def _formula(lines: list[str]) -> Segment:
+    bare = [rp.math_body(re.sub(r"\\[()\[\]]", "", x).strip()) for x in lines]
+    return Segment("math", [x for x in bare if x])
+
+
+def read(markdown: str, trust_fences: bool = True) -> list[Segment]:
+    """Segments of a text. Fences that aren't trusted are left out, and runs of loose equations take their place."""
+    out: list[Segment] = []
+    code: Segment | None = None
+    math: Segment | None = None
+    for raw in markdown.replace("\r", "").split("\n"):
+        line = raw.strip()
+        if code is not None or line.startswith("```"):
+            if code is None:
+                code = Segment("code", [raw])
+                out.append(code)
+            else:
+                code.lines.append(raw)
+                if line.startswith("```"):
+                    code = None
+            continue
+        if line == "$$":
+            if trust_fences:
+                if math is None:
+                    math = Segment("math", [])
+                    out.append(math)
+                elif any(x.strip() for x in math.lines):  # a fence right after another one is the same one
+                    math = None
+            continue
+        if math is not None:
+            math.lines.append(raw)
+        else:
+            out.append(Segment("line", [raw]))
+    return out
+
+
+def _group(segments: list[Segment]) -> list[Segment]:
+    """Runs of loose equation lines as one formula each; blank lines inside a run go, a second tag begins a new one."""
+    out: list[Segment] = []
+    run: list[str] = []
+    blank = 0
+
+    def close():
+        nonlocal run, blank
+        if run:
+            out.append(_formula(run))
+        out.extend(Segment("line", [""]) for _ in range(blank))
+        run, blank = [], 0
+
+    for s in segments:
+        line = s.lines[0].strip() if s.kind == "line" else ""
+        if s.kind == "line" and not line:
+            blank += 1
+        elif s.kind == "line" and _loose(line):
+            if not run or "\\tag" in run[-1] and "\\tag" in line:
+                close()
+            run.append(line)
+            blank = 0
+        else:
+            close()
+            out.append(s)
+    close()
+    return out
+
+
+def _split(segment: Segment) -> list[Segment]:
+    """A line as the segments it should be: one-line formulas on their own, lost fences closed, H1 as H2."""
+    if segment.kind != "line":
+        return [segment]
+    line = segment.lines[0].strip()
+    if len(line) > 4 and line.startswith("$$") and line.endswith("$$") and "$$" not in line[2:-2]:
+        return [Segment("math", [line[2:-2].strip()])]
+    at = line.find("$$")
+    if at > 0 and equation_like(line[:at]) and line.count("$$") == 1:
+        rest = line[at + 2 :].strip()
+        return [_formula([line[:at]]), *([Segment("line", [rest])] if rest else [])]
+    if _loose(line):
+        return [_formula([line])]
+    if re.match(r"#\s+", line):
+        return [Segment("line", [f"## {line[1:].strip()}"])]
+    return [segment]
+
+
+def write(segments: list[Segment]) -> str:
+    out: list[str] = []
+    for s in segments:
+        if s.kind == "math":
+            if any(x.strip() for x in s.lines):
+                out += ["$$", *s.lines, "$$"]
+        else:
+            out += s.lines
+    return "\n".join(out)
+
+
+def normalize_output(markdown: str) -> str:
+    """A model's Markdown with display formulas between lines of $$, no empty or doubled fences, no H1 and no rules."""
+    text = re.sub(r"<!--\s*formula-not-decoded\s*-->", MISSING, markdown, flags=re.I)
+    text = re.sub(r"\\\[(.*?)\\\]", lambda m: f"\n$$\n{m[1].strip()}\n$$\n", text, flags=re.S)
+    text = re.sub(r"\\\(([^\n]*?)\\\)", lambda m: f"${m[1].strip()}$", text)
+    text = re.sub(r"([^\n])[ \t]+(#{2,4}\s+)", r"\1\n\n\2", text)
+    trusted = len(EMPTY_FENCE.findall(text)) <= BROKEN_FENCES
+    segments = read(text, trusted)
+    if not trusted:
+        segments = _group(segments)
+    segments = [x for s in segments for x in _split(s)]
+    parts = [(code, write(list(run))) for code, run in groupby(segments, key=lambda s: s.kind == "code")]
+    prose = lambda t: re.sub(r"^\s*---\s*$", "", rp.wrap_variables(rp.normalize_math(t)), flags=re.M)
+    body = "\n".join(t if code else prose(t) for code, t in parts)
+    return re.sub(r"\n{3,}", "\n\n", body).strip()
+
+
+# ---------------------------------------------------------------- labels
+NAMES = {"reference": "参考文献", "references": "参考文献", "bibliography": "参考文献", "benchmark": "基准"}
+LABEL = re.compile(rf"^(\s*)(<!--\s*{doc.BIND}[^>]+-->)?\s*(?:\*\*)?(Figure|Fig\.?|Table|图|表)\s*(\d+|[IVXLCDM]+|\$[IVXLCDM]+\$)\s*(?:[.:：-]\s*)?(?:\*\*)?\s*(.*)$", re.I)
+BOLD = re.compile(r"^(\s*)\*\*(图|表)\s*(\d+|[IVXLCDM]+)\s*：\*\*\s*(.*)$")
+
+
+def structure_labels(markdown: str, only_bound: bool = False) -> str:
+    """Captions with a bold Chinese label and Arabic number, reference headings in Chinese. only_bound: captions outside
+    of binding fences lose the bold label instead."""
+    out, inside = [], False
+    for raw in markdown.split("\n"):
+        begins = f"<!--{doc.BIND}" in raw and f"<!--{doc.BIND}END_" not in raw
+        heading, caption = re.match(r"^(\s*#{1,6})\s+(.+?)\s*$", raw), LABEL.match(raw)
+        if heading:
+            raw = f"{heading[1]} {NAMES.get(heading[2].lower(), heading[2])}"
+        elif caption and (inside or begins or not only_bound):
+            kind = "图" if caption[3].lower()[:3] in ("fig", "图") else "表"
+            raw = f"{caption[1]}{caption[2] or ''}**{kind} {st.number_value(caption[4])}：** {caption[5]}".rstrip()
+        elif bold := BOLD.match(raw):
+            raw = f"{bold[1]}{bold[2]} {st.number_value(bold[3])} {bold[4]}".rstrip()
+        out.append(raw)
+        inside = (inside or begins) and f"<!--{doc.BIND}END_" not in raw
+    return "\n".join(out)
+
+
+def normalize_documents(docs: DataFrame) -> DataFrame:
+    """(id, markdown) of docs(id, markdown), normalised and labelled; a null text is empty."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"], "markdown": [structure_labels(normalize_output(m or "")) for m in f["markdown"]]})
+
+    return docs.mapInPandas(run, "id long, markdown string")

@@ -6,6 +6,7 @@ import pytest
 
 from paperloom.functions import providers
 from paperloom.operators import documents as doc
+from paperloom.operators import output as op
 from paperloom.operators import repair as rp
 from paperloom.operators import structure as st
 from paperloom.operators import validate as va
@@ -166,3 +167,30 @@ def test_titles_and_reviews():
     got = providers.review_bindings(found, captions, lambda batch: [{"id": b["id"], "kind": "table", "confidence": 3, "caption_id": "nowhere"} for b in batch] + [{"id": "x", "kind": "table"}], clamp=True)
     assert [(d.id, d.kind, d.confidence, d.caption_id) for d in got] == [("figure-001", "table", 0.99, None)]
     assert providers.first_reviewer([lambda *_: 1 / 0, lambda *_: None, lambda *_: [1]]) == [1]
+
+
+# ---------------------------------------------------------------- model output
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("a\n\\[x = 1\\]\nb", "a\n\n$$\nx = 1\n$$\n\nb"), ("a \\(y\\) b", "a $y$ b"), ("$$x + 1$$", "$$\nx + 1\n$$"), ("文\nx = \\frac{1}{2}\n文", "文\n$$\nx = \\frac{1}{2}\n$$\n文"), ("# T\n文", "## T\n文"), ("a\n---\nb", "a\n\nb"),
+        ("$$\n$$\nx = 1\n$$", "$$\nx = 1\n$$"), ("$$\n\n$$\n文", "$$\n文\n$$"), ("$$\nx = 1", "$$\nx = 1\n$$"), ("y = 2 $$ 文", "$$\ny = 2\n$$\n文"), ("[1] A et al. k = 2", "[1] A et al. $k = 2$"), ("注：MS = 营销", "注：MS = 营销"),
+        ("```\nx = 1\n# c\n```", "```\nx = 1\n# c\n```"), ("<!-- formula-not-decoded -->", "[公式需回看原文 PDF]"), ("文 ## 节", "文\n\n## 节"), ("", ""),
+    ],
+)
+def test_model_output(text, want):
+    assert op.normalize_output(text) == want
+    assert op.normalize_output(want) == want  # nothing changes twice
+
+
+def test_fences_that_cannot_be_trusted():
+    text = "文\n" + "$$\n$$\n" * 4 + "x = 1 \\tag{1}\n\n$$\ny = 2 \\tag{2}\n$$\n尾"
+    assert op.normalize_output(text) == "文\n$$\nx = 1 \\tag{1}\n$$\n\n$$\ny = 2 \\tag{2}\n$$\n尾"
+
+
+def test_labels(spark):
+    text = "## References\nFigure IV. A cat\n**Table 2:** B\n文"
+    assert op.structure_labels(text) == "## 参考文献\n**图 4：** A cat\n**表 2：** B\n文"
+    assert op.structure_labels("**图 3：** x\n<!--PL_BIND_figure-001-->Fig. 3: y\n<!--PL_BIND_END_figure-001-->\nFigure 9: z", True) == "图 3 x\n<!--PL_BIND_figure-001-->**图 3：** y\n<!--PL_BIND_END_figure-001-->\nFigure 9: z"
+    out = {r["id"]: r["markdown"] for r in op.normalize_documents(spark.createDataFrame([(1, "# T"), (2, None)], "id long, markdown string")).collect()}
+    assert out == {1: "## T", 2: ""}
