@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions import cards, providers
 from paperloom.functions import scoring as sc
 from paperloom.functions import text as tx
 from paperloom.operators import daily as dy
@@ -202,3 +203,88 @@ class Library:
         custom = self.tables.get("custom_directions") or self.spark.createDataFrame([], "key string, label string, query string, color string")
         self.tables["custom_directions"], key = lib.create_direction(custom, label, query, color)
         return key
+
+    # ------------------------------------------------------------ small tables
+    def _put(self, name: str, key: Sequence[str], ddl: str, rows: Sequence[tuple], how=ra.upsert) -> DataFrame:
+        old = self.tables.get(name) or self.spark.createDataFrame([], ddl)
+        self.tables[name] = how(old, self.spark.createDataFrame(list(rows), ddl), list(key))
+        return self.tables[name]
+
+    def set_preference(self, direction: str, weight: float = 1.0, is_active: bool = True, snapshots: dy.Snapshots | None = None, today: str | None = None) -> DataFrame:
+        """A known direction with a weight of .5 to 2; the day's snapshots go, as they were made without it."""
+        custom = self.tables.get("custom_directions") or self.spark.createDataFrame([], "key string")
+        if direction not in DIRECTIONS and not custom.where(F.col("key") == direction).limit(1).count():
+            raise ValueError(f"unknown direction {direction!r}")
+        if snapshots and today:
+            snapshots.forget(today)
+        return self._put("direction_preferences", ["direction"], "direction string, weight double, is_active boolean", [(direction, clamp(float(weight), 0.5, 2.0), bool(is_active))])
+
+    def add_rule(self, direction: str, term: str, mode: str) -> DataFrame:
+        """A rule once per direction, lower-case term and mode."""
+        if mode not in ("exclude", "require") or not (term or "").strip():
+            raise ValueError("a rule needs a term and the mode exclude or require")
+        return self._put("rules", ["direction", "term", "mode"], "direction string, term string, mode string", [(direction, term.strip().lower(), mode)], ra.insert_missing)
+
+    def remove_rule(self, direction: str, term: str, mode: str) -> DataFrame:
+        gone = self.spark.createDataFrame([(direction, term.strip().lower(), mode)], "direction string, term string, mode string")
+        self.tables["rules"] = lib.delete_rows(self.t("rules"), gone, ["direction", "term", "mode"])
+        return self.tables["rules"]
+
+    def put_cluster(self, name: str, members: dict[str, float], color: str = "#0ea5e9") -> DataFrame:
+        """A cluster by its name, with its directions and weights replaced as a whole."""
+        if not (name or "").strip():
+            raise ValueError("a cluster needs a name")
+        self._put("interest_clusters", ["name"], "name string, color string", [(name.strip(), color)])
+        ddl = "name string, direction string, weight double"
+        old = self.tables.get("cluster_directions") or self.spark.createDataFrame([], ddl)
+        new = self.spark.createDataFrame([(name.strip(), d, clamp(float(w), 0.5, 2.0)) for d, w in members.items()], ddl)
+        self.tables["cluster_directions"] = old.where(F.col("name") != name.strip()).unionByName(new)
+        return self.clusters()
+
+    def remove_cluster(self, name: str) -> DataFrame:
+        for t in ("interest_clusters", "cluster_directions"):
+            self.tables[t] = self.t(t).where(F.col("name") != name)
+        return self.clusters()
+
+    def clusters(self) -> DataFrame:
+        """Clusters with their directions, in one row each."""
+        members = self.t("cluster_directions").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("direction", "weight"))).alias("directions"))
+        return self.t("interest_clusters").join(members, "name", "left").orderBy("name")
+
+    def put_feedback(self, paper_id: int, direction: str, label: str, created_at) -> DataFrame:
+        """Appends a judgement of a paper's relevance."""
+        if label not in ("relevant", "partial", "irrelevant"):
+            raise ValueError(f"unknown label {label!r}")
+        old = self.t("feedback")
+        new = self.spark.createDataFrame([(paper_id, direction, label, str(created_at))], "paper_id long, direction string, label string, created_at string")
+        self.tables["feedback"] = old.unionByName(new.select(*[c for c in new.columns if c in old.columns]), allowMissingColumns=True)
+        return self.tables["feedback"]
+
+    def evidence(self, paper_id: int) -> DataFrame:
+        """Cards of a paper: stored ones, else built from its cached fields."""
+        if "paper_evidence" in self.tables:
+            stored = self.t("paper_evidence").where(F.col("paper_id") == paper_id)
+            if stored.limit(1).count():
+                return stored
+        p = self.t("papers").where(F.col("id") == paper_id)
+        return p.select(F.col("id").alias("paper_id"), cards.evidence_cards(lambda n: F.col(n) if n in p.columns else F.lit(None).cast("string")).alias("cards"))
+
+    def put_evidence(self, paper_id: int, text: str) -> DataFrame:
+        """Stores the cards of a paper's whole text."""
+        new = self.spark.sql("SELECT CAST(:p AS BIGINT) AS paper_id, :t AS text", {"p": paper_id, "t": text}).select("paper_id", cards.full_text_evidence(F.col("text")).alias("cards"))
+        self.tables["paper_evidence"] = ra.upsert(self.t("paper_evidence"), new, ["paper_id"]) if "paper_evidence" in self.tables else new
+        return self.evidence(paper_id)
+
+    def classify(self, paper_id: int, call=None) -> DataFrame:
+        """A paper's classification, cached by content, applied to its links and primary direction."""
+        known = [(k, label) for k, (label, _) in self._known().items()]
+        cache = self.tables.get("paper_classifications") or self.spark.createDataFrame([], "id long, digest string, result string")
+        p = self.t("papers").where(F.col("id") == paper_id)
+        get = lambda n: F.col(n) if n in p.columns else F.lit(None).cast("string")
+        out, new = providers.classify(p, cache, "id", tx.result_hash("classification", get), known, call)
+        self.tables["paper_classifications"] = ra.upsert(cache, new, ["id"])
+        answers = out.select(F.col("id").alias("paper_id"), "result.primary_direction", "result.secondary_directions")
+        papers = self.t("papers").withColumns({c: F.lit(None).cast("string") for c in ("direction", "direction_label") if c not in self.t("papers").columns})
+        links = self.t("paper_directions").withColumns({c: v for c, v in (("direction_label", F.col("direction")), ("is_relevant", F.lit(True))) if c not in self.t("paper_directions").columns})
+        self.tables["papers"], self.tables["paper_directions"] = lib.apply_classification(papers, links, answers, self.spark.createDataFrame(known, "direction string, label string"))
+        return out.select("id", "result.*")

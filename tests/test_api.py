@@ -79,6 +79,31 @@ def test_actions(spark, library):
     assert {r["key"]: r["matched_id"] is not None for r in found} == {"a": True, "b": False}
 
 
+def test_small_tables(spark, library, tmp_path):
+    mine = Library(spark, {k: v for k, v in library.tables.items() if k != "rules"})
+    assert mine.set_preference("d1", 9).first()["weight"] == 2.0 and mine.set_preference("d1", 1, False).count() == 1
+    with pytest.raises(ValueError):
+        mine.set_preference("nowhere")
+    assert mine.add_rule("all", " Tea ", "exclude").count() == 1 and mine.add_rule("all", "tea", "exclude").count() == 1 and mine.remove_rule("all", "TEA", "exclude").count() == 0
+    with pytest.raises(ValueError):
+        mine.add_rule("all", "x", "maybe")
+    mine.put_cluster("one", {"d1": 1, "d2": 7})
+    r = mine.put_cluster("one", {"d3": 0.1}, "#fff").first()
+    assert (r["color"], [(d["direction"], d["weight"]) for d in r["directions"]]) == ("#fff", [("d3", 0.5)]) and mine.remove_cluster("one").count() == 0
+    n = mine.t("feedback").count()
+    assert mine.put_feedback(1, "d1", "partial", "2024-02-01").count() == n + 1
+    with pytest.raises(ValueError):
+        mine.put_feedback(1, "d1", "maybe", "2024-02-01")
+    assert len(mine.evidence(3).first()["cards"]) == 5
+    text = "Abstract. " + "we ask what is known of it " * 8 + "method " + "x" * 10
+    assert mine.put_evidence(3, text).first()["cards"][0]["content"].startswith("we ask") and mine.evidence(3).first()["cards"][0]["source"] == "PDF 全文文本"
+    answer = '{"primary_direction": "planning", "secondary_directions": ["d1"], "confidence": 0.9}'
+    calls = []
+    out = mine.classify(3, lambda d: calls.append(1) or d.withColumn("result", F.lit(answer))).first()
+    assert out["primary_direction"] == "planning" and mine.t("paper_directions").where("paper_id = 3 and direction = 'planning'").count() == 1
+    assert mine.t("papers").where("id = 3").first()["direction"] == "planning" and mine.t("paper_classifications").count() == 1
+
+
 def test_providers(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "id long, text string")
     v = {r["id"]: r["embedding"] for r in embed(df, F.col("text")).collect()}
