@@ -10,6 +10,7 @@ from paperloom.operators import output as op
 from paperloom.operators import repair as rp
 from paperloom.operators import structure as st
 from paperloom.operators import validate as va
+from paperloom.sources import figures as fg
 
 
 # ---------------------------------------------------------------- dollars
@@ -194,3 +195,32 @@ def test_labels(spark):
     assert op.structure_labels("**图 3：** x\n<!--PL_BIND_figure-001-->Fig. 3: y\n<!--PL_BIND_END_figure-001-->\nFigure 9: z", True) == "图 3 x\n<!--PL_BIND_figure-001-->**图 3：** y\n<!--PL_BIND_END_figure-001-->\nFigure 9: z"
     out = {r["id"]: r["markdown"] for r in op.normalize_documents(spark.createDataFrame([(1, "# T"), (2, None)], "id long, markdown string")).collect()}
     assert out == {1: "## T", 2: ""}
+
+
+# ---------------------------------------------------------------- figures
+def test_figures_are_recovered(tmp_path):
+    plot = "<table><tr><td>x [m]</td><td>y [m]</td><td>red line</td></tr></table>"
+    real = "<table><tr><td>1</td></tr></table>"
+    text = f"{plot}\n\nFigure 1: A path.\n\nTable 1: Numbers.\n\n{real}\n\n---\n\nFigure 2: B.\n\n{real}{real}\n\n---\n\nno figure {real}"
+    asked = []
+
+    def picture(page, n, layout):
+        asked.append((page, n, layout and layout.asset))
+        return f"assets/page-{page}-recovered-{n}.png" if page < 3 else None
+
+    record = '{"pictures": [{"page": 1, "bbox": [0, 1, 2, 3], "asset": "p.png"}, {"page": 2, "bbox": [1]}]}'
+    out, found = fg.recover(text, picture, fg.layout_pictures(record))
+    assert asked == [(1, 1, "p.png"), (2, 1, None)] and [(r.page, r.tables) for r in found] == [(1, 1), (2, 2)]
+    assert out.count(real) == 2 and "assets/page-1-recovered-1.png" in out and fg.layout_pictures("broken") == []
+    assert fg.recover(text, lambda *_: None) == (text, [])
+    assert fg.is_plot(plot) and not fg.is_plot(real)
+
+
+def test_parser_runs(tmp_path):
+    (tmp_path / "a.md").write_text("x" * 700)
+    parsed, manifest = fg.run_parser(b"%PDF-", tmp_path, lambda pdf, folder: 'log\n{"parser": "p", "markdown": "a.md"}', "p", lambda pdf: (1, 0))
+    assert manifest["complete"] and manifest["pages"] == 1 and len(manifest["pdf_sha256"]) == 64 and parsed.parser == "p"
+    for answer in ("", "no json", '{"parser": "q", "markdown": "a.md"}', '{"parser": "p", "markdown": "../x"}'):
+        with pytest.raises(ValueError):
+            fg.run_parser(b"", tmp_path, lambda pdf, folder, answer=answer: answer, "p", lambda pdf: (1, 0))
+    assert fg.pdf_text(["a", "b"], {"a": b"<html>", "b": b"%PDF-1"}.get, lambda b: " text ") == ("b", "text") and fg.pdf_text([], None, None) is None
