@@ -51,11 +51,11 @@ def fresh_or_all(df: DataFrame, by: Sequence[str], shown: str, n: int) -> DataFr
 
 
 def apply_rules(df: DataFrame, rules: DataFrame, text: Column, direction: str = "direction") -> DataFrame:
-    """Drops rows that contain an exclude term or lack a require term of `all` or their direction (rules are few)."""
+    """Drops rows that contain an exclude term or lack a require term of `all` or their direction. The rules of `all` are one row."""
     per = rules.groupBy("direction").agg(F.collect_set(F.when(F.col("mode") == "exclude", F.lower("term"))).alias("no"), F.collect_set(F.when(F.col("mode") == "require", F.lower("term"))).alias("yes"))
     every, own = per.where("direction = 'all'").select(F.col("no").alias("no_a"), F.col("yes").alias("yes_a")), per.select(F.col("direction").alias("_d"), F.col("no").alias("no_d"), F.col("yes").alias("yes_d"))
     none = F.array().cast("array<string>")
-    j = df.withColumn("_t", F.lower(text)).join(F.broadcast(own), F.col(direction) == F.col("_d"), "left").join(F.broadcast(every), how="left")
+    j = df.withColumn("_t", F.lower(text)).join(own, F.col(direction) == F.col("_d"), "left").join(F.broadcast(every), how="left")
     no, yes = (F.concat(F.coalesce(f"{x}_a", none), F.coalesce(f"{x}_d", none)) for x in ("no", "yes"))
     ok = ~F.exists(no, lambda t: F.contains(F.col("_t"), t)) & F.forall(yes, lambda t: F.contains(F.col("_t"), t))
     return j.where(ok).select(*df.columns)

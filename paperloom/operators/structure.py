@@ -111,10 +111,10 @@ def author_markers(markdown: str) -> list[tuple[str, list[int]]]:
 
 
 def resolve_institutions(df: DataFrame, aliases: DataFrame, name: str = "original") -> DataFrame:
-    """Adds canonical_en, name_zh and confidence (1 known, 0 unknown) by the normalised name; the alias table is small."""
+    """Adds canonical_en, name_zh and confidence (1 known, 0 unknown) by the normalised name."""
     key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     a = aliases.select(key(F.col("original")).alias("_k"), "canonical_en", "name_zh").dropDuplicates(["_k"])
-    j = df.withColumn("_k", key(F.col(name))).join(F.broadcast(a), "_k", "left")
+    j = df.withColumn("_k", key(F.col(name))).join(a, "_k", "left")
     return j.withColumn("confidence", F.when(F.col("canonical_en").isNotNull(), 1.0).otherwise(0.0)).withColumn("canonical_en", F.coalesce("canonical_en", name)).withColumn("name_zh", F.coalesce("name_zh", F.lit(""))).drop("_k")
 
 

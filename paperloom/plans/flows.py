@@ -416,7 +416,7 @@ def known_directions(spark, sf):
     custom = spark.createDataFrame([("d1",), ("d2",), ("x",)], "key string")
     every = lib.known_directions(spark, custom).withColumn("known", F.lit(True))
     d = model(spark, sf, "paper_directions").select("direction").union(spark.createDataFrame([("e2e",)], "direction string")).distinct()
-    return d.join(F.broadcast(every), "direction", "left").select("direction", F.coalesce("known", F.lit(False)).alias("known"))
+    return d.join(every, "direction", "left").select("direction", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 # ---------------------------------------------------------------- documents
