@@ -455,3 +455,81 @@ def island_counts(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey")
     gap = F.col("o_orderkey") - F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     return o.withColumn("g", gap).groupBy("o_custkey").agg(F.count("*").alias("orders"), F.count_if(F.col("g").isNull() | (F.col("g") > 100)).alias("islands"))
+
+
+# ---------------------------------------------------------------- structure of built documents
+def _python(df, ddl, run):
+    """run(row) per row of df, an Arrow batch at a time."""
+    import pandas as pd
+
+    def each(frames):
+        for f in frames:
+            yield pd.DataFrame([run(*r) for r in f.itertuples(index=False, name=None)], columns=[c.split()[0] for c in ddl.split(", ")])
+
+    return df.mapInPandas(each, ddl)
+
+
+def _clean(c):
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[^a-zA-Z]+", " "))
+
+
+_CLEAN = "trim(regexp_replace(coalesce(title, ''), '[^a-zA-Z]+', ' ', 'g'))"
+
+
+@query(f"SELECT id, sha256(concat('## 1. Introduction', chr(10), chr(10), 'x ', t, chr(10), chr(10), '### 2.1 Model', chr(10), 'y', chr(10), '## II. Results', chr(10), 'z')) AS digest FROM (SELECT id, {_CLEAN} AS t FROM papers) AS x")
+def prepared_papers(spark, sf):
+    """DOC-7: front matter and the repeated title go, heading depths follow their numbers."""
+    md = F.concat(F.lit("# The title of it\nA. Bee\n\n# 1. Introduction\n\nx "), F.col("t"), F.lit("\n---\n## The Title of It\n#### 2.1 Model\ny\n# II. Results\nz"))
+    from paperloom.operators.structure import prepare
+
+    p = _docs(spark, sf).select("id", _clean("title").alias("t")).select("id", md.alias("md"))
+    out = _python(p, "id long, text string", lambda i, m: (i, prepare(m, "The title of it")))
+    return out.select("id", F.sha2(F.regexp_replace("text", r"\n\n\n*(?=### 2\.1)", "\n\n"), 256).alias("digest"))
+
+
+@query(f"SELECT id, concat('## References', chr(10), chr(10), '1. A. Bee, ', t, '.', chr(10), '2. C. Dee, other.') AS text FROM (SELECT id, {_CLEAN} AS t FROM papers) AS x")
+def numbered_references(spark, sf):
+    """DOC-20, WIN-6: the entries of a reference section numbered anew."""
+    from paperloom.operators.structure import number_references
+
+    md = F.concat(F.lit("## References\n\n[7] A. Bee, "), _clean("title"), F.lit(".\n\n[9] C. Dee,\nother."))
+    return _python(_docs(spark, sf).select("id", md.alias("md")), "id long, text string", lambda i, m: (i, number_references(m)))
+
+
+@query("""SELECT p.id AS id, k.number AS number, k.name AS name, coalesce(a.en, k.name) AS canonical_en, CASE WHEN a.en IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence
+FROM papers AS p CROSS JOIN (VALUES (0, 1, 'Tsinghua'), (0, 2, 'Nowhere College'), (1, 1, 'MIT'), (1, 2, 'Nowhere College')) AS k(m, number, name) LEFT JOIN (VALUES ('Tsinghua', 'Tsinghua University'), ('MIT', 'Massachusetts Institute of Technology')) AS a(name, en) ON a.name = k.name WHERE p.id % 2 = k.m""")
+def institutions_of_papers(spark, sf):
+    """DOC-9, JOIN-19, SRC-18: affiliations of a front matter with their canonical names."""
+    from paperloom.operators.structure import affiliations, resolve_institutions
+
+    md = F.concat(F.lit("A. Bee^{1}, C. Dee^{2}\n\n1 "), F.when(F.col("id") % 2 == 0, "Tsinghua").otherwise("MIT"), F.lit("\n2 Nowhere College\n\n# Introduction\ntext"))
+    rows = _python(_docs(spark, sf).select("id", md.alias("md")), "id long, found array<struct<number:int,original:string>>", lambda i, m: (i, [{"number": n, "original": x} for n, x in affiliations(m, "T")]))
+    flat = rows.select("id", F.explode("found").alias("f")).select("id", "f.number", "f.original")
+    return resolve_institutions(flat, curated.aliases(spark)).select("id", "number", F.col("original").alias("name"), "canonical_en", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("SELECT doc_id AS id, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS BIGINT) AS chars FROM documents WHERE length(trim(regexp_replace(text, '\\s+', '', 'g'))) > 0")
+def chunk_coverage(spark, sf):
+    """DOC-8: the chunks of a document hold all of its characters, white space aside."""
+    from paperloom.operators.documents import chunk_documents
+
+    c = chunk_documents(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("markdown")), 3000)
+    return c.groupBy("id").agg(F.sum(F.length(F.regexp_replace("text", r"\s+", ""))).alias("chars"))
+
+
+@query("""SELECT p.id AS paper_id, k.seq AS seq, k.outcome AS outcome FROM papers AS p CROSS JOIN (VALUES (1, 'claimed', 0), (2, 'refused', 0), (3, 'done', 0), (4, 'refused', 0), (5, 'claimed', 0), (6, 'refused', 0), (7, 'done', 0)) AS k(seq, outcome, x)""")
+def lease_machines(spark, sf):
+    """STR-8: one job a paper, each with its own clock and tokens."""
+    from paperloom.streaming.events import run_lease_commands
+
+    script = "(1, 'claim', 'a', 0), (2, 'claim', 'b', 100), (3, 'heartbeat', 'a', 200), (4, 'heartbeat', 'x', 250), (5, 'claim', 'c', 9999), (6, 'finish', 'a', 10000), (7, 'finish', 'c', 10001)"
+    c = _docs(spark, sf).select(F.col("id").alias("paper_id")).join(spark.sql(f"SELECT * FROM VALUES {script} AS t(seq, command, name, s)"))
+    c = c.select("seq", "paper_id", "command", F.concat_ws("-", "name", "paper_id").alias("token"), (F.col("s") + F.col("paper_id") * 7).cast("long").alias("at"))
+    return run_lease_commands(c).select("paper_id", "seq", "outcome")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(title, '') WHEN id % 3 = 1 THEN '' ELSE 'x,y' END AS items FROM papers")
+def tolerant_json(spark, sf):
+    """SCL-13: arrays of JSON, or none."""
+    raw = F.when(F.col("id") % 3 == 0, F.to_json(F.array(F.coalesce("title", F.lit(""))))).when(F.col("id") % 3 == 1, F.concat(F.lit("["), F.coalesce("title", F.lit("")))).otherwise('["x", "y"]')
+    return _docs(spark, sf).select("id", F.array_join(tx.json_array(raw), ",").alias("items"))
