@@ -109,7 +109,7 @@ class Library:
         """Label and query of every built-in and custom direction; custom ones win."""
         out = {k: (label, label) for k, (label, _) in DIRECTIONS.items()}
         if "custom_directions" in self.tables:
-            out |= {r["key"]: (r["label"], r["query"]) for r in self.t("custom_directions").select("key", "label", "query").limit(10_000).collect()}
+            out |= {r["key"]: (r["label"], r["query"]) for r in ra.few(self.t("custom_directions").select("key", "label", "query"))}
         return out
 
     def daily_recommendations(self, as_of: str, directions: Sequence[str] = (), limit: int = 2, window: str = "all", snapshots: dy.Snapshots | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ class Library:
             liked = [(r["direction"], r["score"]) for r in self.behaviour(as_of).orderBy(F.desc("score"), F.desc("papers"), "direction").limit(64).collect()]
             given = []
             if "direction_preferences" in self.tables:
-                given = [(r["direction"], r["weight"], r["is_active"]) for r in self.t("direction_preferences").orderBy(F.desc("weight"), "direction").select("direction", "weight", "is_active").limit(10_000).collect()]
+                given = [(r["direction"], r["weight"], r["is_active"]) for r in sorted(ra.few(self.t("direction_preferences")), key=lambda r: (-r["weight"], r["direction"]))]
             keys, weights = dy.choose_directions(directions, given, liked)
             edges = self.tables["neighbours"] if "neighbours" in self.tables else neighbours(self.spark)
             near = [(r["direction"], r["neighbour"]) for r in edges.where(F.col("direction").isin(keys)).orderBy("direction", "position").collect()]

@@ -52,9 +52,7 @@ def candidates(
     only narrow rows are shuffled. A paper shown in the last days counts only if a direction has fewer than n others.
     """
     today = F.lit(as_of).cast("date")
-    listed = [(r["direction"], r["term"], r["mode"]) for r in rules.select("direction", "term", "mode").distinct().limit(MOST_RULES + 1).collect()]
-    if len(listed) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    listed = [tuple(r) for r in ra.few(rules.select("direction", "term", "mode").distinct(), MOST_RULES)]
     p = in_window(with_metadata(ra.visible(papers), today), window, today)
     text = rel.paper_text(F.col("title"), F.col("abstract"), F.col("venue"))
     judged = [x for k, (label, query) in directions.items() for x in (F.lit(k), F.struct(rel.relevance_score(F.col("title"), F.col("abstract"), F.col("venue"), k, label, query).alias("relevance"), _allowed(text, k, sorted(listed)).alias("ok")))]

@@ -61,6 +61,14 @@ def apply_rules(df: DataFrame, rules: DataFrame, text: Column, direction: str =
     return j.where(ok).select(*df.columns)
 
 
+def few(df: DataFrame, most: int = 10_000) -> list:
+    """All rows of a table that must be small; an error if it isn't."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of {df.columns}")
+    return rows
+
+
 # ---------------------------------------------------------------- keyed writes
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """New rows replace old ones of their key."""
