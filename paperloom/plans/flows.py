@@ -132,12 +132,11 @@ def evidence_of_papers(spark, sf):
     return e.select("id", card(0, "content").alias("problem"), card(0, "confidence").alias("problem_level"), card(2, "content").alias("core"), card(2, "confidence").alias("core_level"), card(3, "content").alias("result"))
 
 
-@query("""SELECT id, CASE WHEN len(m) >= 120 THEN concat(m, ' ') ELSE '全文未识别出方法章节' END AS method FROM (SELECT id, CASE WHEN length(b) >= 120 THEN substring(b, 1, 120) ELSE '' END AS m
-FROM (SELECT id, regexp_replace(substring(trim(regexp_replace(coalesce(abstract, ''), '[^a-z]+', 'x', 'g')), 1, 200), 'e', 'x', 'g') AS b FROM papers) AS x) AS y""")
+@query("""SELECT id, CASE WHEN id % 5 = 0 THEN '全文未识别出方法章节' ELSE concat(substring(concat(regexp_replace(coalesce(abstract, ''), '[^a-df-z]+', 'x', 'g'), repeat('x', 120)), 1, 120), ' ') END AS method FROM papers""")
 def full_text_evidence_of_papers(spark, sf):
-    """SCL-19: texts with a method section put around them (of letters that end no section early)."""
-    body = F.regexp_replace(F.substring(F.trim(F.regexp_replace(F.coalesce("abstract", F.lit("")), "[^a-z]+", "x")), 1, 200), "e", "x")
-    text = F.concat(F.lit("Approach: "), F.substring(body, 1, 120), F.lit("\nEvaluation"))
+    """SCL-19: texts with a method section put around them (of letters that end no section early), but for every fifth."""
+    body = F.substring(F.concat(F.regexp_replace(F.coalesce("abstract", F.lit("")), "[^a-df-z]+", "x"), F.lit("x" * 120)), 1, 120)
+    text = F.concat(F.when(F.col("id") % 5 == 0, "Nothing: ").otherwise("Approach: "), body, F.lit("\nEvaluation"))
     e = _docs(spark, sf).select("id", cards.full_text_evidence(text).alias("e"))
     return e.select("id", F.get("e", 1)["content"].alias("method"))
 
