@@ -237,10 +237,11 @@ def _finish(n_buckets: int, names: list[str], out_text: bool):
     return finish
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False) -> DataFrame:
+def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False, with_original: bool = True) -> DataFrame:
     """docs(text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text.
 
-    kept_text leaves out characters of which bytes were removed; kept_sha256 is over the bytes.
+    kept_text leaves out characters of which bytes were removed; kept_sha256 is over the bytes. with_original=False leaves
+    text itself out of the result, so that each text is written once.
     """
     with Scratch(spark) as scratch:
         blocks = blocks_of(scratch, docs)
@@ -256,4 +257,6 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
         r3 = scratch.write(r3.withColumnRenamed("replies", "windows"), "windows")
         new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
         schema = extended(docs.schema, [T.StructField(n, t) for n, t in new])
+        if not with_original:
+            schema = T.StructType([f for f in schema.fields if f.name != "text"])
         return scratch.result(attach(two, r3).mapInArrow(lean("op2")(_finish(b, schema.names, with_text)), schema))
