@@ -48,10 +48,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Repeated passages go from the texts, and documents that were nothing else go as a whole. Null and empty texts lose
     nothing and stay; n_chars follows the text where something went; repeated rows of 200 bytes or more empty each other."""
     ship_code(spark)
-    cut = suffix_dedup(spark, _aside(docs), with_text=True)
+    cut = suffix_dedup(spark, _aside(docs).withColumn("missing", F.col("text").isNull()), with_text=True, with_original=False)
     cut = cut.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
     went = F.col("n_removed") > 0
-    out = {c: F.col("aside")[c] for c in docs.columns if c != "text"} | {"text": F.when(went, F.col("kept_text")).otherwise(F.col("text"))}
+    out = {c: F.col("aside")[c] for c in docs.columns if c != "text"} | {"text": F.when(~F.col("missing"), F.col("kept_text"))}
     out = {c: out[c] for c in docs.columns}
     if "n_chars" in out:
         out["n_chars"] = F.when(went, F.char_length("kept_text")).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
