@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from paperloom.llm import langid, url_filter
 from paperloom.llm.chat import format_chats, read_back
 from paperloom.llm.common import ship_code
+from paperloom.llm.fim import fill_in_middle, restored
 from paperloom.llm.html_text import extract
 from paperloom.llm.jaccard_join import jaccard_components
 from paperloom.llm.merkle import compare_with_next
 from paperloom.llm.mixing import mix
 from paperloom.llm.pieces import encode_documents
+from paperloom.llm.ranked import ranked_search
 from paperloom.llm.suffix_dedup import suffix_dedup
+from paperloom.llm.token_count import count_tokens
 from paperloom.llm.vector_join import near_vectors
 
 
@@ -72,8 +75,24 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(spark, _read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    back = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_language_id, op2_suffix_dedup, op3_url_filter, op4_sentencepiece, op5_mixing, op6_jaccard_join, op7_chat_format, op8_vector_join, op9_html_text, op10_merkle)
+    every += (op11_ranked_search, op12_fill_in_middle, op13_token_count)
     return {f.__name__: f for f in every}
 
 
@@ -143,5 +162,44 @@ FROM h LEFT JOIN summed AS s ON s.r = h.r LEFT JOIN kept AS k ON k.r = h.r
 """
 
 
+OP11_SQL = """
+WITH found AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+  FROM documents
+), docs AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n FROM found WHERE len(ts) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS c, CAST(sum(n) AS BIGINT) AS l FROM docs),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ts) AS term FROM found) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * c + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, c
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark
+), scored AS (
+  SELECT i.item_id, d.r, d.doc_id, CAST(sum(w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + ((90 * d.n * c) // l))))) AS BIGINT) AS score
+  FROM items AS i JOIN weights USING (term) JOIN tf USING (term) JOIN docs AS d ON d.r = tf.r, totals GROUP BY i.item_id, d.r, d.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), drawn AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op8_vector_join": OP8_SQL}
+    return {"op11_ranked_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op2_suffix_dedup": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op8_vector_join": OP8_SQL}
