@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.matching import signals
+
 #: Terms of the built-in directions.
 DIRECTION_TERMS = {
     "e2e": ("autonomous driving", "self-driving", "autonomous vehicle", "driverless", "end-to-end driving", "uniad", "sparsedrive", "carla", "nuscenes", "waymo"),
@@ -56,51 +60,62 @@ CLASSIFIER = (
 )
 
 
-def border(pattern: str) -> str:
-    r"""\b between a-z, 0-9, _ and anything else; Java's own also knows letters of other scripts."""
-    return pattern.replace(r"\b", "(?:(?<![a-z0-9_])(?=[a-z0-9_])|(?<=[a-z0-9_])(?![a-z0-9_]))")
+#: Words that are an anchor in the domain beside its patterns, for the score and for the gate.
+SCORE_ANCHOR = "autonomous driving|driverless|vehicle control|驾驶|自动驾驶|无人车"
+GATE_ANCHOR = "autonomous driving|driverless|road vehicle|vehicle control|驾驶|自动驾驶|无人车"
+
+#: Every pattern of relevance by the name of its group (names begin with a colon, which no term does).
+GROUPS = ((":autonomy", AUTONOMY), (":score", (SCORE_ANCHOR,)), (":gate", (GATE_ANCHOR,)), (":robotics", ROBOTICS), (":racing", RACING), (":off", OFF_DOMAIN))
+BUILT_IN = tuple(sorted({t for ts in DIRECTION_TERMS.values() for t in ts} | {*DOMAIN_HINTS, *CUSTOM_EXTRA}))
 
 
 def paper_text(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
 
 
-def _any(text: Column, patterns) -> Column:
-    return text.rlike("|".join(f"(?:{border(p)})" for p in patterns))
-
-
 def direction_terms(key: str, label: str = "", query: str = "") -> list[str]:
     import re
 
     return list(DIRECTION_TERMS.get(key) or [t for t in re.split("[^a-z0-9一-鿿]+", f"{label} {query}".lower()) if len(t) >= 2])
 
 
-def relevance_score(title: Column, abstract: Column, venue: Column, key: str, label: str = "", query: str = "") -> Column:
-    """Coverage of the direction's terms, their place in the title and an anchor in the domain, from 0 to 1."""
-    text, head = paper_text(title, abstract, venue), F.lower(F.coalesce(title, F.lit("")))
-    terms = direction_terms(key, label, query)
-    hits = lambda where: sum((F.contains(where, F.lit(t)).cast("int") for t in terms), F.lit(0))
-    anchor = _any(text, (*AUTONOMY, "autonomous driving|driverless|vehicle control|驾驶|自动驾驶|无人车"))
-    cover = F.least(F.lit(1.0), hits(text) / max(1, min(len(terms), 4))) if terms else F.lit(0.5)
-    signal = F.least(F.lit(1.0), hits(head) / max(1, min(len(terms), 2))) if terms else F.lit(0.5)
-    score = 0.35 * cover + 0.25 * signal + F.when(anchor, 0.3).otherwise(0.05) - F.when(_any(text, OFF_DOMAIN) & ~anchor, 0.55).otherwise(0.0)
+def vocabulary(directions: Iterable[tuple[str, str, str]]) -> tuple[str, ...]:
+    """The built-in terms and those of directions (key, label, query): given to all judgements of a projection, they
+    share one pass over the text."""
+    return tuple(sorted({*BUILT_IN, *(t for d in directions for t in direction_terms(*d))}))
+
+
+def _any_of(found: Column, names: Iterable[str]) -> Column:
+    return F.arrays_overlap(found, F.array(*map(F.lit, sorted(set(names)))))
+
+
+def relevance_score(title: Column, abstract: Column, venue: Column, key: str, label: str = "", query: str = "", terms: tuple[str, ...] = ()) -> Column:
+    """Coverage of the direction's terms, their place in the title and an anchor in the domain, from 0 to 1.
+
+    terms: the vocabulary of all directions that are judged together."""
+    own = direction_terms(key, label, query)
+    every = terms or vocabulary([(key, label, query)])
+    found, head = signals(paper_text(title, abstract, venue), every, GROUPS), signals(F.lower(F.coalesce(title, F.lit(""))), every)
+    hits = lambda where: sum((F.array_contains(where, t).cast("int") for t in own), F.lit(0))
+    anchor = _any_of(found, (":autonomy", ":score"))
+    cover = F.least(F.lit(1.0), hits(found) / max(1, min(len(own), 4))) if own else F.lit(0.5)
+    signal = F.least(F.lit(1.0), hits(head) / max(1, min(len(own), 2))) if own else F.lit(0.5)
+    score = 0.35 * cover + 0.25 * signal + F.when(anchor, 0.3).otherwise(0.05) - F.when(F.array_contains(found, ":off") & ~anchor, 0.55).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-def is_likely_relevant(title: Column, abstract: Column, venue: Column, key: str, label: str = "", query: str = "") -> Column:
-    text = paper_text(title, abstract, venue)
-    anchor = _any(text, (*AUTONOMY, "autonomous driving|driverless|road vehicle|vehicle control|驾驶|自动驾驶|无人车"))
-    off = _any(text, OFF_DOMAIN) & ~anchor
-    has = lambda ts: F.exists(F.array(*map(F.lit, ts)), lambda t: F.contains(text, t))
+def is_likely_relevant(title: Column, abstract: Column, venue: Column, key: str, label: str = "", query: str = "", terms: tuple[str, ...] = ()) -> Column:
+    found = signals(paper_text(title, abstract, venue), terms or vocabulary([(key, label, query)]), GROUPS)
+    off = F.array_contains(found, ":off") & ~_any_of(found, (":autonomy", ":gate"))
     if key in DIRECTION_TERMS:
-        more = RACING if key == "racing" else AUTONOMY if key in ("e2e", "perception", "prediction") else (*ROBOTICS, *AUTONOMY)
-        return ~off & (has(DIRECTION_TERMS[key]) | _any(text, more))
+        more = (":racing",) if key == "racing" else (":autonomy",) if key in ("e2e", "perception", "prediction") else (":robotics", ":autonomy")
+        return ~off & _any_of(found, (*DIRECTION_TERMS[key], *more))
     if not any(h in f"{label} {query}".lower() for h in DOMAIN_HINTS):
         return ~off
-    return ~off & (has((*DOMAIN_HINTS, *CUSTOM_EXTRA)) | _any(text, AUTONOMY))
+    return ~off & _any_of(found, (*DOMAIN_HINTS, *CUSTOM_EXTRA, ":autonomy"))
 
 
 def heuristic_directions(title: Column, abstract: Column, venue: Column) -> Column:
     """Keys of the rules that fit, in order: the first is primary, the next two secondary."""
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit("")), F.coalesce(venue, F.lit(""))))
-    return F.filter(F.array(*[F.when(text.rlike(border(p)), F.lit(k)) for k, p in CLASSIFIER]), lambda k: k.isNotNull())
+    return signals(text, (), tuple((k, (p,)) for k, p in CLASSIFIER))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import relevance as rel
 from paperloom.functions import scoring as sc
+from paperloom.functions.matching import rejected
 from paperloom.operators import relational as ra
 from paperloom.operators.records import parse_date, with_metadata
 
@@ -34,15 +35,6 @@ def in_window(papers: DataFrame, window: str, today: Column) -> DataFrame:
     return papers if start is None else ra.since(papers.withColumn("_date", parse_date(F.col("published_date"))), start, "_date").drop("_date")
 
 
-def _allowed(text: Column, direction: str, rules: Sequence[tuple[str, str, str]]) -> Column:
-    ok = F.lit(True)
-    for d, term, mode in rules:
-        if d in ("all", direction):
-            has = F.contains(text, F.lit(term))
-            ok = ok & (~has if mode == "exclude" else has)
-    return ok
-
-
 def candidates(
     papers: DataFrame, links: DataFrame, state: DataFrame, history: DataFrame, rules: DataFrame, as_of: str, directions: Mapping[str, tuple[str, str]], weights: Mapping[str, float], window: str = "all", n: int = 2
 ) -> DataFrame:
@@ -54,21 +46,22 @@ def candidates(
     today = F.lit(as_of).cast("date")
     listed = [tuple(r) for r in ra.few(rules.select("direction", "term", "mode").distinct(), MOST_RULES)]
     p = in_window(with_metadata(ra.visible(papers), today), window, today)
-    text = rel.paper_text(F.col("title"), F.col("abstract"), F.col("venue"))
-    judged = [x for k, (label, query) in directions.items() for x in (F.lit(k), F.struct(rel.relevance_score(F.col("title"), F.col("abstract"), F.col("venue"), k, label, query).alias("relevance"), _allowed(text, k, sorted(listed)).alias("ok")))]
+    text, terms = [F.col(c) for c in ("title", "abstract", "venue")], rel.vocabulary((k, *v) for k, v in directions.items())
+    judged = [x for k, (label, query) in directions.items() for x in (F.lit(k), rel.relevance_score(*text, k, label, query, terms))]
+    broken = rejected(rel.paper_text(*text), listed, list(directions)) if listed else F.array().cast("array<string>")
     p = p.select(
         F.col("id").alias("paper_id"), "year", "is_classic", "recommendation_score", "venue_tier", sc.recency_score(F.col("year"), parse_date(F.col("published_date")), today).alias("recency"),
-        sc.citation_quality(F.col("citations"), F.col("citation_percentile")).alias("impact"), F.create_map(*judged).alias("judged"),
+        sc.citation_quality(F.col("citations"), F.col("citation_percentile")).alias("impact"), F.create_map(*judged).alias("judged"), broken.alias("broken"),
     )
     c = p.join(ra.visible(links).where(F.col("direction").isin(list(directions))).select("paper_id", "direction").distinct(), "paper_id")
-    c = c.withColumn("j", F.col("judged")[F.col("direction")]).where(F.col("j.ok") & ((F.col("j.relevance") >= LEAST_RELEVANCE) | F.col("is_classic")))
+    c = c.withColumn("relevance", F.col("judged")[F.col("direction")]).where(~F.array_contains("broken", F.col("direction")) & ((F.col("relevance") >= LEAST_RELEVANCE) | F.col("is_classic")))
     c = c.join(state.select("paper_id", "is_read", "is_saved", "is_hidden"), "paper_id", "left").where(~F.coalesce("is_hidden", F.lit(False)))
     shown = history.where((F.col("shown_on") >= F.date_sub(today, SHOWN_DAYS)) & (F.col("shown_on") < today)).select("paper_id", F.lit(True).alias("_shown")).distinct()
     c = c.join(shown, "paper_id", "left").withColumn("recently_shown", F.col("_shown").isNotNull())
     weight = F.coalesce(F.create_map(*[F.lit(x) for k in directions for x in (k, float(weights.get(k) or 1.0))])[F.col("direction")], F.lit(1.0))
     tier = F.least(F.greatest(F.col("venue_tier"), F.lit(0)), F.lit(3))
-    score = sc.daily_score(F.col("recommendation_score"), F.col("recency"), tier, F.col("impact"), F.col("j.relevance"), F.coalesce("is_read", F.lit(False)), F.col("recently_shown"), weight)
-    c = c.select("direction", "paper_id", F.round(score, 6).alias("score"), F.round("j.relevance", 6).alias("relevance"), F.coalesce("is_saved", F.lit(False)).alias("is_saved"), F.coalesce("year", F.lit(0)).alias("year"), "recently_shown")
+    score = sc.daily_score(F.col("recommendation_score"), F.col("recency"), tier, F.col("impact"), F.col("relevance"), F.coalesce("is_read", F.lit(False)), F.col("recently_shown"), weight)
+    c = c.select("direction", "paper_id", F.round(score, 6).alias("score"), F.round("relevance", 6).alias("relevance"), F.coalesce("is_saved", F.lit(False)).alias("is_saved"), F.coalesce("year", F.lit(0)).alias("year"), "recently_shown")
     return ra.fresh_or_all(c, ["direction"], "recently_shown", n)
 
 

@@ -5,7 +5,7 @@ Each takes tables and returns their new versions; nothing is changed in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import relevance as rel
@@ -15,6 +15,8 @@ from paperloom.operators.records import canonical_id
 from paperloom.sources.curated import DIRECTIONS, is_classic
 
 POSITIVE = (1 << 63) - 1
+#: The collection that saved papers are filed under, unless another is given.
+COLLECTION = "收藏"
 
 
 # ---------------------------------------------------------------- keys and directions
@@ -82,7 +84,7 @@ def apply_classification(papers: DataFrame, links: DataFrame, answers: DataFrame
 
 
 # ---------------------------------------------------------------- saving and importing
-def save_papers(papers: DataFrame, library: DataFrame, events: DataFrame, bodies: DataFrame, now: Column) -> dict[str, DataFrame]:
+def save_papers(papers: DataFrame, library: DataFrame, events: DataFrame, bodies: DataFrame, now: Column, collection: str = COLLECTION) -> dict[str, DataFrame]:
     """papers, library, events and outcome after bodies(id, doi, title, year, venue, authors, abstract, pdf_url, source)
     were saved: found by canonical id or DOI, else inserted; one library row a paper, one save event a body.
 
@@ -100,7 +102,7 @@ def save_papers(papers: DataFrame, library: DataFrame, events: DataFrame, bodies
         F.col("paper_id").alias("id"), F.col("canonical").alias("openalex_id"), F.trim("title").alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.nullif("year", F.lit(0)).alias("year"), F.coalesce("venue", F.lit("")).alias("venue"),
         F.coalesce("authors", F.lit("")).alias("authors"), truthy(F.col("doi")).alias("doi"), truthy(F.col("pdf_url")).alias("pdf_url"), normalize_title(F.col("title"), None).alias("normalized_title"), F.array("source").alias("sources"),
     )
-    items = b.select("paper_id", "source", F.col("canonical").alias("external_key"), F.lit("Atlas 收藏").alias("collection")).dropDuplicates(["paper_id"])
+    items = b.select("paper_id", "source", F.col("canonical").alias("external_key"), F.lit(collection).alias("collection")).dropDuplicates(["paper_id"])
     return {
         "papers": papers.unionByName(new, allowMissingColumns=True), "library": ra.upsert(library, items, ["paper_id"]), "events": append_events(events, b.select("paper_id", F.lit("save").alias("event")), now),
         "outcome": b.select("paper_id", F.col("canonical").alias("id"), F.col("known").isNotNull().alias("already_existed")),
@@ -108,8 +110,11 @@ def save_papers(papers: DataFrame, library: DataFrame, events: DataFrame, bodies
 
 
 def append_events(events: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Events with generated ids: nothing is read to number them, so appends don't wait for each other."""
-    stamped = new.select(F.xxhash64(F.expr("uuid()")).bitwiseAND(F.lit(POSITIVE)).alias("id"), "paper_id", "event", now.cast("timestamp").alias("created_at"))
+    """Events with ids hashed from paper, event, time and, where one call repeats an event of a paper, its number there:
+    no table is read to number them, and a rerun gives the same ids."""
+    nth = F.row_number().over(Window.partitionBy("paper_id", "event").orderBy(F.lit(0)))
+    stamped = new.select("paper_id", "event", now.cast("timestamp").alias("created_at"), nth.alias("_n"))
+    stamped = stamped.select(F.xxhash64("paper_id", "event", "created_at", "_n").bitwiseAND(F.lit(POSITIVE)).alias("id"), "paper_id", "event", "created_at")
     return events.select("id", "paper_id", "event", "created_at").unionByName(stamped)
 
 
@@ -182,7 +187,8 @@ def clean_relevance(papers: DataFrame, links: DataFrame, directions: list[tuple[
     """papers and links with is_relevant judged anew: a link by its direction's gate (key, label, query), a paper by any
     of its links; classics are always relevant. Rows stay, only flags change; links of unknown directions keep theirs."""
     text = [F.col(c) for c in ("title", "abstract", "venue")]
-    judged = F.create_map(*[x for k, label, query in directions for x in (F.lit(k), rel.is_likely_relevant(*text, k, label, query))])
+    terms = rel.vocabulary(directions)
+    judged = F.create_map(*[x for k, label, query in directions for x in (F.lit(k), rel.is_likely_relevant(*text, k, label, query, terms))])
     p = papers.select(F.col("id").alias("paper_id"), is_classic(F.col("title")).alias("_classic"), judged.alias("_ok"))
     j = links.join(p, "paper_id", "left").withColumn("is_relevant", F.coalesce(F.col("_classic"), F.lit(False)) | F.coalesce(F.col("_ok")[F.col("direction")], F.col("is_relevant"), F.lit(True)))
     any_ = j.groupBy(F.col("paper_id").alias("id")).agg(F.max(F.col("is_relevant").cast("int")).alias("_any"))
