@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from paperloom.cluster import shared_dir
 from paperloom.functions import cards
 from paperloom.functions import relevance as rel
 from paperloom.functions import scoring as sc
@@ -15,9 +16,11 @@ from paperloom.operators import records as rec
 from paperloom.operators import relational as ra
 from paperloom.operators import repair as rp
 from paperloom.operators import validate as va
+from paperloom.operators.search_index import TrigramIndex
 from paperloom.plans.registry import query
 from paperloom.plans.views import AS_OF, model
 from paperloom.sources import curated, payloads
+from paperloom.streaming import events as ev
 
 _IMPACT = "CASE WHEN citation_percentile IS NOT NULL THEN greatest(0.0, least(CASE WHEN citation_percentile > 1 THEN citation_percentile / 100 ELSE citation_percentile END, 1.0)) ELSE least(log10(coalesce(citations, 0) + 1) / 4, 1.0) END"
 _BARE = "regexp_replace(lower(title), '[^a-z0-9\\x{4e00}-\\x{9fff}]+', '', 'g')"
@@ -532,3 +535,28 @@ def tolerant_json(spark, sf):
     """SCL-13: arrays of JSON, or none."""
     raw = F.when(F.col("id") % 3 == 0, F.to_json(F.array(F.coalesce("title", F.lit(""))))).when(F.col("id") % 3 == 1, F.concat(F.lit("["), F.coalesce("title", F.lit("")))).otherwise('["x", "y"]')
     return _docs(spark, sf).select("id", F.array_join(tx.json_array(raw), ",").alias("items"))
+
+
+# ---------------------------------------------------------------- search by an index
+_WHOLE = "concat_ws(' ', title, abstract, venue)"
+_SAVED = "SELECT paper_id FROM paper_user_events GROUP BY paper_id HAVING arg_max(event, struct_pack(a := created_at, b := id)) = 'save'"
+_ASKED = "reason dans ciónos xy"
+
+
+def _indexed(spark, sf) -> TrigramIndex:
+    p = model(spark, sf, "papers").select("id", "title", "abstract", "venue", sc.citation_quality(F.col("citations"), F.col("citation_percentile")).alias("impact"))
+    return TrigramIndex.build(spark, shared_dir(spark), p, ("title", "abstract", "venue"), F.col("impact"))
+
+
+@query(f"""SELECT p.id AS id, s.paper_id IS NOT NULL AS is_saved, round(0.8 * (CAST(len(list_filter([{_quoted(_ASKED.split())}], lambda t: contains(lower({_WHOLE}), t))) AS DOUBLE) / {len(_ASKED.split())}) + 0.2 * ({_IMPACT}), 6) AS score
+FROM papers AS p LEFT JOIN ({_SAVED}) AS s ON s.paper_id = p.id WHERE round(0.8 * (CAST(len(list_filter([{_quoted(_ASKED.split())}], lambda t: contains(lower({_WHOLE}), t))) AS DOUBLE) / {len(_ASKED.split())}) + 0.2 * ({_IMPACT}), 6) > 0 ORDER BY is_saved DESC, score DESC, id LIMIT 100""")
+def indexed_search(spark, sf):
+    """SCL-6, SRT-2: saved first, score above 0, the top 100 over whole texts, by trigram postings with score bounds."""
+    saved = ev.fold_state(model(spark, sf, "paper_user_events")).where("last_event = 'save'").select(F.col("paper_id").alias("id"))
+    return _indexed(spark, sf).ranked(_ASKED, saved)
+
+
+@query("SELECT id, title FROM papers WHERE title ILIKE '%the r_as%' OR abstract ILIKE '%the r_as%' OR venue ILIKE '%the r_as%'")
+def indexed_like(spark, sf):
+    """FLT-3: a phrase with a wildcard in any of three columns, by the trigrams of its parts."""
+    return _indexed(spark, sf).like("the r_as").select("id", "title")
