@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from paperloom.functions import scoring as sc
 from paperloom.functions.matching import rejected
 from paperloom.operators import relational as ra
 from paperloom.operators.records import parse_date, with_metadata
+from paperloom.operators.stored import Files
 
 #: Least relevance of a pick that is no classic, days for which a shown paper counts as shown.
 LEAST_RELEVANCE, SHOWN_DAYS = 0.22, 3
@@ -115,36 +117,44 @@ def choose_directions(requested: Sequence[str], configured: Sequence[tuple[str,
 
 # ---------------------------------------------------------------- the day's snapshot
 class Snapshots:
-    """Picks of a day and window, written once: the first call of a day computes them, later ones read them."""
+    """Picks of a day and window, written once: the first call of a day computes them, later ones read them.
+
+    Picks are written to a folder of their own; then a file that names it is created, which one writer can do. Of callers
+    that compute at the same time all but one drop what they wrote and read the winner's."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.files = spark, Files(spark, root)
 
-    def _path(self, day: str, window: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/day={day}/window={window}")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _folder(self, day: str, window: str) -> str | None:
+        name = self.files.read(f"day={day}/window={window}/current")
+        return f"day={day}/window={window}/{name}" if name else None
 
-    def _has(self, day: str, window: str) -> bool:
-        p, fs = self._path(day, window)
-        return fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    def _read(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.files.root}/{folder}")
 
     def of(self, day: str, window: str, compute) -> DataFrame:
-        if not self._has(day, window):
-            compute().write.mode("overwrite").parquet(f"{self.root}/day={day}/window={window}")
-        return self.spark.read.parquet(f"{self.root}/day={day}/window={window}")
+        if (known := self._folder(day, window)) is None:
+            name = f"picks-{uuid.uuid4().hex}"
+            mine = f"day={day}/window={window}/{name}"
+            compute().write.parquet(f"{self.files.root}/{mine}")
+            if not self.files.create(f"day={day}/window={window}/current", name):
+                self.files.delete(mine)
+            known = self._folder(day, window)
+        return self._read(known)
 
     def forget(self, day: str, paper_id: int | None = None) -> None:
         """The day's snapshots go, or only those rows of theirs that show the paper."""
         for window in WINDOWS:
-            p, fs = self._path(day, window)
-            if not self._has(day, window):
+            folder = self._folder(day, window)
+            if folder is None:
                 continue
             if paper_id is None:
-                fs.delete(p, True)
+                self.files.delete(f"day={day}/window={window}")
                 continue
-            rows = self.spark.read.parquet(p.toString())
-            left, schema = [tuple(r) for r in rows.where(F.col("paper_id") != paper_id).collect()], rows.schema  # a day's picks are few
-            self.spark.createDataFrame(left, schema).write.mode("overwrite").parquet(p.toString())
+            name = f"picks-{uuid.uuid4().hex}"
+            self._read(folder).where(F.col("paper_id") != paper_id).write.parquet(f"{self.files.root}/day={day}/window={window}/{name}")
+            self.files.replace(f"day={day}/window={window}/current", name)
+            self.files.delete(folder)
 
 
 def show_snapshot(snapshot: DataFrame, papers: DataFrame, links: DataFrame, state: DataFrame) -> DataFrame:

@@ -20,22 +20,35 @@ COLLECTION = "收藏"
 
 
 # ---------------------------------------------------------------- keys and directions
+def free_numbers(taken: DataFrame, by: str = "_slug", number: str = "n") -> DataFrame:
+    """(by, first, shift): from the first-th free number (from 0) on, the free numbers are first + shift and so on.
+
+    The k-th free number is k + 1 + (taken numbers below it). Of the taken ones, sorted, the i-th leaves used[i] - 1 - i
+    free numbers below itself, so ranks of new rows fall between these counts: a range of ranks for each run of taken
+    numbers, and no list of numbers for each row."""
+    used = ra.number_rows(taken.select(by, number).where(F.col(number) >= 1).distinct(), by, [F.col(number)], "_i")
+    runs = used.groupBy(by, (F.col(number) - 1 - F.col("_i")).alias("first")).agg((F.max("_i") + 2).alias("shift"))
+    return runs
+
+
 def allocate_keys(new: DataFrame, taken: DataFrame, label: str = "label", key: str = "key") -> DataFrame:
     """new with a key of its own per row: the label's slug, then slug-2, slug-3 and so on, leaving out taken keys.
 
-    Rows of one slug are numbered in the order of their labels (then of `n`, if there is such a column). Labels without
-    a letter or digit get a slug from their hash.
+    Rows of one slug are numbered in the order of their labels (then of `n`, if there is such a column); a slug may have
+    any number of rows. Labels without a letter or digit get a slug from their hash.
     """
     slug = slugify(F.col(label), F.concat(F.lit("custom-"), F.hex(F.xxhash64(label))))
     order = [F.col(label), *([F.col("n")] if "n" in new.columns else [])]
-    numbered = ra.top_n(new.withColumn("_slug", slug), ["_slug"], order, 1 << 30, "_r")
+    ranked = ra.number_rows(new.withColumn("_slug", slug), "_slug", order, "_r")
     suffix = F.regexp_extract(key, r"^(.*?)(?:-(\d{1,6}))?$", 2)
     names = taken.select(F.explode(F.array(F.struct(F.col(key).alias("s"), F.lit(1).alias("n")), F.struct(F.regexp_replace(key, r"-\d{1,6}$", "").alias("s"), suffix.try_cast("int").alias("n")))).alias("t"))
-    used = names.select("t.s", "t.n").where("n is not null").groupBy(F.col("s").alias("_slug")).agg(F.array_sort(F.collect_set("n")).alias("_used"))
-    j = numbered.join(used, "_slug", "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    free = F.array_except(F.sequence(F.lit(1), F.col("_r") + F.size("_used") + 1), F.col("_used"))
-    n = F.get(free, F.col("_r"))
-    return j.withColumn(key, F.when(n == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", n.cast("string")))).drop("_slug", "_r", "_used")
+    runs = free_numbers(names.select(F.col("t.s").alias("_slug"), "t.n").where("n is not null"))
+    # a rank belongs to the last run that begins at or below it: runs and ranks meet in one order, and each rank sees the run before it
+    marks = runs.select("_slug", F.col("first").alias("_r"), "shift", F.lit(0).alias("_kind")).unionByName(ranked.select("_slug", "_r").withColumns({"shift": F.lit(None).cast("long"), "_kind": F.lit(1)}))
+    shifts = ra.last_before(marks, "_slug", [F.col("_r"), F.col("_kind")], ["shift"]).where("_kind = 1").select(F.col("_slug").alias("_s"), F.col("_r").alias("_q"), "shift")
+    j = ranked.join(shifts, (F.col("_slug") == F.col("_s")) & (F.col("_r") == F.col("_q")))
+    n = F.col("_r") + F.coalesce("shift", F.lit(1))
+    return j.withColumn(key, F.when(n == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", n.cast("string")))).drop("_slug", "_r", "_s", "_q", "shift")
 
 
 def create_direction(custom: DataFrame, label: str, query: str, color: str = "#0ea5e9") -> tuple[DataFrame, str]:

@@ -131,14 +131,6 @@ def copy_classes(df: DataFrame, text: str, id_: str = "id") -> DataFrame:
     return p.join(groups.hint("merge"), "copy_group", "left").select(id_, "copy_group", F.coalesce("first_id", id_).alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def _last_values(maps: Column) -> Column:
-    """One map of an ordered array of (o, entries): each key with its last value."""
-    flat = F.filter(F.flatten(F.transform(maps, lambda x: x["m"])), lambda e: e.isNotNull())
-    last = lambda name: F.element_at(F.filter(flat, lambda e: e["key"] == name), -1)["value"]
-    names = F.array_distinct(F.transform(flat, lambda e: e["key"]))
-    return F.map_from_arrays(names, F.transform(names, lambda name: last(name)))
-
-
 def fold_merge(records: DataFrame, key: str, order: str) -> DataFrame:
     """Records of one key folded in encounter order: the last one's fields, the longest abstract (first of equals), the
     highest citations, sources in order of first sight, right-biased maps."""
@@ -151,13 +143,24 @@ def fold_merge(records: DataFrame, key: str, order: str) -> DataFrame:
     if "sources" in records.columns:  # each source with its first place, found before the rows of a key meet
         first = records.select(key, F.col(order).alias("_o"), F.posexplode("sources").alias("_p", "_s")).groupBy(key, "_s").agg(F.min(F.struct("_o", "_p")).alias("_at"))
         seen = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]).alias("sources"))
+    out = records.groupBy(key).agg(*aggs) if aggs else records.select(key).distinct()
+    if "sources" in records.columns:
+        out = out.join(seen, key, "left").withColumn("sources", F.coalesce("sources", F.array().cast(records.schema["sources"].dataType)))
     for c in ("source_ids", "source_urls"):
         if c in records.columns:
-            aggs.append(_last_values(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(c).alias("m"))))).alias(c))
-    out = records.groupBy(key).agg(*aggs)
-    if "sources" not in records.columns:
-        return out
-    return out.join(seen, key, "left").withColumn("sources", F.coalesce("sources", F.array().cast(records.schema["sources"].dataType)))
+            out = out.join(fold_maps(records, key, order, c), key, "left").withColumn(c, F.coalesce(c, F.create_map().cast(records.schema[c].dataType)))
+    return out
+
+
+def fold_maps(records: DataFrame, key: str, order: str, column: str) -> DataFrame:
+    """(key, column): one map of each key's maps, each entry with its last value; entries in the order of first sight.
+
+    Entries are rows that are reduced by (key, entry), on the map side first, before those of a key meet: what meets are
+    the distinct entries of a key, however many records it has."""
+    entries = records.where(F.col(column).isNotNull()).select(key, F.col(order).alias("_o"), F.posexplode(F.map_entries(column)).alias("_p", "_e"))
+    last = entries.groupBy(key, F.col("_e.key").alias("_name")).agg(F.max_by(F.col("_e.value"), F.struct("_o", "_p")).alias("_v"), F.min(F.struct("_o", "_p")).alias("_at"))
+    whole = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "_name", "_v"))).alias("_all"))
+    return whole.select(key, F.map_from_arrays(F.transform("_all", lambda x: x["_name"]), F.transform("_all", lambda x: x["_v"])).alias(column))
 
 
 def merge_papers(old: DataFrame, new: DataFrame, on: str = "id") -> DataFrame:
@@ -269,3 +272,33 @@ def legacy_list(papers: DataFrame, links: DataFrame, direction: str | None, quer
     by = [F.desc_nulls_last("year"), F.desc_nulls_last("citations")] if sort == "year" else [F.desc_nulls_last("citations")]
     total = p.agg(F.count("*").alias("total"))
     return page(p, [*by, F.col("id")], size, number).join(F.broadcast(total)).withColumn("has_more", F.col("total") > size * number)
+
+
+# ---------------------------------------------------------------- order within a key, of any size
+def number_rows(df: DataFrame, by: str, order: list[Column], name: str, pieces: int = 64) -> DataFrame:
+    """df with the number from 0 of each row among those of its `by`, in a total order of rows.
+
+    A key with many rows is not sorted in one task: rows are ranged by (key, order) over all partitions, numbered within
+    their partition, and the rows of the key in earlier partitions (one count for each key and partition) are added."""
+    cols = [f"_o{i}" for i in range(len(order))]
+    placed = df.withColumns(dict(zip(cols, order))).repartitionByRange(pieces, by, *cols).withColumn("_part", F.spark_partition_id())
+    own = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_part", by).orderBy(*cols)) - 1)
+    counts = placed.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")).select(F.col(by).alias("_k"), F.col("_part").alias("_q"), "_before")
+    j = own.join(before, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_q")))
+    return j.withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before", "_k", "_q", *cols)
+
+
+def last_before(df: DataFrame, by: str, order: list[Column], values: Sequence[str], pieces: int = 64) -> DataFrame:
+    """df with each of the values replaced by the last one that is not null at or before the row, among rows of its `by`.
+
+    Rows are ranged over all partitions like in number_rows; what is carried into a partition is one row for each key."""
+    cols = [f"_o{i}" for i in range(len(order))]
+    placed = df.withColumns(dict(zip(cols, order))).repartitionByRange(pieces, by, *cols).withColumn("_part", F.spark_partition_id())
+    here = Window.partitionBy("_part", by).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumns({f"_v_{v}": F.last(v, ignorenulls=True).over(here) for v in values})
+    ends = placed.groupBy(by, "_part").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*cols))).alias(f"_e_{v}") for v in values])
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(by).alias("_k"), F.col("_part").alias("_q"), *[F.last(f"_e_{v}", ignorenulls=True).over(earlier).alias(f"_c_{v}") for v in values])
+    j = own.join(ends, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_q")))
+    return j.withColumns({v: F.coalesce(f"_v_{v}", f"_c_{v}") for v in values}).drop("_part", "_k", "_q", *cols, *[f"_{x}_{v}" for v in values for x in "vc"])
