@@ -25,6 +25,7 @@ table; extra columns are ignored by the join.
 
 from __future__ import annotations
 
+import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +40,7 @@ WORDS = 5
 PERCENT = 75
 REGION_SHINGLES = 250_000
 SALTS = 32
+SHORT_WORD = 32  # bytes
 PIECE = 2_000  # members of a hot pivot's piece
 COMMON_PIVOTS = 12
 SPACE = np.zeros(256, bool)
@@ -48,6 +50,18 @@ LOWER[65:91] += 32
 
 
 # ---------------------------------------------------------------- sets
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word. A polynomial mod 2^64 is the same for a long Thue-Morse word and its complement, whatever
+    its base and byte table (their difference is divisible by ever higher powers of two), so it serves short words only."""
+    out = Roller(data, 7).of(starts, ends)
+    long = np.flatnonzero(ends - starts > SHORT_WORD)
+    if len(long):
+        raw = data.tobytes()
+        digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist()))
+        out[long] = np.frombuffer(digests, "<u8")
+    return out
+
+
 def shingle_sets(t: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, in one array, and how many each text has."""
     data = LOWER[t.bytes]
@@ -59,7 +73,7 @@ def shingle_sets(t: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~space & (before | edge[:-1]))
     after = np.concatenate((space[1:], [True])) if len(data) else space
     ends = np.flatnonzero(~space & (after | np.concatenate((edge[1:-1], [True])) if len(data) else space)) + 1
-    word = Roller(data, 7).of(starts, ends)
+    word = word_hashes(data, starts, ends)
     doc = np.searchsorted(t.starts + t.lens, starts, side="right")
     n_words = np.bincount(doc, minlength=n_docs)
     first = np.cumsum(n_words) - n_words

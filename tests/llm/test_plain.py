@@ -11,6 +11,7 @@ import time
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -43,6 +44,19 @@ def test_rows_of_one_id_link_each_for_itself(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(2, a + " x"), (5, b), (None, rows[5][1]), (9, "")], key=str)
 
 
+def test_thue_morse_words_are_told_apart(spark):
+    morse = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    rows = []
+    for k, n in enumerate((32, 64, 1024, 4096)):
+        word = morse(n)
+        other = word.translate(str.maketrans("ab", "ba"))
+        rows += [(10 * k + 1, word), (10 * k + 2, other), (10 * k + 3, " ".join([word, *"cdefgh"])), (10 * k + 4, " ".join([other, *"ijklmn"]))]
+    out = jaccard_join.jaccard_components(spark, spark.createDataFrame([*rows, (99, "x y")], "doc_id long, text string"))
+    assert all(r["component_id"] == r["doc_id"] for r in out.collect())
+    t = jaccard_join.Texts(pa.table({"text": [text for _, text in rows]}))
+    assert len(set(jaccard_join.shingle_sets(t)[0].tolist())) == sum(max(1, len(text.split()) - 4) for _, text in rows)
+
+
 def test_vectors_of_one_id_link_each_for_itself(spark):
     rows = [(5, [1.0, 0.0, 0.1]), (5, [0.0, 1.0, 0.0]), (2, [1.0, 0.0, 0.1]), (7, [0.0, 1.0, 0.05]), (None, [0.0, 2.0, 0.0]), (None, [0.0, 0.0, 1.0]), (None, None)]
     out = vector_join.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("NODE", F.lit(0)))
