@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -126,12 +127,19 @@ def translate_title(title: str, provider: Callable[[str], str]) -> str | None:
 REVIEWED, KINDS, CONFIDENCE = 24, ("figure", "table", "table_image", "unknown"), (0.65, 0.99)
 
 
+class Decision(NamedTuple):
+    """What a reviewer says of an object: its kind, how sure that is, and the caption that belongs to it, if any."""
+
+    id: str
+    kind: str
+    confidence: float
+    caption_id: str | None = None
+
+
 def review_bindings(ambiguous, captions, provider: Callable[[list[dict]], list[dict]], clamp: bool = False) -> list:
     """Decisions on ambiguous objects, asked for in batches; ids, kinds and captions that weren't offered are dropped.
 
     clamp: a visual reviewer's confidence is kept between .65 and .99."""
-    from paperloom.operators.validate import Decision
-
     ids, known, out = {o.id for o in ambiguous}, {c.id for c in captions}, []
     offered = [{"id": o.id, "kind": o.kind, "captions": [{"id": c.id, "text": c.text} for c in captions]} for o in ambiguous]
     for k in range(0, len(offered), REVIEWED):

@@ -225,3 +225,9 @@ def passes_terms(title: Column, body: Column, query: Column, stop_words: tuple[s
 def tokens_once(text: Column, tokens: Column) -> Column:
     """Whether each token is in the text exactly once."""
     return F.forall(tokens, lambda t: F.length(text) - F.length(F.replace(text, t, F.lit(""))) == F.length(t))
+
+
+def dollar_counts(text: Column) -> Column:
+    """How many unescaped dollars and pairs of dollars a text has."""
+    n = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0))
+    return F.struct(n(r"(?<!\\)\$").alias("dollars"), n(r"(?<!\\)\$\$").alias("displays"))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions import relevance as rel
 from paperloom.functions import scoring as sc
 from paperloom.functions import text as tx
 from paperloom.operators import documents as doc
@@ -143,14 +142,6 @@ def saved_default_scalar(spark, sf):
     return model(spark, sf, "papers").select("id").join(e, "id", "left").select("id", F.coalesce("s", F.lit(0)).alias("saved"))
 
 
-@query("""SELECT a.id AS id, b.id AS other FROM papers AS a JOIN papers AS b ON a.abstract = b.abstract AND a.id <> b.id WHERE a.id < 400""")
-def alternative_copies(spark, sf):
-    """JOIN-16: self equi join without the row itself, on a digest so that whole texts are not shuffled."""
-    p = model(spark, sf, "papers").select("id", F.sha2("abstract", 256).alias("h")).where("h is not null")
-    q = p.select(F.col("id").alias("other"), "h")
-    return p.where("id < 400").join(q, "h").where("id <> other").select("id", "other")
-
-
 @query("""SELECT id, sha256(abstract) AS copy_group, CASE WHEN abstract IS NULL THEN id ELSE min(id) OVER (PARTITION BY abstract) END AS first_id,
 CAST(CASE WHEN abstract IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY abstract) END AS BIGINT) AS copies FROM papers""")
 def copy_classes(spark, sf):
@@ -158,14 +149,6 @@ def copy_classes(spark, sf):
     return ra.copy_classes(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract")), "abstract")
 
 
-@query("SELECT k AS direction, min(pos * 100 + npos) AS at FROM (SELECT * FROM (VALUES ('d2', 'd1', 0, 0), ('d2', 'd4', 0, 1), ('d4', 'd2', 1, 0), ('d4', 'd7', 1, 1), ('d4', 'd1', 1, 2)) AS t(d, k, pos, npos)) AS x WHERE k NOT IN ('d2', 'd4', 'd9') GROUP BY k")
-def neighbour_expansion(spark, sf):
-    chosen = spark.sql("SELECT * FROM VALUES ('d2', 0), ('d4', 1) AS t(direction, position)")
-    edges = spark.sql("SELECT * FROM VALUES ('d2','d1',0), ('d2','d4',1), ('d4','d2',0), ('d4','d7',1), ('d4','d1',2), ('d4','d9',3) AS t(direction, neighbour, position)")
-    out = ra.expand_neighbours(chosen, edges, spark.sql("SELECT 'd9' AS direction"))
-    return out.select("direction", (F.col("at.position") * 100 + F.col("at.edge_position")).alias("at"))
-
-
 @query(f"""SELECT a.id AS new_id, min_by(b.id, (CASE WHEN a.id % 4 = 0 AND b.id = a.id THEN 0 ELSE 1 END) * 1000000000 + b.id) AS id FROM (SELECT id, {_NORM} AS k, year FROM papers WHERE id % 2 = 0) AS a
 JOIN (SELECT id, {_NORM} AS k, year FROM papers) AS b ON (a.id % 4 = 0 AND b.id = a.id) OR (a.k <> '' AND a.k = b.k AND a.year = b.year) GROUP BY a.id""")
 def entity_match_priority(spark, sf):
@@ -179,17 +162,6 @@ def entity_match_priority(spark, sf):
     return ra.match_by_priority(new, p.withColumn("doi_id", F.col("id")), keys)
 
 
-@query(f"""SELECT a.id AS id, CAST(count(*) AS BIGINT) AS matches FROM (SELECT id, {_NORM} AS k, nullif(year, 2015) AS year FROM papers WHERE id < 300) AS a
-JOIN (SELECT id, {_NORM} AS k, nullif(year, 2015) AS year FROM papers) AS b ON (a.k = b.k AND a.year IS NOT DISTINCT FROM b.year) OR a.id = b.id GROUP BY a.id""")
-def entity_match_or(spark, sf):
-    """JOIN-7: an OR of conditions as the union of equi joins (year null-safe)."""
-    p = model(spark, sf, "papers").select("id", tx.normalize_title(F.col("title")).alias("k"), F.nullif("year", F.lit(2015)).alias("year"))
-    a, b = p.where("id < 300"), p.select(F.col("id").alias("other"), F.col("k").alias("k2"), F.col("year").alias("year2"))
-    by_title = a.join(b, (a["k"] == b["k2"]) & a["year"].eqNullSafe(b["year2"])).select("id", "other")
-    by_id = a.join(b, a["id"] == b["other"]).select("id", "other")
-    return by_title.union(by_id).distinct().groupBy("id").agg(F.count("*").alias("matches"))
-
-
 @query(f"""SELECT id AS new_id, CASE WHEN id % 4 = 0 THEN id ELSE first END AS id FROM (SELECT id, k, min(id) OVER (PARTITION BY k, year) AS first FROM (SELECT id, {_NORM} AS k, year FROM papers) AS x) AS y
 WHERE id % 4 = 0 OR k <> ''""")
 def entity_match_priority_all(spark, sf):
@@ -255,17 +227,6 @@ def metadata_scores(spark, sf):
     return p.select("id", _six(sc.citation_quality(c("citations"), c("citation_percentile"))).alias("impact"), sc.is_frontier(c("year"), c("published_date"), _today()).alias("frontier"), _six(sc.recency_score(c("year"), c("published_date"), _today())).alias("recency"))
 
 
-_VENUES = "('NeurIPS 2023', ''), ('IEEE ICRA', ''), ('arXiv', ''), ('Journal of Tests', ''), ('IV', 'symposium'), ('ITSC workshop', ''), ('RA-L letters', ''), ('', ''), ('Nature', ''), ('private talks', 'acc')"
-
-
-@query(f"""SELECT v AS venue, c AS channel, CASE WHEN regexp_matches(x, 'arxiv|preprint') THEN 'preprint' WHEN regexp_matches(x, 'conference|cvpr|iccv|eccv|neurips|nips|icml|iclr|corl|icra|iros|aaai|ijcai|itsc|(^|[^a-z0-9])(rss|cdc|acc|iv|uai|kdd)([^a-z0-9]|$)') THEN 'conference'
-WHEN regexp_matches(x, 'journal|transactions|letters|tmlr|jmlr') THEN 'journal' ELSE 'unknown' END AS kind,
-CASE WHEN regexp_matches(x, 'neurips|nips|icml|iclr|cvpr|iccv|eccv|corl|icra|iros|aamas|aaai|ijcai|t-ro|transactions on robotics|t-its|transactions on intelligent vehicles|(^|[^a-z0-9])(rss|cdc|acc|uai|kdd)([^a-z0-9]|$)') THEN 3
-WHEN regexp_matches(x, 'intelligent vehicles|itsc|its world congress|ra-l|robotics and automation letters|t-ase|t-cyb|t-rob|pattern recognition|ijcv|jmlr|tmlr|(^|[^a-z0-9])(iv|ral)([^a-z0-9]|$)') THEN 2
-WHEN regexp_matches(x, 'arxiv|technical report|workshop|symposium|conference|journal') THEN 1 ELSE 0 END AS tier FROM (SELECT v, c, trim(lower(concat(v, ' ', c))) AS x FROM (VALUES {_VENUES}) AS t(v, c)) AS y""")
-def venue_classify(spark, sf):
-    t = spark.sql(f"SELECT * FROM VALUES {_VENUES} AS t(venue, channel)")
-    return t.select("venue", "channel", sc.venue_type(F.col("venue"), F.col("channel")).alias("kind"), sc.venue_tier(F.col("venue"), F.col("channel")).alias("tier"))
 
 
 @query("""SELECT id, CASE WHEN id % 50 = 0 THEN '经典必读' WHEN id % 4 >= 3 AND id % 3 <> 0 THEN '顶会/顶刊' WHEN id % 4 >= 2 AND id % 3 <> 0 THEN '高质量发表' WHEN id % 3 = 0 AND (id % 7 = 0 OR id % 4 >= 1) THEN '高质量预印本' ELSE '方向相关' END AS label FROM papers""")
@@ -350,29 +311,6 @@ def freshness_fallback(spark, sf):
     return ra.fresh_or_all(c, ["direction"], "shown", 60).select("direction", "id")
 
 
-# ---------------------------------------------------------------- relevance
-_PAPERS = "(1, 'Motion planning for autonomous driving', 'A planner in nuscenes', ''), (2, 'Protein folding', 'drug discovery with networks', ''), (3, 'World model for robotics', 'video prediction', 'CoRL'), (4, '自动驾驶bev感知', 'lidar', ''), (5, 'Cooking', 'soup', '')"
-
-
-@query("SELECT id, CAST(score AS DOUBLE) AS score FROM (VALUES (1, 0.725), (2, 0.0), (3, 0.05), (4, 0.3), (5, 0.05)) AS t(id, score)")
-def relevance_score(spark, sf):
-    """SCL-33; the expected scores are worked out by hand from the formula."""
-    t = spark.sql(f"SELECT * FROM VALUES {_PAPERS} AS t(id, title, abstract, venue)")
-    return t.select("id", _six(rel.relevance_score(F.col("title"), F.col("abstract"), F.col("venue"), "planning")).alias("score"))
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true), (5, false)) AS t(id, ok)")
-def relevance_gate(spark, sf):
-    t = spark.sql(f"SELECT * FROM VALUES {_PAPERS} AS t(id, title, abstract, venue)")
-    return t.select("id", rel.is_likely_relevant(F.col("title"), F.col("abstract"), F.col("venue"), "planning").alias("ok"))
-
-
-@query("SELECT * FROM (VALUES (1, 'planning'), (2, NULL), (3, 'world_model'), (4, 'perception'), (5, NULL)) AS t(id, primary_direction)")
-def heuristic_classify(spark, sf):
-    t = spark.sql(f"SELECT * FROM VALUES {_PAPERS} AS t(id, title, abstract, venue)")
-    return t.select("id", F.get(rel.heuristic_directions(F.col("title"), F.col("abstract"), F.col("venue")), 0).alias("primary_direction"))
-
-
 # ---------------------------------------------------------------- records
 @query(f"SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT concat({_NORM}, ':', CAST(year AS VARCHAR))) AS BIGINT) AS entities FROM papers")
 def normalized_title_dedupe(spark, sf):
@@ -413,14 +351,6 @@ def cache_miss(spark, sf):
     return p.join(cache, ["id", "hash"], "left_anti").agg(F.count("*").alias("missing"))
 
 
-@query("SELECT id, array_to_string(string_split(regexp_replace(trim(substring(abstract, 1, 200)), '\\s+', ' ', 'g'), ' '), ' ') AS text FROM papers")
-def inverted_index_roundtrip(spark, sf):
-    """SCL-3: words to an inverted index and back."""
-    words = F.split(F.regexp_replace(F.trim(F.substring("abstract", 1, 200)), r"\s+", " "), " ")
-    p = model(spark, sf, "papers").select("id", words.alias("w"))
-    return p.select("id", tx.abstract_from_inverted_index(tx.inverted_index(F.col("w")), None).alias("text"))
-
-
 @query("SELECT id, array_to_string(string_split(regexp_replace(trim(abstract), '\\s+', ' ', 'g'), ' '), ' ') AS text FROM papers")
 def inverted_index_whole(spark, sf):
     """SCL-3 over whole abstracts, straight from the documents: the model's join with labels would shuffle them."""
@@ -508,19 +438,3 @@ def daily_event_counts(spark, sf):
     """STR-2 in batch: tumbling days."""
     e = _t(spark, sf, "events")
     return e.groupBy(F.col("user_id"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT * FROM (VALUES (1, 'claimed'), (2, 'refused'), (3, 'done'), (4, 'refused'), (5, 'claimed'), (6, 'refused')) AS t(seq, outcome)")
-def lease_machine(spark, sf):
-    """STR-8 on a fixed script of commands for one job."""
-    c = spark.sql("""SELECT * FROM VALUES (1, 1L, 'claim', 'a', 0L), (2, 1L, 'claim', 'b', 100L), (3, 1L, 'heartbeat', 'a', 200L), (4, 1L, 'heartbeat', 'x', 250L), (5, 1L, 'claim', 'c', 9999L), (6, 1L, 'finish', 'a', 10000L)
-    AS t(seq, paper_id, command, token, at)""")
-    return ev.run_lease_commands(c).select("seq", "outcome")
-
-
-@query("SELECT 'Deep Driving' AS title, 'k1' AS key, 2021 AS year, '2101.00001v2' AS arxiv_id UNION ALL SELECT 'Planning {X}', 'k2', 2019, NULL")
-def bibtex_import(spark, sf):
-    from paperloom.sources.bibtex import read_bibtex
-
-    t = spark.createDataFrame([("@article{k1,\n title = {Deep Driving},\n year = 2021,\n url = {https://arxiv.org/abs/2101.00001v2}\n}\n@inproceedings{ k2 ,\n title = \"Planning {X}\",\n date = {2019-05-01}\n}\n@misc{k3,\n note = {no title}\n}\n",)], "bibtex string")
-    return read_bibtex(t).select("title", "key", "year", "arxiv_id")

@@ -14,8 +14,6 @@ from paperloom.operators import daily as dy
 from paperloom.operators import library as lib
 from paperloom.operators import records as rec
 from paperloom.operators import relational as ra
-from paperloom.operators import repair as rp
-from paperloom.operators import validate as va
 from paperloom.operators.search_index import TrigramIndex
 from paperloom.plans.registry import query
 from paperloom.plans.views import AS_OF, model
@@ -428,27 +426,7 @@ def markup_balance(spark, sf):
     """DOC-4's counts as columns."""
     n = lambda p: F.regexp_count("html", F.lit(p))
     p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.replace("html", F.lit("\\"), F.lit("")).alias("html"))
-    return p.select("page_id", (n(r"(?i)<table\b") - n("(?i)</table>")).alias("tables"), (n(r"(?i)<td\b") - n("(?i)</td>")).alias("cells"), rp.dollar_counts(F.col("html")).alias("d")).select("page_id", "tables", "cells", "d.dollars", "d.displays")
-
-
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS repairs, sha256(CASE WHEN id % 2 = 0 THEN concat('It costs \\$', id, ' million in all. ', t) ELSE concat('Let $x_', id, '$ be. ', t) END) AS digest FROM (SELECT id, regexp_replace(coalesce(title, ''), '[^a-zA-Z ]', 'z', 'g') AS t FROM papers) AS x")
-def source_repair(spark, sf):
-    """DOC-2, DOC-3: a line with an amount or a formula a paper; amounts are escaped."""
-    t = F.regexp_replace(F.coalesce("title", F.lit("")), "[^a-zA-Z ]", "z")
-    line = F.when(F.col("id") % 2 == 0, F.concat(F.lit("It costs $"), F.col("id"), F.lit(" million in all. "), t)).otherwise(F.concat(F.lit("Let $x_"), F.col("id"), F.lit("$ be. "), t))
-    out = rp.repair_documents(_docs(spark, sf).select("id", line.alias("markdown")))
-    return out.select("id", F.size("repairs").alias("repairs"), F.sha2("markdown", 256).alias("digest"))
-
-
-@query("SELECT id, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'headings:1:0' WHEN 2 THEN 'formulas' ELSE 'images' END AS issues FROM papers")
-def validate_markdown(spark, sf):
-    """DOC-26 over a document a paper and a translation that lost something, or nothing."""
-    t, i = F.sha2(F.coalesce("abstract", F.lit("")), 256), F.col("id") % 4
-    part = lambda k, text: F.when(i == k, F.lit("")).otherwise(F.lit(text))
-    source = F.concat(F.lit("## Method\n\nWe set $x + 1$ here. "), t, F.lit("\n\n![a](assets/a.png)\n"))
-    translated = F.concat(F.lit("# T\n\n"), part(1, "## 方法\n\n"), F.lit("我们 "), part(2, "$x + 1$"), F.lit(" "), t, F.lit("\n\n"), part(3, "![图](assets/a.png)"), F.lit("\n"))
-    docs = _docs(spark, sf).select("id", source.alias("source"), translated.alias("translated"), F.lit("T").alias("title"))
-    return va.validate_documents(docs).select("id", F.array_join("issues", ",").alias("issues"))
+    return p.select("page_id", (n(r"(?i)<table\b") - n("(?i)</table>")).alias("tables"), (n(r"(?i)<td\b") - n("(?i)</td>")).alias("cells"), tx.dollar_counts(F.col("html")).alias("d")).select("page_id", "tables", "cells", "d.dollars", "d.displays")
 
 
 @query("SELECT o_custkey AS o_custkey, CAST(count(*) AS BIGINT) AS orders, CAST(sum(CASE WHEN g > 100 OR g IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS islands FROM (SELECT o_custkey, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g FROM orders) AS x GROUP BY o_custkey")
@@ -519,17 +497,6 @@ def chunk_coverage(spark, sf):
     return c.groupBy("id").agg(F.sum(F.length(F.regexp_replace("text", r"\s+", ""))).alias("chars"))
 
 
-@query("""SELECT p.id AS paper_id, k.seq AS seq, k.outcome AS outcome FROM papers AS p CROSS JOIN (VALUES (1, 'claimed', 0), (2, 'refused', 0), (3, 'done', 0), (4, 'refused', 0), (5, 'claimed', 0), (6, 'refused', 0), (7, 'done', 0)) AS k(seq, outcome, x)""")
-def lease_machines(spark, sf):
-    """STR-8: one job a paper, each with its own clock and tokens."""
-    from paperloom.streaming.events import run_lease_commands
-
-    script = "(1, 'claim', 'a', 0), (2, 'claim', 'b', 100), (3, 'heartbeat', 'a', 200), (4, 'heartbeat', 'x', 250), (5, 'claim', 'c', 9999), (6, 'finish', 'a', 10000), (7, 'finish', 'c', 10001)"
-    c = _docs(spark, sf).select(F.col("id").alias("paper_id")).join(spark.sql(f"SELECT * FROM VALUES {script} AS t(seq, command, name, s)"))
-    c = c.select("seq", "paper_id", "command", F.concat_ws("-", "name", "paper_id").alias("token"), (F.col("s") + F.col("paper_id") * 7).cast("long").alias("at"))
-    return run_lease_commands(c).select("paper_id", "seq", "outcome")
-
-
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(title, '') WHEN id % 3 = 1 THEN '' ELSE 'x,y' END AS items FROM papers")
 def tolerant_json(spark, sf):
     """SCL-13: arrays of JSON, or none."""

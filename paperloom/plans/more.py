@@ -44,56 +44,12 @@ def author_display(spark, sf):
     return model(spark, sf, "papers").select("id", tx.authors_display(F.regexp_replace(F.substring("title", 1, 25), r"[\s,]+", ", ")).alias("shown"))
 
 
-@query("SELECT id, substring(concat_ws(chr(10), nullif(title, ''), nullif(substring(abstract, 1, 100), ''), nullif(venue, '')), 1, 150) AS text FROM papers")
-def embedding_input(spark, sf):
-    none = F.lit(None).cast("string")
-    return model(spark, sf, "papers").select("id", tx.embedding_text(F.col("title"), F.substring("abstract", 1, 100), none, F.col("venue"), 150).alias("text"))
-
-
 @query("SELECT id, substring(concat_ws(chr(10), nullif(title, ''), nullif(abstract, ''), nullif(venue, '')), 1, 6000) AS text FROM papers")
 def embedding_input_whole(spark, sf):
     """Whole abstracts, up to the operator's own limit."""
     return _texts(spark, sf).select("id", tx.embedding_text(F.col("title"), F.col("abstract"), F.lit(None).cast("string"), F.col("venue")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, '10.1/2'), (2, 'plain'), (3, '%zz'), (4, 'a b')) AS t(k, id)")
-def id_decode(spark, sf):
-    t = _values(spark, "(1, '10.1%25252F2'), (2, 'plain'), (3, '%zz'), (4, 'a%20b')", "k, raw")
-    return t.select("k", tx.decode_id(F.col("raw")).alias("id"))
-
-
-@query("SELECT * FROM (VALUES (1, 4), (2, 19), (3, 1990), (4, 12), (5, -1), (6, -1), (7, 9)) AS t(k, value)")
-def roman_numerals(spark, sf):
-    """SCL-41; -1 for what is no numeral."""
-    t = _values(spark, "(1, 'IV'), (2, 'XIX'), (3, 'MCMXC'), (4, '12'), (5, 'abc'), (6, ''), (7, ' ix')", "k, numeral")
-    return t.select("k", F.coalesce(tx.roman(F.col("numeral")), F.lit(-1)).alias("value"))
-
-
-@query("SELECT * FROM (VALUES (1, 'a < b & c'), (2, 'x \"y\" ''z'''), (3, '')) AS t(k, text)")
-def xml_decode(spark, sf):
-    t = _values(spark, "(1, 'a  &amp;lt; b\n&amp; c'), (2, 'x &quot;y&quot; &#39;z&apos;'), (3, '  ')", "k, raw")
-    return t.select("k", tx.decode_xml(F.col("raw")).alias("text"))
-
-
-@query("SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, '{\"a\": 2}'), (3, NULL)) AS t(k, json)")
-def json_repair(spark, sf):
-    t = _values(spark, "(1, '```json\n{\"a\": 1}\n```'), (2, 'Here it is: {\"a\": 2} as asked'), (3, 'none')", "k, raw")
-    return t.select("k", tx.unfence_json(F.col("raw")).alias("json"))
-
-
-@query("SELECT 'https://y.org/b.pdf https://arxiv.org/pdf/2101.00001.pdf https://x.org/a https://doi.org/10.1/a' AS urls")
-def url_candidate_list(spark, sf):
-    t = spark.sql("SELECT 'https://x.org/a' AS pdf, '10.1/A' AS doi, array('https://y.org/b.pdf', 'https://x.org/a') AS other, '2101.00001' AS arxiv")
-    return t.select(F.array_join(tx.url_candidates(F.col("pdf"), F.col("doi"), F.col("other"), F.col("arxiv")), " ").alias("urls"))
-
-
-@query("SELECT * FROM (VALUES (1, true, 'bo lee', 'cy kim'), (2, false, '', ''), (3, true, '', 'x')) AS t(k, conflicting, pdf_only, db_only)")
-def author_conflicts(spark, sf):
-    t = spark.sql("SELECT * FROM VALUES (1, array('Ann Poe', 'and Bo  Lee'), array('ann poe', 'Cy Kim')), (2, array('A. B'), array('and A B')), (3, array(), array('X')) AS t(k, pdf, db)")
-    d = tx.author_difference(F.col("pdf"), F.col("db"))
-    return t.select("k", d["conflicting"].alias("conflicting"), F.array_join(d["pdf_only"], ",").alias("pdf_only"), F.array_join(d["db_only"], ",").alias("db_only"))
-
-
 @query("SELECT id, id * 2 AS x, greatest((742 - id) * 2, 0) AS y, CAST(60 AS BIGINT) AS width, CAST(60 AS BIGINT) AS height FROM papers")
 def bbox_crops(spark, sf):
     i = F.col("id").cast("double")
@@ -112,14 +68,6 @@ def stored_scores(spark, sf):
     return p.select("id", F.round(score, 6).alias("score"), sc.discovery_reason(classic, c("f"), tier).alias("reason"))
 
 
-@query("SELECT k, status, CAST(trust AS DOUBLE) AS trust FROM (VALUES (1, 'published', 0.85), (2, 'preprint', 0.6), (3, 'workshop', 0.95), (4, 'unknown', 0.0), (5, 'unknown', 0.25), (6, 'published', 1.0)) AS t(k, status, trust)")
-def venue_trust(spark, sf):
-    t = spark.sql("""SELECT * FROM VALUES (1, 'NeurIPS', array('OpenAlex')), (2, 'arXiv', array('arXiv')), (3, 'CVPR workshop', array('OpenAlex', 'Crossref')), (4, '', array('OpenAlex')), (5, 'Nature', array('OpenAlex')),
-    (6, 'IEEE Transactions', array('Curated classics')) AS t(k, venue, sources)""")
-    v, none = F.col("venue"), F.lit("")
-    return t.select("k", sc.publication_status(v, none).alias("status"), sc.venue_confidence(v, F.col("sources"), sc.venue_type(v, none)).cast("double").alias("trust"))
-
-
 @query(f"""WITH s AS (SELECT d.direction AS direction, sum(e.w) AS pref FROM (SELECT paper_id, sum({_WEIGHT}) AS w FROM paper_user_events GROUP BY paper_id) AS e JOIN paper_directions AS d ON d.paper_id = e.paper_id GROUP BY d.direction)
 SELECT s.direction AS direction, round(CAST(coalesce(nullif(c.w, 0.0), CASE WHEN pref > 0 THEN least(2.0, 1 + pref / 10) END, 1.0) AS DOUBLE), 6) AS weight FROM s LEFT JOIN (VALUES ('d0', 1.5), ('d1', 0.0), ('d5', 0.5)) AS c(direction, w) ON c.direction = s.direction""")
 def direction_weights(spark, sf):
@@ -193,13 +141,6 @@ def term_threshold(spark, sf):
 
 
 # ---------------------------------------------------------------- sets and sequences
-@query("""SELECT id, array_to_string(list_filter(a, lambda x, i: len(list_filter(a[1:i], lambda y: y = x)) > len(list_filter(b, lambda y: y = x))), ' ') AS remaining FROM (SELECT id, string_split(substring(abstract, 1, 200), ' ') AS a, string_split(title, ' ') AS b FROM papers) AS x""")
-def formula_difference(spark, sf):
-    """SET-6 over words: those of the abstract's beginning that the title doesn't use up."""
-    p = model(spark, sf, "papers").select("id", F.split(F.substring("abstract", 1, 200), " ").alias("a"), F.split("title", " ").alias("b"))
-    return p.select("id", F.array_join(tx.multiset_except(F.col("a"), F.col("b")), " ").alias("remaining"))
-
-
 @query()
 def formula_difference_whole(spark, sf):
     """SET-6 over the words of whole abstracts; without SQL, as list filters take the square of the words."""
@@ -233,13 +174,6 @@ def two_orderings(spark, sf):
     return out.select("id", (F.col("at.list") * 1000 + F.col("at.place")).cast("long").alias("place"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true)) AS t(k, ok)")
-def protected_tokens(spark, sf):
-    """SCL-49."""
-    t = spark.sql("SELECT * FROM VALUES (1, 'a [[1]] b [[2]]', array('[[1]]', '[[2]]')), (2, '[[1]] [[1]]', array('[[1]]')), (3, 'x', array('[[1]]')), (4, 'x', array()) AS t(k, text, tokens)")
-    return t.select("k", tx.tokens_once(F.col("text"), F.col("tokens").cast("array<string>")).alias("ok"))
-
-
 # ---------------------------------------------------------------- sources
 _WORKS = [
     '{"id": "W1", "title": "Tea", "authorships": [{"author": {"display_name": "A"}}, {"author": {"display_name": null}}, {"author": {"display_name": "B"}}], "publication_year": 2020, "publication_date": "2020-03-04", "abstract_inverted_index": {"b": [1], "a": [0, 2]}, "doi": "https://doi.org/10.1/X", "locations": [{"pdf_url": "http://p/1.pdf"}, {"pdf_url": "http://arxiv.org/pdf/2"}], "cited_by_count": 3}',
@@ -259,28 +193,3 @@ def _records(spark):
     works, papers = _json(spark, _WORKS, payloads.OPENALEX), _json(spark, _S2, payloads.SEMANTIC_SCHOLAR)
     feed = spark.createDataFrame([(_FEED,)], "xml string")
     return n(payloads.openalex(works), 0).unionByName(n(payloads.arxiv(feed), 1)).unionByName(n(payloads.semantic_scholar(papers), 2))
-
-
-@query("""SELECT * FROM (VALUES ('OpenAlex', 'Tea', 'a b a', 2020, '2020-03-04', 'A, B', '10.1/x', 'http://arxiv.org/pdf/2', CAST(3 AS BIGINT)), ('OpenAlex', 'Bare', NULL, 0, NULL, NULL, NULL, NULL, 0),
-('arXiv', 'A & B', 'long text', 2021, '2021-01-02T00:00:00Z', 'X, Y', NULL, 'https://arxiv.org/pdf/2101.00001v1', 0), ('Semantic Scholar', 'Tea time', 'longer text', 2020, '2020-01-01', NULL, '10.1/x', NULL, 9),
-('Semantic Scholar', 'Other', NULL, 0, NULL, NULL, NULL, NULL, 0)) AS t(source, title, abstract, year, published_date, authors, doi, pdf_url, citations)""")
-def source_records(spark, sf):
-    """SRC-2 to SRC-4 on fixed payloads; the expected rows are worked out by hand."""
-    return _records(spark).select(F.get("sources", 0).alias("source"), "title", "abstract", F.coalesce("year", F.lit(0)).alias("year"), "published_date", "authors", "doi", "pdf_url", "citations")
-
-
-@query("""SELECT * FROM (VALUES ('doi:10.1/x', 'Tea time', 'longer text', CAST(9 AS BIGINT), 'OpenAlex,Semantic Scholar'), ('arxiv:2101.00001v1', 'A & B', 'long text', 0, 'arXiv'),
-('openalex:W3', 'Bare', NULL, 0, 'OpenAlex'), ('s2:S2', 'Other', NULL, 0, 'Semantic Scholar')) AS t(k, title, abstract, citations, sources)""")
-def source_union_dedupe(spark, sf):
-    """SET-1: the union of the sources, folded by the first key that a record has."""
-    every = _records(spark)
-    m = ra.fold_merge(every.withColumn("k", ra.dedupe_key(every)), "k", "n")
-    return m.select("k", "title", "abstract", "citations", F.array_join("sources", ",").alias("sources"))
-
-
-@query("SELECT * FROM (VALUES ('Tea', 'Kept', 'OpenAlex,Crossref'), ('Bare', NULL, 'OpenAlex')) AS t(title, venue, sources)")
-def crossref_enrichment(spark, sf):
-    """SRC-5: only what is missing is filled."""
-    msg = _json(spark, ['{"message": {"DOI": "10.1/X", "title": ["C"], "published": {"date-parts": [[2019, 5]]}, "container-title": ["Kept"]}}'], payloads.CROSSREF)
-    out = payloads.enrich_crossref(payloads.openalex(_json(spark, _WORKS, payloads.OPENALEX)), msg)
-    return out.select("title", "venue", F.array_join("sources", ",").alias("sources"))
