@@ -29,6 +29,7 @@ BLOCK_ROWS = 50_000
 BUCKETS = 64
 RAREST = 3
 MOST_NAMED = 10_000
+POST_ROWS = 500  # whose trigrams are sorted together
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -53,7 +54,7 @@ def _joined(columns: Sequence[str]) -> Column:
 
 def _posted(buckets: int):
     def post(batches):
-        for batch in batches:
+        for batch in (b.slice(k, POST_ROWS) for b in batches for k in range(0, b.num_rows, POST_ROWS)):
             block, ids = (np.asarray(batch.column(c), np.int64) for c in ("block", "id"))
             grams = [grams_of(t) if t else np.zeros(0, np.int64) for t in batch.column("text").to_pylist()]
             row = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
