@@ -1,9 +1,10 @@
 """HTML extraction by two-pass block rules.
 
 Pass one decides blocks by themselves: blocks inside menus, headers, footers, sidebars, forms, adverts, notices and
-reader comments (by element, class, id or role) or made of links are boilerplate; long blocks with enough stop words
-are text; link-free long blocks without them are boilerplate outside of an article. Everything else is ambiguous:
-short blocks, headings, and whatever an article holds that isn't boilerplate.
+reader comments (by element, class, id or role) or, outside of an article, made of links are boilerplate; long blocks
+with enough stop words are text, and so are those in a script that the stop words aren't of, for which length and links
+decide; link-free long blocks without stop words are boilerplate outside of an article. Everything else is ambiguous:
+short blocks, headings, and whatever an article holds that isn't boilerplate, links included.
 A class or id counts only by whole names of a closed list (`sidebar`, `site-nav`; not `with-sidebar`), not around a main
 element, and, if no article or main is outside of such names, not around most of the page's text (except for reader
 comments). If pass one finds no text at all, the text is every block that isn't boilerplate by place or links (of the
@@ -50,10 +51,10 @@ RAW = "script|style|noscript|template|textarea|noembed|noframes"
 #: comments. Those of AROUND are lists and boxes about a page, and count outside of an article only.
 REPLIES = frozenset("comment comments commentlist replies disqus".split())
 PLAIN = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts popup "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices alert alerts popup "
     "newsletter subscribe subscription signup paywall login sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer footers masthead skiplink".split()
 )
-AROUND = frozenset("share sharing social related recommended recommendation recommendations modal overlay widget widgets tag tags".split())
+AROUND = frozenset("banner banners share sharing social related recommended recommendation recommendations modal overlay widget widgets tag tags".split())
 HINTS = REPLIES | PLAIN | AROUND
 BESIDE = frozenset("site main top bottom left right primary secondary page post global container wrapper wrap box bar list block area section inner outer side mast head skip link links buttons row slot unit 1 2 3 4".split())
 JOINED = frozenset("side-bar mast-head skip-link".split())
@@ -66,6 +67,7 @@ TOKEN = re.compile(
 NAME = re.compile(r"[-_]+")
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+OTHER_SCRIPTS = "\u0370"  # letters from here on are Greek, Cyrillic and further scripts
 
 
 class _Block:
@@ -247,19 +249,28 @@ def blocks(page: str) -> list[_Block]:
     return out
 
 
+def density(text: str) -> float:
+    """Share of stop words; 1 if most letters are of a script that the stop words aren't of."""
+    words = WORD.findall(text.lower())
+    letters = sum(map(len, words))
+    if 2 * sum(c >= OTHER_SCRIPTS for w in words for c in w) > letters:
+        return 1.0
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
 def label(found: list[_Block]) -> None:
     """Both passes: label is True for text."""
     for b in found:
-        words = WORD.findall(b.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.bad or b.linked > LINKED * len(b.text):
+        links = b.linked > LINKED * len(b.text) and not b.article
+        dense = not b.bad and not links and len(b.text) >= SHORT and density(b.text) >= DENSE
+        if b.bad or links:
             b.label = False
-        elif len(b.text) >= SHORT and not b.heading and density >= DENSE:
+        elif dense and not b.heading:
             b.label = True
         elif len(b.text) >= 3 * SHORT and not b.heading and not b.article:
             b.label = False
     if not any(b.label for b in found):  # nothing to take a label from: all that isn't boilerplate by its place or links
-        pool = [b for b in found if not b.bad and b.linked <= LINKED * len(b.text)]
+        pool = [b for b in found if not b.bad and (b.article or b.linked <= LINKED * len(b.text))]
         inside = any(b.article for b in pool)
         for b in found:
             b.label = False

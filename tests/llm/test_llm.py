@@ -302,6 +302,17 @@ def test_html_hints_are_whole_names(name):
         assert html_text.main_text(f"<body>{nav}<div class='{name}'><{tag}><p>{SAID}</p><p>{SAID}</p></{tag}></div>{foot}</body>") == f"{SAID}\n{SAID}"
 
 
+def test_html_keeps_links_banners_and_other_scripts():
+    article = lambda x: f"<nav><a href=x>A</a></nav><article><p>{SAID}</p>{x}<p>{SAID}</p></article><footer>(c)</footer>"
+    for part, text in (("<p><a href=x>A whole linked line</a></p>", "A whole linked line"), ("<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", "One\nTwo"), (f"<div class='banner'><p>{SAID}!</p></div>", f"{SAID}!")):
+        assert html_text.main_text(article(part)) == f"{SAID}\n{text}\n{SAID}"
+    assert html_text.main_text(article("<nav><a href=x>B</a></nav><div class=ad><a href=x>Buy</a></div>")) == f"{SAID}\n{SAID}"
+    for letters in ("漢字" * 140, "слово " * 46 + "слово", "λόγος " * 46 + "λόγος"):
+        bare = f"<ul><li><a href=x>A</a></li></ul><div class=banner>{SAID}</div><div><p>{SAID}</p><p>{letters}</p><p>{SAID}</p></div><footer>{letters}</footer>"
+        assert html_text.main_text(bare) == f"{SAID}\n{letters}\n{SAID}"
+    assert html_text.main_text("<article><p><a href=x>Only a link</a></p></article>") == "Only a link"
+
+
 def test_html_keeps_what_is_no_boilerplate():
     page = "<nav><a href=x>A</a></nav><div><p>One line.</p><p>And another.</p></div><div class=ad>Buy</div><footer>(c)</footer>"
     assert html_text.main_text(page) == "One line.\nAnd another."
