@@ -57,6 +57,14 @@ def test_only_blocks_with_candidates_are_read(index):
     assert "PartitionFilters: [block" in read and "PushedFilters" in read
 
 
+def test_a_block_of_several_chunks(spark, tmp_path):
+    rows = [(i, f"{i:04d} " + ("marked" if i % 7 == 0 else "plain"), (i % 10) / 10) for i in range(1500)]
+    index = TrigramIndex.build(spark, f"file://{tmp_path}", spark.createDataFrame(rows, "id long, title string, prior double"), ("title",), F.col("prior"))
+    assert sorted(r["id"] for r in index.like("marked").collect()) == list(range(0, 1500, 7))
+    want = sorted(((round(0.8 + 0.02 * (i % 10), 6), i) for i in range(0, 1500, 7)), key=lambda x: (-x[0], x[1]))[:30]
+    assert [(pytest.approx(r["score"]), r["id"]) for r in index.ranked("marked", spark.createDataFrame([], "id long"), limit=30).collect()] == want
+
+
 def test_an_empty_index(spark, tmp_path):
     df = spark.createDataFrame([], "id long, title string, prior double")
     index = TrigramIndex.build(spark, f"file://{tmp_path}", df, ("title",), F.col("prior"))
