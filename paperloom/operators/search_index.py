@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.cluster import ship_code
+from paperloom.cluster import shared_dir, ship_code
 from paperloom.functions.text import lexical_score
 
 BLOCK_ROWS = 50_000
@@ -152,6 +152,9 @@ class TrigramIndex:
         rows = self._read("priors").join(saved.select(F.col(i).alias("id"), F.lit(True).alias("is_saved")).distinct(), "id", "left").withColumn("is_saved", F.coalesce("is_saved", F.lit(False)))
         rows = rows.join(possible, ["block", "place"], "left") if possible is not None else rows.withColumn("words", F.lit(None).cast("long"))
         rows = rows.withColumn("k", F.coalesce("words", F.lit(0)) + short).withColumn("bound", bound(F.col("k"))).where("bound > 0")
+        asked = f"{shared_dir(self.spark)}/asked"  # read by each step below; the postings are looked through once
+        rows.select("id", "block", "is_saved", "k", "bound").write.parquet(asked)
+        rows = self.spark.read.schema("id long, block int, is_saved boolean, k long, bound double").parquet(asked)
         share = lexical_score(F.concat_ws(" ", *self.spec.columns), F.lit(query))
 
         def best(of: DataFrame, few: bool) -> DataFrame:
