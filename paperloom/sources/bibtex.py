@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import arxiv_id, truthy
 
+#: Fixed value: what counts as an entry.
 ENTRY = r"(?i)@[a-z]+\s*\{\s*[^,]+,[\s\S]*?\n\s*\}"
-FIELD = r"(?i)[a-z][a-z0-9_-]*\s*=\s*(?:\{(?:[^{}]|\{[^{}]*\})*\}|\"(?:[^\"\\]|\\.)*\"|[^,\n]+)"
+#: Possessive, so that long values take no stack; giving back a part of a run could never make a value end.
+FIELD = r"(?i)[a-z][a-z0-9_-]*\s*=\s*(?:\{(?:[^{}]++|\{[^{}]*+\})*+\}|\"(?:[^\"\\]++|\\.)*+\"|[^,\n]+)"
 
 
 def clean(value: Column) -> Column:
@@ -16,15 +20,15 @@ def clean(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(value), r"^[{\"']|[}\"']$", ""), r"\\([{}\",])", "$1"))
 
 
-def read_bibtex(files: DataFrame, column: str = "bibtex") -> DataFrame:
-    """Entries with a title: type, key, fields (lower-case names, the last of a name wins), title, year, doi, arxiv_id."""
-    entry = files.select(F.explode(F.regexp_extract_all(column, F.lit(ENTRY), F.lit(0))).alias("e"))
+def read_bibtex(files: DataFrame, column: str = "bibtex", keep: Sequence[str] = ()) -> DataFrame:
+    """Entries with a title: type, key, fields (lower-case names, the last of a name wins), title, year, doi, arxiv_id, and the columns to keep."""
+    entry = files.select(*keep, F.explode(F.regexp_extract_all(column, F.lit(ENTRY), F.lit(0))).alias("e"))
     body = F.regexp_extract("e", r"(?i)^@[a-z]+\s*\{\s*[^,]+,([\s\S]*)\n\s*\}$", 1)
     pairs = F.transform(F.regexp_extract_all(body, F.lit(FIELD), F.lit(0)), lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([^=]*)=", 1))).alias("k"), clean(F.regexp_extract(x, r"(?s)^[^=]*=\s*(.*)$", 1)).alias("v")))
-    t = entry.select(F.lower(F.regexp_extract("e", "^@([A-Za-z]+)", 1)).alias("type"), F.trim(F.regexp_extract("e", r"^@[A-Za-z]+\s*\{\s*([^,]+),", 1)).alias("key"), pairs.alias("p"))
+    t = entry.select(F.lower(F.regexp_extract("e", "^@([A-Za-z]+)", 1)).alias("type"), F.trim(F.regexp_extract("e", r"^@[A-Za-z]+\s*\{\s*([^,]+),", 1)).alias("key"), pairs.alias("p"), *keep)
     names = F.array_distinct(F.transform("p", lambda x: x["k"]))
-    t = t.select("type", "key", F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter("p", lambda x: x["k"] == n), -1)["v"])).alias("fields"))
+    t = t.select(*keep, "type", "key", F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter("p", lambda x: x["k"] == n), -1)["v"])).alias("fields"))
     f = lambda n: F.try_element_at("fields", F.lit(n))
     year = F.coalesce(truthy(f("year")), F.substring(f("date"), 1, 4)).try_cast("int")
     eprint = F.coalesce(truthy(f("eprint")), truthy(f("arxivid")), truthy(f("arxiv")))
-    return t.select("type", "key", "fields", f("title").alias("title"), year.alias("year"), f("doi").alias("doi"), arxiv_id(eprint, f("url")).alias("arxiv_id")).where(truthy(F.col("title")).isNotNull())
+    return t.select("type", "key", "fields", f("title").alias("title"), year.alias("year"), f("doi").alias("doi"), arxiv_id(eprint, f("url")).alias("arxiv_id"), *keep).where(truthy(F.col("title")).isNotNull())

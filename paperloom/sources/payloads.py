@@ -3,6 +3,8 @@ citation_percentile, authors, doi, pdf_url, arxiv_id, semantic_scholar_id, sourc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,9 @@ def openalex(works: DataFrame) -> DataFrame:
     )
 
 
-def arxiv(feeds: DataFrame, column: str = "xml") -> DataFrame:
-    """Entries of Atom feeds (whole documents in one column)."""
-    e = feeds.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<entry>(.*?)</entry>"), F.lit(1))).alias("e"))
+def arxiv(feeds: DataFrame, column: str = "xml", keep: Sequence[str] = ()) -> DataFrame:
+    """Entries of Atom feeds (any number of whole entries in one column), with the columns to keep."""
+    e = feeds.select(*keep, F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<entry>(.*?)</entry>"), F.lit(1))).alias("e"))
     tag = lambda n: decode_xml(F.regexp_extract("e", rf"(?s)<{n}[^>]*>(.*?)</{n}>", 1))
     pid = F.regexp_extract(tag("id"), r"/abs/(.+)$", 1)
     pdf = truthy(F.regexp_extract("e", r'<link[^>]*title="pdf"[^>]*href="([^"]+)"', 1))
@@ -53,7 +55,7 @@ def arxiv(feeds: DataFrame, column: str = "xml") -> DataFrame:
     return e.select(
         none.alias("openalex_id"), tag("title").alias("title"), tag("summary").alias("abstract"), F.substring(tag("published"), 1, 4).try_cast("int").alias("year"), truthy(tag("published")).alias("published_date"), F.lit("arXiv").alias("venue"),
         F.lit(0).cast("long").alias("citations"), F.lit(None).cast("double").alias("citation_percentile"), authors.alias("authors"), none.alias("doi"),
-        F.coalesce(pdf, F.concat(F.lit("https://arxiv.org/pdf/"), pid)).alias("pdf_url"), truthy(pid).alias("arxiv_id"), none.alias("semantic_scholar_id"), F.array(F.lit("arXiv")).alias("sources"),
+        F.coalesce(pdf, F.concat(F.lit("https://arxiv.org/pdf/"), pid)).alias("pdf_url"), truthy(pid).alias("arxiv_id"), none.alias("semantic_scholar_id"), F.array(F.lit("arXiv")).alias("sources"), *keep,
     ).where(truthy(F.col("title")).isNotNull())
 
 
