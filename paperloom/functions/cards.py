@@ -53,7 +53,7 @@ def normalize_summary(answer: Column) -> Column:
     """A model's summary (JSON text) with what it doesn't state named so, and three innovations at most."""
     a = F.coalesce(F.from_json(unfence_json(answer), "summary_zh string, innovations_zh array<string>, method_zh string, results_zh string, limitations_zh string"), F.from_json(F.lit("{}"), "summary_zh string, innovations_zh array<string>, method_zh string, results_zh string, limitations_zh string"))
     said = lambda c: F.coalesce(truthy(F.trim(a[c])), F.lit(NOT_STATED)).alias(c)
-    new = F.slice(F.filter(F.transform(F.coalesce(a["innovations_zh"], F.array().cast("array<string>")), F.trim), lambda x: truthy(x).isNotNull()), 1, 3)
+    new = F.slice(F.filter(F.transform(F.coalesce(a["innovations_zh"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: truthy(x).isNotNull()), 1, 3)  # F.trim itself would take the index as its second argument
     return F.struct(said("summary_zh"), F.when(F.size(new) > 0, new).otherwise(F.array(F.lit(NOT_STATED))).alias("innovations_zh"), said("method_zh"), said("results_zh"), said("limitations_zh"))
 
 

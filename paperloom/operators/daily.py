@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import relevance as rel
@@ -168,3 +168,20 @@ def show_snapshot(snapshot: DataFrame, papers: DataFrame, links: DataFrame, stat
 def add_history(history: DataFrame, picks: DataFrame, day: str) -> DataFrame:
     new = picks.select("paper_id", "direction", F.lit(day).cast("date").alias("shown_on"))
     return ra.insert_missing(history, new, ["paper_id", "direction", "shown_on"])
+
+
+def digest(picks: DataFrame, explored: str = "Exploration") -> DataFrame:
+    """(section, position, markdown) of picks(kind, direction_label, rank, id, title, year, pdf_url): one section a
+    direction, in the order of labels, and one after them for everything explored, whatever its direction.
+
+    Lines stand in the order of rank, then id, and are numbered. A pick without a title or label has none in its line or
+    heading; one without a PDF is not linked. No picks make no sections."""
+    free = F.col("kind") == "exploration"
+    title = F.coalesce("title", F.lit(""))
+    named = F.when(F.coalesce("pdf_url", F.lit("")) != "", F.concat(F.lit("["), title, F.lit("]("), F.col("pdf_url"), F.lit(")"))).otherwise(title)
+    line = F.concat(named, F.coalesce(F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")")), F.lit("")))
+    p = picks.select(F.when(free, F.lit(explored)).otherwise(F.coalesce("direction_label", F.lit(""))).alias("section"), free.alias("_last"), "rank", "id", line.alias("line"))
+    lines = p.groupBy("section", "_last").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "line"))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"])), "\n")
+    out = lines.select("section", "_last", F.concat(F.lit("## "), "section", F.lit("\n\n"), body).alias("markdown"))
+    return out.select("section", F.row_number().over(Window.orderBy("_last", "section")).alias("position"), "markdown")

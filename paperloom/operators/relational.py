@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import scoring as sc
 from paperloom.functions.text import first_truthy, normalize_doi, normalize_title, truthy
 
 
@@ -264,6 +265,19 @@ def related(papers: DataFrame, links: DataFrame, hidden: DataFrame, vectors: Dat
     return j.select("id", F.round(0.8 * semantic + 0.2 * tx.lexical_score(F.col("whole"), F.col("query")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def legacy_recommend(papers: DataFrame, links: DataFrame, weights: DataFrame, n: int = 10, this_year: int = 2026) -> DataFrame:
+    """(id, score) of the n best papers(id, citations, year, rank) by the summed weights(direction, weight) of their
+    links; the most cited ones, scored by their citations, where no direction has a weight.
+
+    Weights are one row a direction. They are summed per paper before papers are joined."""
+    per = links.join(weights, "direction").groupBy(F.col("paper_id").alias("id")).agg(F.sum("weight").alias("_w"))
+    any_ = weights.agg((F.count("*") > 0).alias("_any"))
+    j = papers.select("id", "citations", "year", "rank").join(per, "id", "left").join(F.broadcast(any_))
+    cited = F.coalesce("citations", F.lit(0)).cast("double")
+    score = F.when(F.col("_any"), sc.legacy_score(F.col("_w"), F.col("citations"), F.col("rank"), F.col("year"), this_year)).otherwise(cited)
+    return j.where(~F.col("_any") | F.col("_w").isNotNull()).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+
+
 def legacy_list(papers: DataFrame, links: DataFrame, direction: str | None, query: str | None, size: int, number: int, sort: str = "citations", columns: Sequence[str] = ("title", "abstract", "authors")) -> DataFrame:
     """A page of papers with total and has_more; sort is citations, year or relevance (which is citations)."""
     p = search_filter(papers, columns, query) if query else papers

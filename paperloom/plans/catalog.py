@@ -12,7 +12,7 @@ from paperloom.functions import text as tx
 from paperloom.operators import documents as doc
 from paperloom.operators import relational as ra
 from paperloom.operators import structure as st
-from paperloom.plans import flows, more, payload_files, stored  # noqa: F401  register their queries
+from paperloom.plans import flows, library_flows, more, payload_files, stored  # noqa: F401  register their queries
 from paperloom.plans.registry import QUERIES, SQL, query
 from paperloom.plans.views import AS_OF, model
 from paperloom.streaming import events as ev
