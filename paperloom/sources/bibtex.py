@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import arxiv_id, truthy
+from paperloom.functions.text import arxiv_id, let, truthy
 
 #: Fixed value: what counts as an entry.
 ENTRY = r"(?i)@[a-z]+\s*\{\s*[^,]+,[\s\S]*?\n\s*\}"
@@ -26,8 +26,9 @@ def read_bibtex(files: DataFrame, column: str = "bibtex", keep: Sequence[str] =
     body = F.regexp_extract("e", r"(?i)^@[a-z]+\s*\{\s*[^,]+,([\s\S]*)\n\s*\}$", 1)
     pairs = F.transform(F.regexp_extract_all(body, F.lit(FIELD), F.lit(0)), lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([^=]*)=", 1))).alias("k"), clean(F.regexp_extract(x, r"(?s)^[^=]*=\s*(.*)$", 1)).alias("v")))
     t = entry.select(F.lower(F.regexp_extract("e", "^@([A-Za-z]+)", 1)).alias("type"), F.trim(F.regexp_extract("e", r"^@[A-Za-z]+\s*\{\s*([^,]+),", 1)).alias("key"), pairs.alias("p"), *keep)
-    names = F.array_distinct(F.transform("p", lambda x: x["k"]))
-    t = t.select(*keep, "type", "key", F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter("p", lambda x: x["k"] == n), -1)["v"])).alias("fields"))
+    last = lambda p, n: F.element_at(F.filter(p, lambda x: x["k"] == n), -1)["v"]
+    by_name = lambda p: let(F.array_distinct(F.transform(p, lambda x: x["k"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda n: last(p, n))))
+    t = t.select(*keep, "type", "key", let(F.col("p"), by_name).alias("fields"))
     f = lambda n: F.try_element_at("fields", F.lit(n))
     year = F.coalesce(truthy(f("year")), F.substring(f("date"), 1, 4)).try_cast("int")
     eprint = F.coalesce(truthy(f("eprint")), truthy(f("arxivid")), truthy(f("arxiv")))
