@@ -13,48 +13,52 @@ LINKED = 8
 
 
 # ---------------------------------------------------------------- nearest unused
-def _sides(rows: DataFrame, by: str) -> DataFrame:
+def _orders() -> tuple[list[Column], list[Column]]:
+    """Ahead and back."""
+    return [F.col("at"), F.col("kind"), -F.col("id")], [-F.col("at"), -F.col("kind"), -F.col("id")]
+
+
+def _sides(rows: DataFrame, by: str, ahead: Column, back: Column) -> DataFrame:
     """rows(by, at, id, kind) with the nearest row of the other kind before and after; of equally near ones the smallest
-    id. At equal places rows of kind 0 come first."""
+    id. At equal places rows of kind 0 come first. ahead, back: borders of the two orders."""
     of = lambda name, kind: F.when(F.col("kind") == kind, F.struct("at", "id")).alias(name)
-    back = rows.select("*", of("b0", 0), of("b1", 1))
-    back = ra.last_before(back, by, [F.col("at"), F.col("kind"), -F.col("id")], ["b0", "b1"])
-    both = back.select("*", of("a0", 0), of("a1", 1))
-    both = ra.last_before(both, by, [-F.col("at"), -F.col("kind"), -F.col("id")], ["a0", "a1"])
+    one = ra.last_before(rows.select("*", of("b0", 0), of("b1", 1)), by, _orders()[0], ["b0", "b1"], cuts=ahead)
+    both = ra.last_before(one.select("*", of("a0", 0), of("a1", 1)), by, _orders()[1], ["a0", "a1"], cuts=back)
     own = F.col("kind") == 0
     return both.select(by, "at", "id", "kind", F.when(own, F.col("b1")).otherwise(F.col("b0")).alias("before"), F.when(own, F.col("a1")).otherwise(F.col("a0")).alias("after"))
 
 
 def nearest_unused(left: DataFrame, right: DataFrame, by: str, most: int, backwards: bool = False, keep=None) -> DataFrame:
     """(by, left_id, right_id, distance): rows of left(by, at, id) matched with rows of right, each used once, nearest
-    pairs first (equal distances: the smaller left id, then right id), no pair further apart than most.
+    pairs first (equal distances: the smaller left id, then right id), no pair further apart than most. Rows without a
+    key or a place match nothing.
 
     This is the matching that taking the closest free pair again and again gives. A round finds each row's nearest row
-    of the other side by two passes in order (ranged, so a key may have any number of rows) and takes the pairs that are nearest to each other both ways; they leave, and
-    rounds go on until none is found. The closest pair of all is taken in each round, in practice most pairs are.
+    of the other side by two passes in order (ranged, so a key may have any number of rows) and takes the pairs that are
+    nearest to each other both ways; they leave, and so do rows with nothing near enough, as what is near only leaves.
+    Rounds go on until none is found. The closest pair of all is taken in each round, in practice most pairs are.
     backwards: only rows of right at or before the left one. keep(df, round): writes a round's rows and reads them again,
     which cuts the lineage."""
     keep = keep or (lambda df, k: df.checkpoint())
-    rows = left.select(by, F.col("at").cast("long").alias("at"), F.col("id").cast("long").alias("id"), F.lit(1).alias("kind"))
-    rows = keep(rows.unionByName(right.select(by, F.col("at").cast("long").alias("at"), F.col("id").cast("long").alias("id"), F.lit(0).alias("kind"))), "start")
+    side = lambda df, kind: df.where(F.col(by).isNotNull() & F.col("at").isNotNull()).select(by, F.col("at").cast("long").alias("at"), F.col("id").cast("long").alias("id"), F.lit(kind).alias("kind"))
+    rows = keep(side(left, 1).unionByName(side(right, 0)), "start")
+    ahead, back = (ra.borders(rows, by, order) for order in _orders())
+    pair = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{side}.at")).alias("d"), F.when(F.col("kind") == 1, F.col("id")).otherwise(F.col(f"{side}.id")).alias("l"), F.when(F.col("kind") == 1, F.col(f"{side}.id")).otherwise(F.col("id")).alias("r")))
+    if backwards:  # a left row looks back, a right row ahead
+        best = F.when(F.col("kind") == 1, pair("before")).otherwise(pair("after"))
+    else:
+        best = F.least(pair("before"), pair("after"))
+    wishes = Window.partitionBy(by, "wish")  # a wish names both rows, so it is that of one row or two
+    both = (F.count("*").over(wishes) == 2) & (F.count_if(F.col("kind") == 1).over(wishes) == 1)
     out, k = None, 0
     while True:
-        near = _sides(rows, by)
-        pair = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{side}.at")).alias("d"), F.when(F.col("kind") == 1, F.col("id")).otherwise(F.col(f"{side}.id")).alias("l"), F.when(F.col("kind") == 1, F.col(f"{side}.id")).otherwise(F.col("id")).alias("r")))
-        ways = [pair("before"), pair("after")]
-        if backwards:  # a left row looks back, a right row ahead
-            best = F.when(F.col("kind") == 1, ways[0]).otherwise(ways[1])
-        else:
-            best = F.least(*ways)
-        wish = near.withColumn("wish", best).where(F.col("wish.d") <= most).select(by, "kind", "id", "wish")
-        mutual = wish.groupBy(by, F.col("wish.d").alias("distance"), F.col("wish.l").alias("left_id"), F.col("wish.r").alias("right_id")).agg(F.count("*").alias("n"), F.count_if((F.col("kind") == 1) & (F.col("id") == F.col("wish.l"))).alias("a")).where("n = 2 AND a = 1")
-        taken = keep(mutual.select(by, "left_id", "right_id", "distance"), f"taken{k}")
+        wish = _sides(rows, by, ahead, back).withColumn("wish", best).where(F.col("wish.d") <= most)
+        judged = keep(wish.select(by, "at", "id", "kind", "wish", both.alias("taken")), f"round{k}")
+        taken = judged.where("taken AND kind = 1").select(by, F.col("wish.l").alias("left_id"), F.col("wish.r").alias("right_id"), F.col("wish.d").alias("distance"))
         if taken.isEmpty():
             return out if out is not None else taken
         out = taken if out is None else out.unionByName(taken)
-        used = taken.select(by, F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("left_id").alias("id")), F.struct(F.lit(0).alias("kind"), F.col("right_id").alias("id")))).alias("_used")).select(by, "_used.kind", "_used.id")
-        rows = keep(rows.join(used, [by, "kind", "id"], "left_anti").select(by, "at", "id", "kind"), f"left{k}")
-        k += 1
+        rows, k = judged.where("NOT taken").select(by, "at", "id", "kind"), k + 1
 
 
 # ---------------------------------------------------------------- the graph of links

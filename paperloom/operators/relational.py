@@ -289,13 +289,30 @@ def legacy_list(papers: DataFrame, links: DataFrame, direction: str | None, quer
 
 
 # ---------------------------------------------------------------- order within a key, of any size
+def borders(df: DataFrame, by: str, order: list[Column], pieces: int = 64, each: int = 16) -> Column:
+    """Where to cut the order (by, order) into pieces of about equal size: an array of structs, from `each` random rows
+    a piece. Where they lie decides about balance only."""
+    keys = [F.col(by).alias("_k"), *[o.alias(f"_o{i}") for i, o in enumerate(order)]]
+    some = df.select(*keys).orderBy(F.rand(1)).limit(pieces * each).orderBy(*[F.col(c) for c in ["_k", *[f"_o{i}" for i in range(len(order))]]])
+    types, rows = some.schema.fields, some.collect()[each::each]
+    return F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(types, r)]) for r in rows])
+
+
+def piece_of(by: str, order: list[Column], cuts: Column, pieces: int = 64) -> Column:
+    """The piece of a row: how many of the cuts are at or before it, by halving. It hangs on the row's values alone, so
+    two readings of a table agree, which the partitions of two range exchanges do not: each samples anew."""
+    row = F.struct(F.col(by).alias("_k"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(pieces.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) <= row, step).otherwise(0))
+
+
 def number_rows(df: DataFrame, by: str, order: list[Column], name: str, pieces: int = 64) -> DataFrame:
     """df with the number from 0 of each row among those of its `by`, in a total order of rows.
 
-    A key with many rows is not sorted in one task: rows are ranged by (key, order) over all partitions, numbered within
-    their partition, and the rows of the key in earlier partitions (one count for each key and partition) are added."""
+    A key with many rows is not sorted in one task: rows are ranged by (key, order) over pieces, numbered within their
+    piece, and the rows of the key in earlier pieces (one count for each key and piece) are added."""
     cols = [f"_o{i}" for i in range(len(order))]
-    placed = df.withColumns(dict(zip(cols, order))).repartitionByRange(pieces, by, *cols).withColumn("_part", F.spark_partition_id())
+    placed = df.withColumns(dict(zip(cols, order))).withColumn("_part", piece_of(by, order, borders(df, by, order, pieces), pieces))
     own = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_part", by).orderBy(*cols)) - 1)
     counts = placed.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")).select(F.col(by).alias("_k"), F.col("_part").alias("_q"), "_before")
@@ -303,12 +320,14 @@ def number_rows(df: DataFrame, by: str, order: list[Column], name: str, pieces:
     return j.withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before", "_k", "_q", *cols)
 
 
-def last_before(df: DataFrame, by: str, order: list[Column], values: Sequence[str], pieces: int = 64) -> DataFrame:
+def last_before(df: DataFrame, by: str, order: list[Column], values: Sequence[str], pieces: int = 64, cuts: Column | None = None) -> DataFrame:
     """df with each of the values replaced by the last one that is not null at or before the row, among rows of its `by`.
 
-    Rows are ranged over all partitions like in number_rows; what is carried into a partition is one row for each key."""
+    Rows are ranged over pieces like in number_rows; what is carried into a piece is one row for each key. cuts: borders
+    of the same order that are known already."""
     cols = [f"_o{i}" for i in range(len(order))]
-    placed = df.withColumns(dict(zip(cols, order))).repartitionByRange(pieces, by, *cols).withColumn("_part", F.spark_partition_id())
+    cuts = borders(df, by, order, pieces) if cuts is None else cuts
+    placed = df.withColumns(dict(zip(cols, order))).withColumn("_part", piece_of(by, order, cuts, pieces))
     here = Window.partitionBy("_part", by).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
     own = placed.withColumns({f"_v_{v}": F.last(v, ignorenulls=True).over(here) for v in values})
     ends = placed.groupBy(by, "_part").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*cols))).alias(f"_e_{v}") for v in values])

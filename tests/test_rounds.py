@@ -70,6 +70,22 @@ def test_nearest_unused_equals_taking_the_closest_pair(spark, backwards, tmp_pat
     assert found == sorted(want)
 
 
+def test_passes_over_many_rows_agree_about_their_pieces(spark):
+    """Over some thousand rows a piece, borders are a sample; each column read must see the same pieces."""
+    rows = spark.range(0, 200_000, 1, 8).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("v"), F.when(F.xxhash64("id", F.lit(1)) % 5000 == 0, F.col("id")).alias("x"))
+    rows = rows.select("*", F.col("x").alias("was"))
+    got = ra.last_before(rows, "k", [F.col("v")], ["x"]).toPandas().sort_values(["k", "v"])
+    assert len(got) == 200_000 and (got["x"].fillna(-1) == got.groupby("k")["was"].ffill().fillna(-1)).all()
+    n = ra.number_rows(rows, "k", [F.col("v")], "i").toPandas().sort_values(["k", "v"])
+    assert (n["i"] == n.groupby("k").cumcount()).all()
+
+
+def test_rows_without_a_key_or_place_match_nothing(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = spark.createDataFrame([(None, 1, 1), (1, 5, 2), (1, None, 3)], "u int, at long, id long")
+    assert [tuple(r) for r in nearest_unused(rows, rows.withColumn("id", F.col("id") + 10), "u", 9).collect()] == [(1, 2, 12, 0)]
+
+
 def test_links_and_neighbours(spark):
     pages = [(0, "http://a.org/x/p", '<a href="q">1</a><a href="/r?z=1&amp;y=2">2</a><a href="//b.org/">3</a><a class=c href=\'q#s\'>4</a><a href="p">self</a>'), (1, "http://a.org/x/q", ""), (2, "http://a.org/r?z=1&y=2", None), (3, "http://b.org/", '<a href="http://a.org/x/q">q</a>')]
     e = link_edges(spark.createDataFrame(pages, "page_id long, url string, html string"))
