@@ -83,14 +83,22 @@ def resolve(base: Column, href: Column) -> Column:
     )
 
 
-def neighbours(edges: DataFrame, n: int = LINKED, pieces: int = 32) -> DataFrame:
+def neighbours(edges: DataFrame, n: int = LINKED) -> DataFrame:
     """(id, relation, other, rank) of edges(source, target, position): of every node its first n references by position
-    and its first n citing nodes by id. A hub's rows are first cut to n within each of its pieces, and only those meet."""
-    out = edges.select(F.col("source").alias("id"), F.lit("reference").alias("relation"), F.col("target").alias("other"), F.struct(F.col("position").cast("long").alias("a"), F.col("target").cast("long").alias("b")).alias("o"))
-    back = edges.select(F.col("target").alias("id"), F.lit("cited_by").alias("relation"), F.col("source").alias("other"), F.struct(F.col("source").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("o"))
-    both = out.unionByName(back).withColumn("_piece", F.pmod(F.xxhash64("other"), F.lit(pieces)))
-    cut = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).where(F.col("rank") <= n)
-    return cut(cut(both, ["id", "relation", "_piece"]).drop("rank"), ["id", "relation"]).select("id", "relation", "other", F.col("rank").cast("int").alias("rank"))
+    and its first n citing nodes by id. A hub's rows are cut to n within each task, and only those meet; rows hold no
+    more than the two ids and the position while they are sorted."""
+    cut = lambda df, by, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+    shown = lambda df, by, relation, other: df.select(F.col(by).alias("id"), F.lit(relation).alias("relation"), F.col(other).alias("other"), F.col("rank").cast("int").alias("rank"))
+    out = shown(cut(edges.select("source", "target", "position"), "source", "position", "target"), "source", "reference", "target")
+    return out.unionByName(shown(cut(edges.select("source", "target"), "target", "source"), "target", "cited_by", "source"))
+
+
+def fold_edges(links: DataFrame, pieces: int = 32) -> DataFrame:
+    """(source, target, position) with the first position of each pair, dealt by source, so that the references of a node
+    are ranked where they are. A part of the input as it is read goes to that many tasks, however little room rows take
+    when written: memory of a task hangs on the part, not on the input."""
+    dealt = links.select("source", "target", "position").repartition(pieces * links.rdd.getNumPartitions(), "source")
+    return dealt.groupBy("source", "target").agg(F.min("position").alias("position"))
 
 
 # ---------------------------------------------------------------- a table function

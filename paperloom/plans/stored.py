@@ -151,10 +151,10 @@ UNION ALL SELECT target AS id, 'cited_by' AS relation, source AS other, row_numb
 SELECT id, relation, other, CAST(rank AS INT) AS rank FROM b WHERE rank <= 8""")
 def neighbours_of_nodes(spark, sf):
     """SRC-8: orders that refer to parts as a graph: of every node its first eight references and citing nodes."""
-    from paperloom.operators.matching_rounds import neighbours
+    from paperloom.operators.matching_rounds import fold_edges, neighbours
 
-    e = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")).agg((F.min("l_linenumber") - 1).alias("position"))
-    return neighbours(e)
+    e = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), (F.col("l_linenumber") - 1).alias("position"))
+    return neighbours(fold_edges(e))
 
 
 @query("""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, html FROM pages), known AS (SELECT url AS u, min(page_id) AS target FROM u GROUP BY url), host AS (SELECT regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') AS h, min(page_id) AS target FROM u GROUP BY 1),
