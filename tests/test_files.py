@@ -86,3 +86,14 @@ def test_open_access_answers(spark):
     f = spark.createDataFrame([("https://doi.org/10.1/A", "", "land"), ("10.1/c", "x", "y"), ("10.1/d", "pdf", None), (None, "n", "n")], "doi string, url_for_pdf string, url string")
     assert dict(payloads.enrich_unpaywall(p, f).select("id", "pdf_url").collect()) == {1: "land", 2: None, 3: "own", 4: "pdf"}
     assert ra.few(payloads.enrich_unpaywall(p.limit(0), f)) == []
+
+
+def test_fields_of_an_entry_are_found_once(spark):
+    """A filter on the title was pushed below the fields, where each of its uses found them anew."""
+    from paperloom.sources.bibtex import read_bibtex
+
+    odd = ["@Book{a,\n title={T {x}\n y},\n note={b\\}c},\n url=\"u\"\n \n }\n@misc{b,\n title = {V}\n}", "@a{k,}\n@b{c,\n\n title={t}\n\n}", "@a{k title={x}\n}", "@a{k,\n title={open", "", None, "@a{k,\n title={no\n } end},\n year = 1999\n}\n"]
+    df = read_bibtex(spark.createDataFrame([(x,) for x in odd], "bibtex string"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    got = sorted((r["type"], r["key"], r["title"], r["fields"].get("note"), r["fields"].get("url")) for r in df.collect())
+    assert got == [("a", "k", "no", None, None), ("a", "k", "t", None, None), ("book", "a", "T {x}\n y", "b\\", "u"), ("misc", "b", "V", None, None)]
