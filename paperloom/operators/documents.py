@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.cluster import ship_code, small_batches
+
 IMAGE = r"!\[[^\]]*\]\([^)]*\)|<img\b"
 BIND = "PL_BIND_"
 RUN = {k: re.compile(rf"(.{{{k}}})\1+", re.S) for k in (2, 3, 4)}
@@ -138,13 +141,37 @@ def fragment_issues(source: str, translated: str) -> list[str]:
 
 
 # ---------------------------------------------------------------- DataFrames of id, markdown
-def chunk_documents(docs: DataFrame, limit: int = 9000) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            rows = [(i, k, len(c), c) for i, m in zip(f["id"], f["markdown"]) for k, c in enumerate(chunks(m or "", limit))]
-            yield pd.DataFrame(rows, columns=["id", "chunk", "chars", "text"])
+#: Fixed value: characters of results after which a worker hands them on.
+HANDED = 1 << 21
+
+
+def _each_text(docs: DataFrame, rows, schema: pa.Schema, ddl: str) -> DataFrame:
+    """rows(id, text) of every row of docs(id, markdown), one text at a time: a worker holds the batch as Arrow has it,
+    one text, and a few results."""
+
+    def run(batches):
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        for batch in batches:
+            out, held = [], 0
+            for i, m in zip(batch.column("id"), batch.column("markdown")):
+                text = m.as_py() or ""
+                out += rows(i.as_py(), text)
+                held += len(text)
+                if held >= HANDED and out:
+                    yield made(out)
+                    out, held = [], 0
+            if out:
+                yield made(out)
 
-    return docs.mapInPandas(run, "id long, chunk int, chars int, text string")
+    ship_code(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    return docs.select("id", "markdown").mapInArrow(run, ddl)
+
+
+def chunk_documents(docs: DataFrame, limit: int = 9000) -> DataFrame:
+    rows = lambda i, m: [(i, k, len(c), c) for k, c in enumerate(chunks(m, limit))]
+    schema = pa.schema([("id", pa.int64()), ("chunk", pa.int32()), ("chars", pa.int32()), ("text", pa.string())])
+    return _each_text(docs, rows, schema, "id long, chunk int, chars int, text string")
 
 
 #: A run is reported from RUN characters and SHARE of its line, a line from LONG characters; what a page
@@ -179,8 +206,5 @@ def inspect_documents(docs: DataFrame) -> DataFrame:
 
 
 def roundtrip_documents(docs: DataFrame) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"id": f["id"], "same": [restore(*protect(m or "")) == (m or "") for m in f["markdown"]]})
-
-    return docs.mapInPandas(run, "id long, same boolean")
+    rows = lambda i, m: [(i, restore(*protect(m)) == m)]
+    return _each_text(docs, rows, pa.schema([("id", pa.int64()), ("same", pa.bool_())]), "id long, same boolean")

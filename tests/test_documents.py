@@ -73,3 +73,16 @@ def test_parser_runs(tmp_path):
         with pytest.raises(ValueError):
             fg.run_parser(b"", tmp_path, lambda pdf, folder, answer=answer: answer, "p", lambda pdf: (1, 0))
     assert fg.pdf_text(["a", "b"], {"a": b"<html>", "b": b"%PDF-1"}.get, lambda b: " text ") == ("b", "text") and fg.pdf_text([], None, None) is None
+
+
+def test_chunks_come_from_small_batches(spark):
+    """10,000 whole texts a batch, as objects and with all of their chunks, took the memory of a worker."""
+    from paperloom.operators import documents as doc
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = [None, "", "# A\n\nb c. d e.\n\n" * 5, "é" * 25, "| t |\n" * 9] + [f"{i} word. " * i for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, markdown string")
+    got = sorted(map(tuple, doc.chunk_documents(df, 20).collect()))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
+    assert got == [(i, k, len(c), c) for i, t in enumerate(texts) for k, c in enumerate(doc.chunks(t or "", 20))]
+    assert doc.roundtrip_documents(df).where("same").count() == len(texts)
