@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.cluster import ship_code
+from paperloom.cluster import ship_code, small_batches
 
 Groups = tuple[tuple[str, tuple[str, ...]], ...]
 
@@ -96,7 +96,7 @@ def _signals_udf(terms: tuple[str, ...], groups: Groups):
     @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
         match = _matcher(terms, groups)
-        return pa.array([match(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array((match(t.as_py()) for t in texts), pa.list_(pa.string()), size=len(texts))
 
     return found
 
@@ -104,6 +104,7 @@ def _signals_udf(terms: tuple[str, ...], groups: Groups):
 def _ready() -> None:
     if spark := SparkSession.getActiveSession():
         ship_code(spark)
+        small_batches(spark)
 
 
 def signals(text: Column, terms: Sequence[str], groups: Groups = ()) -> Column:

@@ -74,3 +74,13 @@ def test_one_pass_for_all_directions(spark):
     plan = df.select(*[f(*text, *d, terms).alias(f"{f.__name__}{i}") for i, d in enumerate(directions) for f in (relevance.relevance_score, relevance.is_likely_relevant)])
     shown = plan._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("found(lower(concat_ws") == 1
+
+
+def test_signals_come_from_small_batches(spark):
+    from paperloom.functions.matching import signals
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("lidar "), F.col("id"))).alias("t"))
+    got = df.select(F.size(signals(F.col("t"), ("lidar", "camera"))).alias("n")).groupBy("n").count().collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
+    assert {r["n"]: r["count"] for r in got} == {0: 1667, 1: 3333}
