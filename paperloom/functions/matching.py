@@ -127,8 +127,8 @@ def _rejected_udf(rules: tuple[tuple[str, str, str], ...], scopes: tuple[str, ..
     def rejected(texts: pa.Array) -> pa.Array:
         match, book = _rule_book(rules, scopes)
         out = []
-        for t in texts.to_pylist():
-            seen = set(match(t))
+        for t in texts:  # one text of the batch at a time
+            seen = set(match(t.as_py()))
             out.append([s for s, no, yes in book if not no.isdisjoint(seen) or not yes <= seen])
         return pa.array(out, pa.list_(pa.string()))
 
@@ -137,6 +137,9 @@ def _rejected_udf(rules: tuple[tuple[str, str, str], ...], scopes: tuple[str, ..
 
 def rejected(text: Column, rules: Sequence[tuple[str, str, str]], scopes: Sequence[str]) -> Column:
     """The scopes whose rules (scope or all, term, exclude or require) a text breaks: it holds an excluded term or lacks
-    a required one. Terms are compared in lower case, as the text should be; empty ones are no rules."""
+    required one. Terms are compared in lower case, as the text should be; empty ones are no rules.
+
+    Never null, and said so: to learn that it is not, a filter would call the function once more in workers of its own."""
     _ready()
-    return _rejected_udf(tuple(sorted({(d, t.lower(), m) for d, t, m in rules})), tuple(scopes))(text)
+    found = _rejected_udf(tuple(sorted({(d, t.lower(), m) for d, t, m in rules})), tuple(scopes))(text)
+    return F.coalesce(found, F.array().cast("array<string>"))

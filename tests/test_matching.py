@@ -76,6 +76,18 @@ def test_one_pass_for_all_directions(spark):
     assert shown.count("found(lower(concat_ws") == 1
 
 
+def test_broken_rules_are_looked_up_once(spark):
+    """A join on the answer asked first whether it is null, by one more call in workers of its own."""
+    from paperloom.functions.matching import rejected
+
+    df = spark.createDataFrame([(1, "a bad text"), (2, None), (3, "good")], "id int, text string")
+    judged = df.select("id", rejected(F.col("text"), [("all", "bad", "exclude"), ("d1", "good", "require")], ["d1", "d2"]).alias("broken"))
+    links = spark.createDataFrame([(i, d) for i in (1, 2, 3) for d in ("d1", "d2")], "id int, d string")
+    out = judged.join(links, "id").where(~F.array_contains("broken", F.col("d")))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["id"], r["d"]) for r in out.collect()) == [(2, "d2"), (3, "d1"), (3, "d2")]
+
+
 def test_signals_come_from_small_batches(spark):
     from paperloom.functions.matching import signals
 
