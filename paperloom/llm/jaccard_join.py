@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import MESSAGE, U64, Distinct, Roller, Scratch, Texts, attach, blocks_of, bucket_key, exchange_counts, lean, message_frame, partitions_for, ranges, splitmix, unpack
+from paperloom.llm.common import MESSAGE, U64, Distinct, Roller, Scratch, Texts, attach, blocks_of, bucket_key, exchange_counts, lean, lean_group, message_frame, partitions_for, ranges, splitmix, unpack
 from paperloom.llm.components import Union, components, forest
 
 WORDS = 5
@@ -353,10 +353,11 @@ def _components(s: Scratch, docs: DataFrame, words: int, percent: int) -> tuple[
     asked = attach(blocks.select("block", "part"), chosen)
     counts = s.write(exchange_counts(asked.mapInPandas(lean("op6")(_ask_counts(b, words)), MESSAGE)), "counts")
     shared = attach(asked, counts).mapInPandas(lean("op6")(_windows(b, words, percent)), "bucket int, shingle long, node long, n long, hot boolean")
-    found = s.write(shared.groupBy("bucket").applyInPandas(_share_pivots(percent), "hi long, lo long, shingle long, first long, last long"), "found")
-    across = found.where("first is not null").groupBy("shingle").applyInPandas(_join_runs(percent), "hi long, lo long")
+    found = s.write(shared.groupBy("bucket").applyInPandas(lean_group(_share_pivots(percent)), "hi long, lo long, shingle long, first long, last long"), "found")
+    # written, so that no task needs a Python worker for the runs and one for the components at once
+    across = s.write(found.where("first is not null").groupBy("shingle").applyInPandas(_join_runs(percent), "hi long, lo long"), "across")
     regions = components(s, found.where("first is null").select("hi", "lo").unionByName(across), "regions")
-    s.drop("counts", "chosen", "found")
+    s.drop("counts", "chosen", "found", "across")
     member = regions.select(F.col("node"), F.col("root").alias("region")).union(regions.select(F.col("root").alias("node"), F.col("root").alias("region")).distinct())
     member = member.join(sets.select("node", "n", "block", "i"), "node")
 
@@ -386,7 +387,7 @@ BLOCK_SHIP = 8 << 20
 def _join(blocks: DataFrame, member: DataFrame, words: int, percent: int) -> DataFrame:
     chosen = member.groupBy("block").agg(F.collect_list(F.struct("i", "node", "region", "comp", "tasks")).alias("chosen"))
     shipped = attach(blocks.select("block", "part"), chosen).mapInPandas(lean("op6")(_ship(words)), "task string, region long, node long, comp long, shingles binary")
-    return shipped.groupBy("task").applyInPandas(_join_task(percent), "hi long, lo long")
+    return shipped.groupBy("task").applyInPandas(lean_group(_join_task(percent)), "hi long, lo long")
 
 
 def _pairs(split: DataFrame, comp: DataFrame) -> DataFrame:

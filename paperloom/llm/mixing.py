@@ -18,6 +18,7 @@ not carried.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +77,9 @@ def _mix(s: Scratch, docs: DataFrame, weights, most: int, slots: int, seed: int)
     uses = [goal[k] * blocks[k] / words[k] if words[k] else 0.0 for k in order]
     n = round(sum(uses))
     edges = np.cumsum(uses) / max(sum(uses), 1e-300)
-    source = spark.createDataFrame([(i, k, words[k], blocks[k], goal[k]) for i, k in enumerate(order)], "sid int, source string, source_size long, blocks long, target double")
+    # as Arrow: a list would be turned into rows by Python workers, which then stay beside those of the next operator
+    columns = {"sid": (range(len(order)), pa.int32()), "source": (order, pa.string()), "source_size": ([words[k] for k in order], pa.int64()), "blocks": ([blocks[k] for k in order], pa.int64()), "target": ([goal[k] for k in order], pa.float64())}
+    source = spark.createDataFrame(pa.table({c: pa.array(x, t) for c, (x, t) in columns.items()}))
 
     point = (F.col("id") + 0.5) * GOLDEN % 1.0
     sid = F.least(at_most([float(e) for e in edges], point, "double"), F.lit(max(0, len(order) - 1))).cast("int")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import MESSAGE, U64, Distinct, Roller, Scratch, Texts, attach, blocks_of, bucket_key, by_block, exchange_counts, extended, from40, lean, low40, message_frame, partitions_for, ranges, splitmix, unpack
+from paperloom.llm.common import MESSAGE, U64, Distinct, Roller, Scratch, Texts, attach, blocks_of, bucket_key, by_block, exchange_counts, extended, from40, lean, lean_group, low40, message_frame, partitions_for, ranges, splitmix, unpack
 
 WINDOW = 200
 PERIOD = 133
@@ -250,10 +250,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False,
         r1 = exchange_counts(blocks.mapInPandas(lean("op2")(_ask_ranks(b)), MESSAGE))
         r1 = scratch.write(r1, "ranks")
         one = attach(blocks, r1)
-        r2 = by_block(one.mapInPandas(lean("op2")(_ask_contexts(b)), CONTEXT_MESSAGE).groupBy("bucket").applyInPandas(_rank_contexts, "block long, bucket int, codes binary"))
+        r2 = by_block(one.mapInPandas(lean("op2")(_ask_contexts(b)), CONTEXT_MESSAGE).groupBy("bucket").applyInPandas(lean_group(_rank_contexts), "block long, bucket int, codes binary"))
         r2 = scratch.write(r2.withColumnRenamed("replies", "contexts"), "contexts")
         two = attach(one, r2)
-        r3 = by_block(two.mapInPandas(lean("op2")(_ask_windows(b)), WIDE_MESSAGE).groupBy("bucket").applyInPandas(_sort_suffixes, "block long, bucket int, codes binary, n int"))
+        r3 = by_block(two.mapInPandas(lean("op2")(_ask_windows(b)), WIDE_MESSAGE).groupBy("bucket").applyInPandas(lean_group(_sort_suffixes), "block long, bucket int, codes binary, n int"))
         r3 = scratch.write(r3.withColumnRenamed("replies", "windows"), "windows")
         new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
         schema = extended(docs.schema, [T.StructField(n, t) for n, t in new])

@@ -35,3 +35,48 @@ def test_stages_on_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "")
         assert out.count() == 0 and (name == "sentencepiece" or out.columns == docs.columns)
+
+
+def test_a_group_of_counts_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from paperloom.llm.common import _count_bucket, low40, message_frame
+
+    r = np.random.default_rng(1)
+    keys = [np.unique(r.integers(0, 1 << 22, 20_000, dtype=np.uint64)) for _ in range(50)]
+    frame = message_frame([(3, b, low40(k).tobytes(), np.ones(len(k), np.uint8).tobytes()) for b, k in enumerate(keys)])
+    tracemalloc.start()
+    out = _count_bucket(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    every = np.concatenate(keys)
+    times = np.bincount(every.astype(np.int64))[every.astype(np.int64)]
+    assert b"".join(out["codes"]) == np.where(times < 2, 0, 1 + np.floor(4 * np.log2(times))).astype(np.uint8).tobytes()
+    assert peak < 50 * len(every)
+
+
+def test_groups_give_memory_back(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    from paperloom.llm import jaccard_join, suffix_dedup
+
+    names, plain = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: names.append(f.__qualname__) or plain(self, f, schema))
+    docs = spark.createDataFrame([(1, _words(1, 200)), (2, _words(2, 60))], "doc_id long, text string")
+    suffix_dedup.suffix_dedup(spark, docs)
+    jaccard_join.near_unique(spark, docs)
+    assert sorted(n.split(".")[0] for n in names) == ["_join_runs"] + 6 * ["lean_group"]
+
+
+def test_mixing_starts_no_python_workers(spark, monkeypatch):
+    from paperloom.llm.mixing import mix
+
+    docs = spark.range(20).selectExpr("id as doc_id", "concat('a b ', id) as text", "if(id % 3 = 0, null, concat('s', id % 3)) as source")
+
+    def refuse(*_, **__):
+        raise AssertionError("rows made by Python workers")
+
+    monkeypatch.setattr("pyspark.SparkContext.parallelize", refuse)
+    assert sorted((r["source"] or "", r["source_size"]) for r in mix(spark, docs).select("source", "source_size").distinct().collect()) == [("", 21), ("s1", 21), ("s2", 18)]
